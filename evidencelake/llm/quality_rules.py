@@ -107,7 +107,7 @@ def production_rules() -> list[Rule]:
     n, chars = F.col("n_words"), F.col("word_chars")
     return [
         Rule("symbols", share_over(F.col("n_symbols"), 10, chars)),
-        Rule("duplicate_lines", share_over(F.col("n_dup_lines"), 30, F.size(F.split("text", "\n")))),
+        Rule("duplicate_lines", share_over(F.col("n_dup_lines"), 60, F.size(F.split("text", "\n")))),
         Rule("mean_word_length", (chars < 2 * n) | (chars > 20 * n)),
         Rule("shouting", share_over(count_words(lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)), 40, n)),
         Rule("no_letters", share_over(count_words(lambda w: F.lower(w) == F.upper(w)), 50, n)),

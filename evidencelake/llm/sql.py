@@ -23,7 +23,7 @@ def quality_measures(source: str) -> str:
              FROM raw LEFT JOIN rep USING (doc_id)),
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                     100 * n_symbols > 10 * word_chars
-                    OR 100 * n_dup_lines > 30 * len(string_split(text, chr(10)))
+                    OR 100 * n_dup_lines > 60 * len(string_split(text, chr(10)))
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                     OR 100 * len(list_filter(ws, lambda w: length(w) > 1 AND upper(w) = w AND lower(w) <> w)) > 40 * n_words
                     OR 100 * len(list_filter(ws, lambda w: lower(w) = upper(w))) > 50 * n_words
