@@ -36,6 +36,16 @@ SQL = {
     "op2_quality_rules": f"""
     WITH {quality_measures("documents")}
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rules_failed AS kept FROM judged""",
+    "op4_substring_dedup": rf"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS m FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+    dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY m) AS f FROM win) WHERE f < doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM dup),
+    each AS (SELECT doc_id, p, ws[p] AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op7_exact_dedup": """
     SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
            doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
