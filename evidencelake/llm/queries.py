@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe
 from .exact_dedup import exact_dedup
+from .line_dedup import digest as line_digest
+from .line_dedup import line_dedup
+from .packing import pack_documents
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash_dedup import simhash_dedup
 from .sql import SQL
 from .substring_dedup import digest as substring_digest
 from .substring_dedup import substring_dedup
+from .token_counts import rolled_up
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -20,20 +27,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(line_dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("first_rejection")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    return rolled_up(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), versions, public_tokenizers.PATTERN)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), tokens, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, tokens))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op7_exact_dedup, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op9_packing, op10_simhash_dedup)}
