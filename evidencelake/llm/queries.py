@@ -18,6 +18,8 @@ from .simhash_dedup import simhash_dedup
 from .sql import SQL
 from .substring_dedup import digest as substring_digest
 from .substring_dedup import substring_dedup
+from .suffix_dedup import digest as suffix_digest
+from .suffix_dedup import suffix_dedup
 from .token_counts import rolled_up
 
 __all__ = ["QUERIES", "SQL"]
@@ -58,6 +60,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digest(suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,4 +72,4 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op9_packing, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op8_suffix_dedup, op9_packing, op10_simhash_dedup)}
