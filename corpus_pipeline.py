@@ -1,13 +1,61 @@
-"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, substring dedup, packing."""
+"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. doc_id is the key
+of a document: of rows that repeat one doc_id and text, the exact stage keeps one. Rows whose doc_id is
+null cannot be named by a decision and stay. Empty input gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidencelake.llm.common import Scratch, without
+from evidencelake.llm.exact_dedup import exact_dedup
+from evidencelake.llm.packing import pack_documents
+from evidencelake.llm.quality_rules import quality_filter
+from evidencelake.llm.simhash_dedup import simhash_dedup
+from evidencelake.llm.substring_dedup import without_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule cascade keeps."""
+    return quality_filter(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    verdicts = Scratch(spark, "pipeline").table(exact_dedup(docs), "exact")
+    docs = without(docs, verdicts.where("NOT kept"))
+    again = verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")) if again else docs
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id."""
+    groups = Scratch(spark, "pipeline").table(simhash_dedup(docs), "near")
+    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that a document with a smaller doc_id holds too."""
+    return without_repeats(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 ids, with their sequence and offset."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("substring_dedup", substrings), ("packing", packing)]
+
+#: Fingerprints and token ids cannot be expressed in SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

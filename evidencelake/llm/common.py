@@ -66,7 +66,12 @@ def with_side(docs: DataFrame, side: DataFrame, on: list[str], size: F.Column, h
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row_hash, text): null texts are empty; row_hash tells rows apart that share a doc_id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).cast("long").alias("row_hash"), text.alias("text"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in dropped(doc_id), a written table."""
+    return with_side(docs, dropped.select(F.col("doc_id").alias(id_col)).distinct(), [id_col], F.lit(16), "left_anti")
 
 
 def chunks(batch: pa.RecordBatch, most: int = 2 << 20):

@@ -67,9 +67,10 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     ).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ws and the counts that the base rule and the report need."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id, text, ws and the counts that the base rule and the report need; whole: the input row too, as `row`."""
+    row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
     base = base.withColumn("ws", words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, WHITE, "") != "")
     return base.select(
@@ -78,7 +79,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("ws")).alias("n_repeat_words"),
+        repeated_words(F.col("ws")).alias("n_repeat_words"), *(["row"] if whole else []),
     )
 
 
@@ -147,6 +148,17 @@ def cascade(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
 
+def planned(docs: DataFrame, rules: list[Rule], sample_rows: int, id_col: str, text_col: str) -> list[Rule]:
+    """The rules in the order that a sample of expected size sample_rows suggests."""
+    total = docs.select(F.lit(1)).count()
+    picked = docs.sample(min(1.0, sample_rows / max(total, 1)), seed=7)
+    scratch = Scratch(docs.sparkSession, "rules")
+    sample = scratch.table(measures(picked, id_col, text_col).where(~base_failed()), "sample")
+    out = ordered(rules, rule_statistics(sample, rules))
+    scratch.drop("sample")
+    return out
+
+
 def quality_rules(
     docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -154,15 +166,17 @@ def quality_rules(
 
     sample_rows bounds the expected size of the sample on which costs and selectivities are estimated.
     """
-    rules = production_rules() if rules is None else rules
-    spark = docs.sparkSession
-    total = docs.select(F.lit(1)).count()
-    picked = docs.sample(min(1.0, sample_rows / max(total, 1)), seed=7)
-    scratch = Scratch(spark, "rules")
-    sample = scratch.table(measures(picked, id_col, text_col).where(~base_failed()), "sample")
-    plan = ordered(rules, rule_statistics(sample, rules))
-    scratch.drop("sample")
+    plan = planned(docs, production_rules() if rules is None else rules, sample_rows, id_col, text_col)
     reason = F.when(base_failed(), F.lit("base")).otherwise(cascade(plan))
     return measures(docs, id_col, text_col).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), reason.alias("first_rejection")
     ).withColumn("kept", F.col("first_rejection").isNull())
+
+
+def quality_filter(
+    docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs, unchanged, that quality_rules() keeps."""
+    plan = planned(docs, production_rules() if rules is None else rules, sample_rows, id_col, text_col)
+    reason = F.when(base_failed(), F.lit("base")).otherwise(cascade(plan))
+    return measures(docs, id_col, text_col, whole=True).select("row", reason.alias("reason")).where("reason IS NULL").select("row.*")

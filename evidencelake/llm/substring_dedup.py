@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BYTE_VALUES, Rolling, Scratch, chunks, documents, merged, mix, signed, text_bytes, with_side, word_spans
 
@@ -138,7 +139,8 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
 
 
 def cut_words(marked: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the kept words, joined by single spaces."""
+    """doc_id, n_words, n_removed and the kept words, joined by single spaces; a column `rest` is carried along."""
+    rest = [f for f in marked.schema.fields if f.name == "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +162,12 @@ def cut_words(marked: DataFrame) -> DataFrame:
                     kept.append(b" ".join([view[a:b] for a, b in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode())
                 total = np.r_[0, np.cumsum(gone)]
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.column("doc_id"), pa.array(np.diff(base)), pa.array(total[base[1:]] - total[base[:-1]]), pa.array(kept, pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_text"],
+                    [chunk.column("doc_id"), pa.array(np.diff(base)), pa.array(total[base[1:]] - total[base[:-1]]), pa.array(kept, pa.string()), *(chunk.column(f.name) for f in rest)],
+                    names=["doc_id", "n_words", "n_removed", "kept_text", *(f.name for f in rest)],
                 )
 
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_text string").fields, *rest])
+    return marked.mapInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,5 +180,23 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     return cut_words(with_side(rows, cuts, KEY, side_bytes("cut")))
 
 
+def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with its own columns; the text of rows that lose words is what is left, joined by single spaces.
+
+    length_col: a column that holds the text's length in characters and follows it.
+    """
+    scratch = Scratch(docs.sparkSession, "substring")
+    cuts = removed_spans(documents(docs, id_col, text_col), window, scratch)
+    rest = F.struct(*(docs[c] for c in docs.columns if c != text_col))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).cast("long").alias("row_hash"), docs[text_col].alias("text"), rest.alias("rest"))
+    marked = with_side(rows, cuts, KEY, side_bytes("cut"))
+    same = marked.where("cut_from IS NULL").select("rest", "text", F.lit(False).alias("changed"))
+    less = cut_words(marked.where("cut_from IS NOT NULL")).select("rest", F.col("kept_text").alias("text"), F.lit(True).alias("changed"))
+    both = same.unionByName(less)
+    own = lambda c: F.when(F.col("changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("rest")[c]) if c == length_col else F.col("rest")[c]
+    return both.select(*(F.col("text") if c == text_col else own(c).alias(c) for c in docs.columns)).toDF(*docs.columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
