@@ -72,7 +72,7 @@ def exact_dedup(docs: DataFrame, keep: str = "max", runs: int = 64, fan_in: int
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession, "exact")
     rows = scratch.table(digest_runs(docs, runs, id_col, text_col), "runs")
-    groups = merge_runs(rows, runs, fan_in, keep)
+    groups = scratch.table(merge_runs(rows, runs, fan_in, keep), "groups")  # written: Spark splits a skewed digest only then
     return rows.join(groups.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -8,7 +8,8 @@ that no long match passes there. Around the others the match is extended: the fu
 shared anchor are hashed (128 bits), the smallest doc_id of each is found, and every window that also
 starts in a document with a smaller doc_id marks its words.
 
-The exchanges carry hashes, identifiers and positions; minima are combined before each shuffle, so a
+Minima are written out before they are joined, as Spark splits a skewed key only where both sides of a
+join come straight from a shuffle. The exchanges carry hashes, identifiers and positions; minima are combined before each shuffle, so a
 passage that a third of all documents share reaches the next step as one row a task. Texts move only to
 meet their own spans.
 
@@ -130,12 +131,16 @@ def removed_spans(docs: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """(doc_id, row_hash, cut_from, cut_to): word spans that lie in windows seen under a smaller doc_id."""
     known = docs.where(F.col("doc_id").isNotNull())
     rows = anchors(known, window)
-    near = rows.join(shared(rows, ["anchor"]).hint("merge"), "anchor")
+    near = rows.join(scratch.table(shared(rows, ["anchor"]), "anchors").hint("merge"), "anchor")
     zones = scratch.table(spans_of(near, PERIOD - 1, 1, "zone"), "zones")
     zoned = with_side(known, zones, KEY, side_bytes("zone"), "inner")
     rows = full_windows(zoned, window)
-    later = rows.join(shared(rows, ["h1", "h2"]).hint("merge"), ["h1", "h2"]).where("first_id < doc_id")
-    return scratch.table(spans_of(later, 0, window, "cut"), "cuts")
+    firsts = scratch.table(shared(rows, ["h1", "h2"]), "windows")
+    later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where("first_id < doc_id")
+    cuts = scratch.table(spans_of(later, 0, window, "cut"), "cuts")
+    for name in ("anchors", "windows", "zones"):
+        scratch.drop(name)
+    return cuts
 
 
 def cut_words(marked: DataFrame) -> DataFrame:

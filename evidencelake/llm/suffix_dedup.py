@@ -18,7 +18,8 @@ all suffixes is avoided as prefix-free parsing does:
 
 For highly repetitive text the dictionary is small, and bytes are looked at once per distinct phrase.
 No suffix order beyond these classes is needed, so none is built, and no task ever holds the whole
-dictionary or parse. Minima are combined before shuffles, joins are sort-merge joins that Spark splits.
+dictionary or parse. Minima are combined before shuffles, and
+are written out before they are joined, so that Spark can split a skewed key of the join.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` stay whole; matches never
 cross rows; rows that repeat a doc_id and text count as one document, other rows of one doc_id are
@@ -185,13 +186,14 @@ def repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(doc_id, row_hash, cut_from, cut_to): byte spans covered by strings that also start earlier."""
     grams = triggers(docs, length)
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    often = scratch.table(often, "often")
     zones = scratch.table(spans(grams.join(often.hint("merge"), "gram"), str(length - WIDTH + 1), "zone"), "zones")
     scratch.release()
 
     parse = scratch.table(entries(zoned(docs, zones), length), "parse")
     entry = ["p1", "p2"]
     here = F.struct(*AT)
-    copies = parse.join(first_of(parse, entry).hint("merge"), entry).where(here > F.col("first"))
+    copies = parse.join(scratch.table(first_of(parse, entry), "entries").hint("merge"), entry).where(here > F.col("first"))
     copies = scratch.table(copies.select(*AT, F.col("n") + (length - 1)), "copies").toDF(*AT, "size")
     scratch.release()
 
@@ -199,13 +201,15 @@ def repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     dictionary = scratch.table(dictionary, "dictionary")
     scratch.drop("parse")
     several = dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+    several = scratch.table(several, "several")
     zones = scratch.table(spans(dictionary.join(several.hint("merge"), "gram"), "n", "zone"), "open")
     scratch.release()
 
     rows = suffixes(zoned(docs, zones), length)
-    later = rows.join(first_of(rows, ["h1", "h2"]).hint("merge"), ["h1", "h2"]).where(here > F.col("first")).select(*AT, F.lit(length).alias("size"))
+    firsts = scratch.table(first_of(rows, ["h1", "h2"]), "firsts")
+    later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where(here > F.col("first")).select(*AT, F.lit(length).alias("size"))
     out = scratch.table(spans(copies.union(later), "size", "cut"), "cuts")
-    for name in ("copies", "dictionary", "zones", "open"):
+    for name in ("often", "entries", "several", "firsts", "copies", "dictionary", "zones", "open"):
         scratch.drop(name)
     scratch.release()
     return out
