@@ -252,14 +252,14 @@ def calibrate(spark, d):
     return _calibration(spark, d)
 
 
-_TAIL = f"round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp({_LF('n')} - {_LF('i')} - {_LF('(n - i)')} + i * ln(p) + (n - i) * ln(1 - p))))), 5)"
+_TAIL = f"round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp({_LF('n')} - {_LF('i')} - {_LF('(n - i)')} + i * ln(p) + (n - i) * ln(1 - p))))), 7)"
 
 
 @query(f"""SELECT o_custkey, CASE WHEN n <= 0 THEN NULL WHEN k <= 0 THEN 1.0 WHEN k > n THEN 0.0 ELSE {_TAIL} END AS p_value
-    FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, 0.3::DOUBLE AS p FROM orders GROUP BY o_custkey)""")
+    FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n, 0.31415926::DOUBLE AS p FROM orders GROUP BY o_custkey)""")
 def binom_tail(spark, d):
     rows = read(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count(F.lit(1)).alias("n"))
-    return rows.select("o_custkey", F.round(X.binomial_tail(F.col("k"), F.col("n"), F.lit(0.3)), 5).alias("p_value"))
+    return rows.select("o_custkey", F.round(X.binomial_tail(F.col("k"), F.col("n"), F.lit(0.31415926)), 7).alias("p_value"))
 
 
 @query(f"""WITH {_MATCHES} SELECT doc_id, CASE WHEN matched_count < total THEN 1.0 ELSE false_positive_rate END AS p_value, CASE WHEN baseline_count IS NULL THEN 'insufficient_baseline' ELSE 'binomial_vs_baseline' END AS method
