@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.textsem import WS, norm_ws, trim_ws
 from .classify import draw, fnv1a
@@ -161,7 +162,7 @@ def survival_rate(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("all_after").cast("double")).alias("survival_rate"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC; for rows beyond ASCII only, as Spark has no such function."""
     return text.str.normalize("NFKC")

@@ -21,7 +21,7 @@ SIGNAL_SCHEMA = "array<struct<label:string,type:string,value:string,pattern:stri
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, source) of whole text files; bytes that are not UTF-8 become replacement characters."""
     rows = spark.read.format("binaryFile").load(path)
-    return rows.select("path", F.decode("content", "UTF-8").alias("text"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("source"))
+    return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("source"))
 
 
 def sniff(files: DataFrame) -> DataFrame:
