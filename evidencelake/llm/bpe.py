@@ -5,7 +5,7 @@ of about two keys. It answers whole pre-tokens that are vocabulary entries with
 comparison. Tier two encodes the rest: the bytes of a pre-token form a linked list, a heap holds the
 mergeable neighbours by rank and position, and merges are taken lowest rank first, leftmost first.
 A text is first cut at spaces between two other characters, where every pattern with an optional leading
-space cuts as well; the ids of such units are remembered, `CACHE` of them per Python worker.
+space cuts as well; the ids of such units are remembered, two generations of `CACHE` of them per Python worker.
 
 The vocabulary (bounded, some hundred KB) travels with the job, so executors need no file of it.
 
@@ -20,7 +20,8 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Most pre-tokens that a worker remembers; beyond that it starts anew.
-CACHE = 200_000
+#: Units in one of the two generations that a worker remembers.
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -51,26 +52,32 @@ UNSAFE, SAFE = re.compile(r"\s | \s"), re.compile(r"(?<=\S) (?=\S)")
 
 
 class Units(dict):
-    """Remembered ids of the units of texts, each unit but the first with the space before it.
+    """Remembered ids (bytes of little-endian 32-bit numbers) of the units of texts, each unit but the first
+    with the space before it.
 
     Holds for pre-token patterns in which a space between two other characters always begins a pre-token.
+    Two generations of CACHE units are kept, so frequent units stay when new ones crowd in.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def parts(self, text: str) -> list[str]:
         if len(self) > CACHE:
+            self.old = dict(self)
             self.clear()
         return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
 
-    def ids(self, text: str) -> chain:
+    def ids(self, text: str) -> bytes:
         first, *rest = self.parts(text)
-        return chain(self.encode(first), chain.from_iterable(map(self.__getitem__, rest)))
+        return self.encode(first) + b"".join(map(self.__getitem__, rest))
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        out = self[unit] = self.encode(f" {unit}")
+    def __missing__(self, unit: str) -> bytes:
+        out = self.old.get(unit)
+        if out is None:
+            out = self.encode(f" {unit}")
+        self[unit] = out
         return out
 
 
@@ -120,10 +127,10 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.ranks = tokens, {t: i for i, t in enumerate(tokens)}
         self.split, self.whole = regex.compile(pattern).findall, PerfectHash(tokens)
-        self.units = Units(lambda unit: tuple(chain.from_iterable(self.pretoken(p.encode()) for p in self.split(unit))))
+        self.units = Units(lambda unit: array("I", chain.from_iterable(self.pretoken(p.encode()) for p in self.split(unit))).tobytes())
 
-    def encode(self, text: str) -> chain:
-        return self.units.ids(text)
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.units.ids(text), np.uint32)
 
     def pretoken(self, piece: bytes) -> tuple[int, ...]:
         at = self.whole.find(piece)
@@ -152,10 +159,6 @@ class Codec:
             i = after[i]
         return tuple(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
-
 _live: dict[str, Codec] = {}
 
 
@@ -174,11 +177,8 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
         codec = live(tokens, pattern)
         for batch in batches:
             for chunk in chunks(batch):
-                sizes, flat = [0], []
-                for text in chunk.column("text").to_pylist():
-                    flat.extend(codec.encode(text))
-                    sizes.append(len(flat))
-                ids = pa.ListArray.from_arrays(np.array(sizes, np.int32), np.array(flat, np.int32))
+                each = [codec.encode(text) for text in chunk.column("text").to_pylist()]
+                ids = pa.ListArray.from_arrays(np.cumsum([0, *map(len, each)], dtype=np.int32), np.concatenate(each).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), ids], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -15,11 +15,11 @@ rows that repeat a doc_id are packed as documents of their own; an empty table g
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,44 +32,73 @@ from .common import Scratch, chunks, documents, with_side
 _live: dict[str, TokenizerUnits] = {}
 
 
+def byte_tokens(spec: str) -> list[bytes]:
+    """Tokens by id of a byte-level `tokenizers` file, in which 256 printable characters stand for the bytes."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    model = json.loads(spec)
+    special = {t["id"] for t in model["added_tokens"] if t["special"]}
+    vocabulary = {i: bytes(byte[c] for c in t) for t, i in model["model"]["vocab"].items() if i not in special}
+    if sorted(vocabulary) != list(range(len(vocabulary))):
+        raise ValueError("the ids of the ordinary tokens must count from 0")
+    return [vocabulary[i] for i in range(len(vocabulary))]
+
+
 class TokenizerUnits:
-    """A byte-level tokenizers file; the ids of units between safe spaces are remembered."""
+    """Ids of a byte-level vocabulary whose ids are its merge ranks; special tokens in a text are ordinary text.
+
+    New units of a batch are encoded in one string and told apart by the bytes of their tokens.
+    """
+
+    def __init__(self, tokens: list[bytes], pattern: str):
+        import tiktoken
 
-    def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        self.widths = np.array([len(t) for t in tokens])
+        self.units = Units(self.encode)
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.units = Units(lambda unit: tuple(self.many([unit])[0]))
+    def encode(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def many(self, units: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def learn(self, new: list[str]) -> None:
+        """Remembers the ids of units that neither begin nor end with white space."""
+        if not new:
+            return
+        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(new)), "<u4")
+        ends = np.cumsum([len(u.encode()) + 1 for u in new])
+        cut = np.r_[0, np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1].tolist()
+        data = ids.tobytes()
+        self.units.update((u, data[4 * a : 4 * b]) for u, a, b in zip(new, cut[:-1], cut[1:], strict=True))
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.units.parts(t) for t in texts]
-        new = list({u for p in cut for u in p[1:] if u not in self.units})
-        self.units.update(zip(new, map(tuple, self.many([f" {u}" for u in new])), strict=True))
-        get = self.units.__getitem__
-        return [np.fromiter(chain(head, chain.from_iterable(map(get, p[1:]))), np.uint32) for head, p in zip(self.many([p[0] for p in cut]), cut, strict=True)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        units = self.units
+        cut = [units.parts(t) for t in texts]
+        new = {u for p in cut for u in p[1:] if u not in units}
+        self.learn([u for u in new if u and u not in units.old and not u[0].isspace() and not u[-1].isspace()])
+        return [self.encode(p[0]) + b"".join(map(units.__getitem__, p[1:])) for p in cut]
 
 
-def live(spec: str) -> TokenizerUnits:
-    if spec not in _live:
-        _live[spec] = TokenizerUnits(spec)
-    return _live[spec]
+def live(tokens: list[bytes], pattern: str) -> TokenizerUnits:
+    """This process's encoder of a vocabulary."""
+    key = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
+    if key not in _live:
+        _live[key] = TokenizerUnits(tokens, pattern)
+    return _live[key]
 
 
-def pieces(docs: DataFrame, spec: str, length: int = 1024, closing_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokens: list[bytes], pattern: str, length: int = 1024, closing_id: int = 0) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, bucket key) of every piece."""
 
+    closing = closing_id.to_bytes(4, "little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = live(spec)
+        units = live(tokens, pattern)
         for batch in batches:
             for chunk in chunks(batch, 1 << 20):
                 row, start, size, crc, total = [], [], [], [], []
                 for i, ids in enumerate(units.ids(chunk.column("text").to_pylist())):
-                    data, n = np.append(ids, np.uint32(closing_id)).astype("<u4").tobytes(), len(ids) + 1
+                    data, n = ids + closing, len(ids) // 4 + 1
                     for s in range(0, n, length):
                         row.append(i)
                         start.append(s)
@@ -126,16 +155,18 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_json: str, length: int = 1024, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_json: str, pattern: str, length: int = 1024, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer_json is the path of a byte-level `tokenizers` file, read by the driver.
+    tokenizer_json is the path of a byte-level `tokenizers` file, read by the driver; pattern is the one
+    that its pre-tokenizer splits by. The ids are those that `tokenizers` gives with add_special_tokens=False
+    and special tokens in the text as ordinary text.
     """
     with open(tokenizer_json, encoding="utf-8") as f:
-        spec = f.read()
+        tokens = byte_tokens(f.read())
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.table(pieces(documents(docs, id_col, text_col), spec, length, closing_id), "pieces")
+    rows = scratch.table(pieces(documents(docs, id_col, text_col), tokens, pattern, length, closing_id), "pieces")
     buckets = max(64, rows.count() // 200_000)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(buckets)).cast("int"))
     counts = scratch.table(rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
