@@ -153,8 +153,8 @@ def planned(docs: DataFrame, rules: list[Rule], sample_rows: int, id_col: str, t
     total = docs.select(F.lit(1)).count()
     picked = docs.sample(min(1.0, sample_rows / max(total, 1)), seed=7)
     scratch = Scratch(docs.sparkSession, "rules")
-    sample = scratch.table(measures(picked, id_col, text_col).where(~base_failed()), "sample")
-    out = ordered(rules, rule_statistics(sample, rules))
+    sample = scratch.table(measures(picked, id_col, text_col), "sample")
+    out = ordered(rules, rule_statistics(sample.where(~base_failed()), rules))
     scratch.drop("sample")
     return out
 
@@ -179,4 +179,6 @@ def quality_filter(
     """The rows of docs, unchanged, that quality_rules() keeps."""
     plan = planned(docs, production_rules() if rules is None else rules, sample_rows, id_col, text_col)
     reason = F.when(base_failed(), F.lit("base")).otherwise(cascade(plan))
-    return measures(docs, id_col, text_col, whole=True).select("row", reason.alias("reason")).where("reason IS NULL").select("row.*")
+    # a filter would be pushed below the measures and compute them once for every place that uses them
+    kept = F.explode(F.when(reason.isNull(), F.array("row")))
+    return measures(docs, id_col, text_col, whole=True).select(kept.alias("row")).select("row.*")

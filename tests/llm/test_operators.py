@@ -240,6 +240,7 @@ def test_suffix_dedup(docs, empty):
     order = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     want = brute.cut_strings(sorted(DOCS, key=lambda x: (x[0] is not None, x[0] or 0, order[x])), 100)
     same(suffix_dedup.suffix_dedup(docs), [(i, *want[i, t][:3], bytearray(want[i, t][3])) for i, t in DOCS])
+    same(suffix_dedup.suffix_dedup(docs, hot_phrases=3), [(i, *want[i, t][:3], bytearray(want[i, t][3])) for i, t in DOCS])
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
