@@ -81,7 +81,7 @@ def gate(spark, d):
     return G.gate(deltas(spark, d), [])
 
 
-@query(f"""WITH {_RESULTS} SELECT provider, condition, printf('%.1f%%', round(all_rate * 100, 1)) AS rate, CASE WHEN delta_pp IS NULL THEN '-' ELSE printf('%+.1f pp', round(delta_pp, 1)) END AS delta, printf('%.0f ms', mean_latency_ms) AS latency,
+@query(f"""WITH {_RESULTS} SELECT provider, condition, printf('%.1f%%', round(all_rate * 100, 1)) AS rate, CASE WHEN delta_pp IS NULL THEN '-' ELSE printf('%+.1f pp', round(delta_pp, 1)) END AS delta, printf('%.0f ms', round(mean_latency_ms)) AS latency,
     CASE WHEN delta_pp IS NULL THEN 'No provider/condition pair produced a comparable delta against the original condition in this run.' ELSE 'The largest observed delta in this run was ' || printf('%.1f', round(delta_pp, 1)) || ' percentage points (' || provider || ', ' || condition || ' vs. original), '
       || CASE WHEN delta_pp >= 50 THEN 'at or above' ELSE 'below' END || ' the 50pp smoke-test threshold.' END AS text FROM deltas""")
 def gate_text(spark, d):

@@ -48,9 +48,9 @@ _MATCHES = rf"""{_HEADS},
 _LF = lambda n: f"lgamma({n} + 1.0)"
 
 
-def _fisher(a, b, c, d):
+def _fisher(a, b, c, d, digits=7):
     lp = lambda i: f"({_LF(f'({a}+{b})')} + {_LF(f'({c}+{d})')} + {_LF(f'({a}+{c})')} + {_LF(f'({b}+{d})')} - {_LF(f'({a}+{b}+{c}+{d})')} - {_LF(i)} - {_LF(f'({a}+{b}-{i})')} - {_LF(f'({a}+{c}-{i})')} - {_LF(f'({d}-{a}+{i})')})"
-    return f"round(least(1.0, list_sum(list_transform(range(greatest(0, {a}-{d}), least({a}+{b}, {a}+{c}) + 1), lambda i: CASE WHEN {lp('i')} <= {lp(a)} + 1e-9 THEN exp({lp('i')}) ELSE 0.0 END))), 7)"
+    return f"round(least(1.0, list_sum(list_transform(range(greatest(0, {a}-{d}), least({a}+{b}, {a}+{c}) + 1), lambda i: CASE WHEN {lp('i')} <= {lp(a)} + 1e-9 THEN exp({lp('i')}) ELSE 0.0 END))), {digits})"
 
 
 def _holm(source, by, p):
@@ -290,10 +290,10 @@ def holm(spark, d):
 
 _COMPARE = f"""{_MATCHES}, ab AS (SELECT idx, count(*) FILTER (label = 'candidate' AND m) AS a, count(*) FILTER (label = 'candidate' AND NOT m) AS b,
     count(*) FILTER (label = 'baseline' AND m) AS c, count(*) FILTER (label = 'baseline' AND NOT m) AS d FROM matches GROUP BY idx),
-    fp AS (SELECT *, {_fisher('a', 'b', 'c', 'd')} AS p FROM ab)"""
+    fp AS (SELECT *, {_fisher('a', 'b', 'c', 'd', 12)} AS p FROM ab)"""
 
 
-@query(f"WITH {_COMPARE} SELECT idx, a, b, c, d, a / (a + b) AS candidate_rate, c / (c + d) AS baseline_rate, p AS fisher_p, round(adjusted_p, 6) AS adjusted_p, adjusted_p <= 0.05 AS significant FROM ({_holm('fp', '', 'p')})")
+@query(f"WITH {_COMPARE} SELECT idx, a, b, c, d, a / (a + b) AS candidate_rate, c / (c + d) AS baseline_rate, round(p, 7) AS fisher_p, round(adjusted_p, 6) AS adjusted_p, adjusted_p <= 0.05 AS significant FROM ({_holm('fp', '', 'p')})")
 def compare_rates(spark, d):
     rows = A.compare_rates(_matches(spark, d), [])
     return rows.withColumns({"fisher_p": F.round("fisher_p", 7), "adjusted_p": F.round("adjusted_p", 6)})
