@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -132,32 +132,52 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.units.ids(text), np.uint32)
 
-    def pretoken(self, piece: bytes) -> tuple[int, ...]:
+    def pretoken(self, piece: bytes) -> Sequence[int]:
         at = self.whole.find(piece)
         return (at,) if self.tokens[at] == piece else self.merge(piece)
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        n, rank = len(piece), self.ranks.get
-        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of a pre-token by merges, lowest rank first and leftmost first.
+
+        Part i ends before end[i] and is followed by part after[i]; pair[i] is the rank of the two, and a
+        heap entry (rank, i) counts only while it is.
+        """
+        n, rank, push = len(piece), self.ranks.get, heapq.heappush
+        after, before, pair, heap = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n, []
+        end = after[:]
+        for i in range(n - 1):
+            r = rank(piece[i : i + 2])
+            if r is not None:
+                pair[i] = r
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = after[i]
-            if end[i] == 0 or j >= n or end[j] != stop:  # one of the two has been merged since
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if pair[i] != top >> 32:
                 continue
-            end[i], after[i], end[j] = stop, after[j], 0
-            if after[j] < n:
-                before[after[j]] = i
-                if (r := rank(piece[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if before[i] >= 0 and (r := rank(piece[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
+            j = after[i]
+            end[i] = stop = end[j]
+            after[i] = k = after[j]
+            pair[i] = pair[j] = -1
+            if k < n:
+                before[k] = i
+                r = rank(piece[i : end[k]])
+                if r is not None:
+                    pair[i] = r
+                    push(heap, r << 32 | i)
+            p = before[i]
+            if p >= 0:
+                r = rank(piece[p:stop])
+                pair[p] = -1 if r is None else r
+                if r is not None:
+                    push(heap, r << 32 | p)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
             i = after[i]
-        return tuple(out)
+        return out
+
 
 _live: dict[str, Codec] = {}
 
