@@ -14,7 +14,8 @@ all suffixes is avoided as prefix-free parsing does:
   the first occurrence of a phrase can hold a first suffix; the others are repeats as a whole.
 - Corpus order. Dictionary suffixes, cut at `length` bytes, are put into classes by their 128-bit hash;
   the corpus position of a class is the smallest over its phrases' first occurrences. Only phrases that
-  share a trigger gram with a different phrase need this byte-level step.
+  share a trigger gram with a different phrase need this byte-level step: phrases of one gram meet in a
+  task and are sorted there; beyond `hot_phrases` of one gram their strings are combined by hash instead.
 
 For highly repetitive text the dictionary is small, and bytes are looked at once per distinct phrase.
 No suffix order beyond these classes is needed, so none is built, and no task ever holds the whole
@@ -160,6 +161,68 @@ def suffixes(zoned: DataFrame, length: int) -> DataFrame:
     return zoned.mapInArrow(run, "doc_id long, row_hash long, at int, h1 long, h2 long")
 
 
+def open_phrases(zoned: DataFrame, length: int) -> DataFrame:
+    """(doc_id, row_hash, at, n, gram, data): the phrases that start in a document's zones, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch, 1 << 20):
+                text = Bytes(chunk.column("text"))
+                begin, last, trigger = text.phrases(length)
+                row = text.row(begin)
+                keep = _inside(chunk, row, begin - text.offsets[row])
+                begin, last, trigger, row = begin[keep], last[keep], trigger[keep], row[keep]
+                view = memoryview(np.ascontiguousarray(text.data))
+                data = pa.array([view[a:b] for a, b in zip(begin.tolist(), (last + length).tolist(), strict=True)], pa.binary())
+                out = _rows(chunk, row, at=(begin - text.offsets[row]).astype(np.int32), n=(last - begin + 1).astype(np.int32), gram=text.first(trigger, trigger + WIDTH))
+                yield pa.RecordBatch.from_arrays([*out.columns, data], names=[*out.schema.names, "data"])
+
+    return zoned.mapInArrow(run, "doc_id long, row_hash long, at int, n int, gram long, data binary")
+
+
+def later_starts(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start within the phrase) of the strings of phrases, in corpus order, that an earlier one holds too."""
+    text = Bytes(table.column("data").combine_chunks())
+    n = table.column("n").to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = text.offsets[row] + start
+    a, b = text.first(begin, begin + length), text.second(begin, begin + length)
+    order = np.lexsort((row, b, a))
+    again = np.r_[False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
+    found = np.sort(order[again])
+    return row[found], start[found]
+
+
+def within_grams(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, row_hash, at, size): covered spans of open_phrases() that lie sorted by gram and place."""
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        row, start = later_starts(table, length)
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, int)
+        last = np.r_[first[1:] - 1, len(row) - 1] if len(row) else first
+        whole = table.select([*KEY, "at"]).take(pa.array(row[first]))
+        size = (start[last] - start[first] + length).astype(np.int32)
+        cols = [whole.column(k).combine_chunks() for k in KEY]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(whole.column("at").to_numpy() + start[first].astype(np.int32)), pa.array(size)], names=[*AT, "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            grams = table.column("gram").to_numpy()
+            cut = int(np.argmax(grams == grams[-1]))
+            if cut:
+                yield solve(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "doc_id long, row_hash long, at int, size int")
+
+
 def spans(rows: DataFrame, size: str, name: str) -> DataFrame:
     """Per document the union of [at, at + size): arrays <name>_from and <name>_to."""
     lists = rows.groupBy(*KEY).agg(F.collect_list(F.struct("at", F.expr(size).cast("int").alias("n"))).alias("s")).select(*KEY, "s.at", "s.n")
@@ -182,7 +245,7 @@ def first_of(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
 
 
-def repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+def repeats(docs: DataFrame, length: int, scratch: Scratch, hot_phrases: int = 2000) -> DataFrame:
     """(doc_id, row_hash, cut_from, cut_to): byte spans covered by strings that also start earlier."""
     grams = triggers(docs, length)
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
@@ -200,16 +263,22 @@ def repeats(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     dictionary = parse.groupBy(*entry, "gram", "n").agg(F.min(here).alias("first")).select("gram", "n", "first.*")
     dictionary = scratch.table(dictionary, "dictionary")
     scratch.drop("parse")
-    several = dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    several = scratch.table(several, "several")
-    zones = scratch.table(spans(dictionary.join(several.hint("merge"), "gram"), "n", "zone"), "open")
+    several = dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = scratch.table(dictionary.join(scratch.table(several, "several").hint("merge"), "gram"), "shared")
+    zones = scratch.table(spans(shared.where(F.col("c") <= hot_phrases), "n", "zone"), "open")
+    wide = scratch.table(spans(shared.where(F.col("c") > hot_phrases), "n", "zone"), "wide")
     scratch.release()
 
-    rows = suffixes(zoned(docs, zones), length)
+    # few phrases to a trigger gram: they meet with their bytes; many: their strings meet by hash
+    near = open_phrases(zoned(docs, zones), length).repartition("gram").sortWithinPartitions("gram", *AT)
+    near = scratch.table(within_grams(near, length), "near")
+    scratch.release()
+    rows = suffixes(zoned(docs, wide), length)
     firsts = scratch.table(first_of(rows, ["h1", "h2"]), "firsts")
     later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where(here > F.col("first")).select(*AT, F.lit(length).alias("size"))
+    later = later.union(near)
     out = scratch.table(spans(copies.union(later), "size", "cut"), "cuts")
-    for name in ("often", "entries", "several", "firsts", "copies", "dictionary", "zones", "open"):
+    for name in ("often", "entries", "several", "shared", "firsts", "near", "copies", "dictionary", "zones", "open", "wide"):
         scratch.drop(name)
     scratch.release()
     return out
@@ -233,13 +302,13 @@ def cut_bytes(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, hot_phrases: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary). length: bytes of a match, over WIDTH."""
     if length <= WIDTH:
         raise ValueError(f"length must be over {WIDTH} bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = documents(docs, id_col, text_col)
-    cuts = repeats(rows.where("doc_id IS NOT NULL"), length, scratch)
+    cuts = repeats(rows.where("doc_id IS NOT NULL"), length, scratch, hot_phrases)
     return cut_bytes(with_side(rows, cuts, KEY, 64 + 8 * F.size("cut_from")))
 
 
