@@ -4,7 +4,7 @@ Heuristic labellers vote good, bad or nothing on every document. The votes of al
 by pattern (at most 3 to the power of the labellers), and expectation-maximisation over these counts
 estimates the share of good documents and, per labeller, how often it votes right on good and on bad
 documents. The posterior of a document's pattern is its weak label. A logistic regression over hashed
-features of the text (words and word shapes) learns from the posteriors of a sample of at most about
+features of the text (words and their endings) learns from the posteriors of a sample of at most about
 `train_rows` documents, each as a good and a bad example weighted by the posterior, and scores every
 document.
 
@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import WHITE, Scratch
 from .quality_rules import SYMBOLS, words
 
 FEATURES = 1 << 16
@@ -40,17 +40,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def labellers() -> dict[str, Column]:
     """Votes from text, ws and n; each looks at a trait of its own."""
     n = F.greatest("n", F.lit(1))
-
-    def share(test) -> Column:
-        return F.size(F.filter("ws", test)) / n
-
-    letters = F.greatest(F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.lit(1))
-    upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / letters
+    times = lambda pattern: F.regexp_count("text", F.lit(pattern)) / n
+    chars = F.greatest(F.length(F.translate("text", WHITE, "")), F.lit(1))
+    upper = (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))) / chars
     symbols = (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))) / n
     stutter = F.size(F.filter("ws", lambda w, i: (i > 0) & (w == F.get("ws", i - 1)))) / n
-    ended = share(lambda w: F.rlike(w, F.lit(r"[.!?]$")))
-    shouted = share(lambda w: F.rlike(w, F.lit(r"[!?#*$%&]{2,}$")))
-    odd = share(lambda w: ~F.rlike(w, F.lit(r"\p{L}")))
+    ended, shouted, odd = times(r"[.!?](?!\S)"), times(r"[!?#*$%&]{2}(?!\S)"), times(r"(?<!\S)[^\s\p{L}]+(?!\S)")
     distinct = F.size(F.array_distinct("ws")) / n
     return {
         "symbols": vote(symbols > 0.3, symbols < 0.05),
@@ -91,9 +86,8 @@ def posterior(votes: np.ndarray, prior: float, right_good: np.ndarray, right_bad
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Adds x: hashed words and shapes (capital A, small a, digit 0, runs shortened), of length one."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\p{N}+", "0")
-    tokens = F.concat(F.transform("ws", lambda w: F.lower(w)), F.transform(words(shape), lambda w: F.concat(F.lit("\x01"), w)))
+    """Adds x: hashed words and last two characters of words, of length one."""
+    tokens = F.concat("ws", F.transform("ws", lambda w: F.concat(F.lit("\x01"), F.right(w, F.lit(2)))))
     hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES).transform(rows.withColumn("tokens", tokens))
     return Normalizer(inputCol="tf", outputCol="x").transform(hashed).drop("tokens", "tf")
 
@@ -103,14 +97,14 @@ def quality_classifier(docs: DataFrame, train_rows: int = 20_000, id_col: str =
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "classifier")
     rows, votes = measured(docs, id_col, text_col), labellers()
     names = list(votes)
-    voted = rows.select("doc_id", "text", "ws", *(v.cast("int").alias(k) for k, v in votes.items()))
+    voted = rows.select("doc_id", "ws", *(v.cast("int").alias(k) for k, v in votes.items()))
     patterns = voted.groupBy(*names).count().collect()  # at most 3 ** len(names) rows
     if not patterns:
         return rows.select("doc_id", F.lit(0.5).alias("posterior"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
     table = np.array([[r[k] for k in names] for r in patterns])
     p = posterior(table, *fit_label_model(table, np.array([r["count"] for r in patterns])))
     known = spark.createDataFrame([(*map(int, t), float(x)) for t, x in zip(table, p, strict=True)], [*names, "posterior"])
-    labelled = voted.join(F.broadcast(known.select(*(F.col(k).cast("int").alias(k) for k in names), "posterior")), names).select("doc_id", "text", "ws", "posterior")
+    labelled = voted.join(F.broadcast(known.select(*(F.col(k).cast("int").alias(k) for k in names), "posterior")), names).select("doc_id", "ws", "posterior")
     total = sum(r["count"] for r in patterns)
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, train_rows / total) * (1 << 20)) + 1
     sample = scratch.table(features(labelled.where(picked)).select("x", "posterior"), "sample")
