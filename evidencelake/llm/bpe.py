@@ -5,7 +5,7 @@ of about two keys. It answers whole pre-tokens that are vocabulary entries with
 comparison. Tier two encodes the rest: the bytes of a pre-token form a linked list, a heap holds the
 mergeable neighbours by rank and position, and merges are taken lowest rank first, leftmost first.
 A text is first cut at spaces between two other characters, where every pattern with an optional leading
-space cuts as well; the ids of such units are remembered, two generations of `CACHE` of them per Python worker.
+space cuts as well; the ids of such units are remembered, two bounded generations of them per Python worker.
 
 The vocabulary (bounded, some hundred KB) travels with the job, so executors need no file of it.
 
@@ -56,15 +56,15 @@ class Units(dict):
     with the space before it.
 
     Holds for pre-token patterns in which a space between two other characters always begins a pre-token.
-    Two generations of CACHE units are kept, so frequent units stay when new ones crowd in.
+    Two generations of `most` units are kept, so frequent units stay when new ones crowd in.
     """
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHE):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.most = encode, {}, most
 
     def parts(self, text: str) -> list[str]:
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
@@ -127,7 +127,7 @@ class Codec:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.ranks = tokens, {t: i for i, t in enumerate(tokens)}
         self.split, self.whole = regex.compile(pattern).findall, PerfectHash(tokens)
-        self.units = Units(lambda unit: array("I", chain.from_iterable(self.pretoken(p.encode()) for p in self.split(unit))).tobytes())
+        self.units = Units(lambda unit: array("I", chain.from_iterable(self.pretoken(p.encode()) for p in self.split(unit))).tobytes(), 2 * CACHE)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.units.ids(text), np.uint32)
