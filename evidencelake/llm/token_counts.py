@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks
+from .common import Scratch, chunks, with_side
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 KEYS = ["source", "lang", "tokenizer"]
@@ -118,7 +118,7 @@ def corpus_history(documents: DataFrame, labels: DataFrame) -> list[tuple[str, D
     """The batches that a corpus of documents goes through: load, removal of toxic documents, and
     revision of low-quality ones, whose symbols are taken out. The second batch is delivered twice."""
     flags = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"), (F.min("quality") == 0).alias("poor"))
-    marked = documents.join(flags.hint("merge"), "doc_id")
+    marked = with_side(documents, flags, ["doc_id"], F.lit(24), "inner")
     cols = ["doc_id", "source", "lang", "text"]
     load = documents.select(F.lit("insert").alias("op"), *cols)
     remove = marked.where("toxic").select(F.lit("delete").alias("op"), *cols)
