@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_digest(line_dedup(table(spark, sf_dir, "documents")))
+    return line_digest(line_dedup(table(spark, sf_dir, "documents"), word_edits=True))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
