@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,15 +46,30 @@ def byte_tokens(spec: str) -> list[bytes]:
     return [vocabulary[i] for i in range(len(vocabulary))]
 
 
+def added_tokens(spec: str, encode_special_tokens: bool) -> dict[str, int]:
+    """Ids of the added tokens of a `tokenizers` file that are cut out of a text before it is split.
+
+    With encode_special_tokens the special ones among them are ordinary text, as in `tokenizers`.
+    """
+    model = json.loads(spec)
+    found = [t for t in model["added_tokens"] if t["content"] and not (t["special"] and encode_special_tokens)]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or (t["normalized"] and model["normalizer"]) for t in found):
+        raise ValueError("added tokens must match as they stand")
+    return {t["content"]: t["id"] for t in found}
+
+
 class TokenizerUnits:
-    """Ids of a byte-level vocabulary whose ids are its merge ranks; special tokens in a text are ordinary text.
+    """Ids of a byte-level vocabulary whose ids are its merge ranks; added tokens in a text stand for themselves.
 
     New units of a batch are encoded in one string and told apart by the bytes of their tokens.
     """
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, added: dict[str, int]):
         import tiktoken
 
+        self.added = {t: i.to_bytes(4, "little") for t, i in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
         self.widths = np.array([len(t) for t in tokens])
         self.units = Units(self.encode)
@@ -72,6 +88,19 @@ class TokenizerUnits:
         self.units.update((u, data[4 * a : 4 * b]) for u, a, b in zip(new, cut[:-1], cut[1:], strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; the stretches between added tokens are encoded on their own."""
+        held = [i for i, t in enumerate(texts) if self.cuts and self.cuts.search(t)]
+        if not held:
+            return self.ordinary(texts)
+        parts = {i: self.cuts.split(texts[i]) for i in held}  # stretches and added tokens by turns
+        flat = [x for i, t in enumerate(texts) for x in (parts[i][::2] if i in parts else [t])]
+        coded, out = iter(self.ordinary(flat)), []
+        for i in range(len(texts)):
+            tokens = [self.added[x] for x in parts[i][1::2]] if i in parts else []
+            out.append(next(coded) + b"".join(t + next(coded) for t in tokens))
+        return out
+
+    def ordinary(self, texts: list[str]) -> list[bytes]:
         units = self.units
         cut = [units.parts(t) for t in texts]
         new = {u for p in cut for u in p[1:] if u not in units}
@@ -79,21 +108,21 @@ class TokenizerUnits:
         return [self.encode(p[0]) + b"".join(map(units.__getitem__, p[1:])) for p in cut]
 
 
-def live(tokens: list[bytes], pattern: str) -> TokenizerUnits:
+def live(tokens: list[bytes], pattern: str, added: dict[str, int]) -> TokenizerUnits:
     """This process's encoder of a vocabulary."""
-    key = hashlib.sha256(pattern.encode() + b"\0".join(tokens)).hexdigest()
+    key = hashlib.sha256(pattern.encode() + repr(sorted(added.items())).encode() + b"\0".join(tokens)).hexdigest()
     if key not in _live:
-        _live[key] = TokenizerUnits(tokens, pattern)
+        _live[key] = TokenizerUnits(tokens, pattern, added)
     return _live[key]
 
 
-def pieces(docs: DataFrame, tokens: list[bytes], pattern: str, length: int = 1024, closing_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokens: list[bytes], pattern: str, added: dict[str, int], length: int = 1024, closing_id: int = 0) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, bucket key) of every piece."""
 
     closing = closing_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = live(tokens, pattern)
+        units = live(tokens, pattern, added)
         for batch in batches:
             for chunk in chunks(batch, 1 << 20):
                 row, start, size, crc, total = [], [], [], [], []
@@ -155,18 +184,20 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray,
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_json: str, pattern: str, length: int = 1024, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_json: str, pattern: str, length: int = 1024, closing_id: int = 0, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer_json is the path of a byte-level `tokenizers` file, read by the driver; pattern is the one
-    that its pre-tokenizer splits by. The ids are those that `tokenizers` gives with add_special_tokens=False
-    and special tokens in the text as ordinary text.
+    that its pre-tokenizer splits by. The ids are those that `tokenizers` gives with add_special_tokens=False.
+    Added tokens in a text get their own ids; encode_special_tokens, named as in `tokenizers`, takes the special
+    ones as ordinary text instead. The registered query and the pipeline set it to False, as `tokenizers` does.
     """
     with open(tokenizer_json, encoding="utf-8") as f:
-        tokens = byte_tokens(f.read())
+        spec = f.read()
+    tokens, added = byte_tokens(spec), added_tokens(spec, encode_special_tokens)
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.table(pieces(documents(docs, id_col, text_col), tokens, pattern, length, closing_id), "pieces")
+    rows = scratch.table(pieces(documents(docs, id_col, text_col), tokens, pattern, added, length, closing_id), "pieces")
     buckets = max(64, rows.count() // 200_000)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row_hash", "start"), F.lit(buckets)).cast("int"))
     counts = scratch.table(rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
