@@ -1,62 +1,131 @@
 """Quality classifier (operator 5): a weak-label model and a hashed linear scorer.
 
-Heuristic labellers vote good, bad or nothing on every document. The votes of all documents are counted
-by pattern (at most 3 to the power of the labellers), and expectation-maximisation over these counts
+One pass over the texts writes, per document, the votes of the heuristic labellers (good, bad or nothing)
+and the counts of its hashed features (words and their last two characters). The votes of all documents are
+counted by pattern (at most 3 to the power of the labellers), and expectation-maximisation over these counts
 estimates the share of good documents and, per labeller, how often it votes right on good and on bad
-documents. The posterior of a document's pattern is its weak label. A logistic regression over hashed
-features of the text (words and their endings) learns from the posteriors of a sample of at most about
-`train_rows` documents, each as a good and a bad example weighted by the posterior, and scores every
-document.
+documents. The posterior of a document's pattern is its weak label. A logistic regression over the features
+learns from the posteriors of a sample of about `train_rows` documents, each as a good and a bad example
+weighted by the posterior, and scores every document from the written counts.
 
-Edge cases: null text is empty and votes bad on length; repeated rows score alike; ties at 0.5 are kept;
-an empty table, or one whose posteriors agree on one class, scores every document by its posterior.
+Edge cases: null text is empty and votes bad on length; repeated rows have one posterior and one score; ties
+at 0.5 are kept; a text without words scores by the intercept alone; an empty table gives an empty result, and
+one whose posteriors agree on one class scores every document by its posterior.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Scratch
-from .quality_rules import SYMBOLS, words
+from .common import WHITE, Rolling, Scratch, chunks, mix
+from .quality_rules import SYMBOLS
 
 FEATURES = 1 << 16
+LABELLERS = ("symbols", "upper", "stutter", "ends", "marks", "letterless", "variety", "length")
+SPACE, UPPER, LETTER, SYMBOL, MARK, END = (1 << i for i in range(6))
+_CODE = Rolling(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def traits() -> np.ndarray:
+    """Flags of every code point: white space, capital letter, letter, symbol, mark, end of a sentence."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "L":
+            out[c] = LETTER | (UPPER if kind == "Lu" else 0)
+    for flag, chars in ((SPACE, WHITE), (SYMBOL, SYMBOLS), (MARK, "!?#*$%&"), (END, ".!?")):
+        out[[ord(c) for c in chars]] |= flag
+    return out
+
+
+class Measured:
+    """The words of a chunk of texts, their hashes, and the counts that labellers look at."""
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) + 1 for t in texts])
+        codes = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)  # a space ends each text
+        flags = traits()[codes]
+        solid = (flags & SPACE) == 0
+        edges = np.flatnonzero(np.diff(np.r_[False, solid].view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        begins = np.r_[0, np.cumsum(sizes)]
+        self.rows = np.searchsorted(starts, begins)  # first word of every text
+        self.n = np.diff(self.rows)
+        self.row = np.repeat(np.arange(len(texts)), self.n)
+        whole = mix(_CODE.spans(_CODE.prefix(mix(codes.astype(np.uint64))), starts, ends))
+        two = np.maximum(ends - 2, starts)
+        ending = mix(codes[ends - 1].astype(np.uint64) << np.uint64(32) | np.where(two < ends - 1, codes[two], 0).astype(np.uint64), 5)
+        self.words, self.features = whole, np.r_[whole, ending] >> np.uint64(48)
+        per_text = lambda flag: self.total((flags & flag) > 0, begins)
+        self.symbols, self.upper = per_text(SYMBOL), per_text(UPPER)
+        self.chars = sizes - per_text(SPACE)
+        last = flags[ends - 1]
+        letters = np.r_[0, np.cumsum((flags & LETTER) > 0)]
+        again = np.r_[False, (whole[1:] == whole[:-1]) & (self.row[1:] == self.row[:-1])] if len(whole) else np.zeros(0, bool)
+        self.stutter = self.total(again, self.rows)
+        self.ended = self.total((last & END) > 0, self.rows)
+        self.marks = self.total((ends - starts > 1) & ((last & flags[two] & MARK) > 0), self.rows)
+        self.letterless = self.total(letters[ends] == letters[starts], self.rows)
+        order = np.lexsort((whole, self.row))
+        new = np.r_[True, (whole[order][1:] != whole[order][:-1]) | (self.row[order][1:] != self.row[order][:-1])] if len(whole) else np.zeros(0, bool)
+        self.distinct = self.total(new, self.rows)
+
+    @staticmethod
+    def total(each: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        sums = np.r_[0, np.cumsum(each)]
+        return sums[edges[1:]] - sums[edges[:-1]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry of every text, one more at the end; feature; how often it occurs)."""
+        key, count = np.unique(np.r_[self.row, self.row].astype(np.uint64) << np.uint64(16) | self.features, return_counts=True)
+        return np.searchsorted(key, np.arange(len(self.n) + 1).astype(np.uint64) << np.uint64(16)), (key & np.uint64(FEATURES - 1)).astype(np.int32), count.astype(np.int32)
+
+
+def votes(m: Measured) -> np.ndarray:
+    """-1 (bad), 1 (good) or 0 of every text and labeller; each looks at a trait of its own, and bad wins."""
+    n = np.maximum(m.n, 1)
+    upper = m.upper / np.maximum(m.chars, 1)
+    symbols, stutter, ended, marks, odd, distinct = (x / n for x in (m.symbols, m.stutter, m.ended, m.marks, m.letterless, m.distinct))
+    tests = {
+        "symbols": (symbols > 0.3, symbols < 0.05),
+        "upper": (upper > 0.4, upper < 0.15),
+        "stutter": (stutter > 0.15, stutter < 0.03),
+        "ends": ((m.n > 20) & (ended < 0.01), (ended > 0.02) & (ended < 0.4)),
+        "marks": (marks > 0.2, marks < 0.02),
+        "letterless": (odd > 0.25, odd < 0.1),
+        "variety": ((m.n > 30) & (distinct < 0.2), distinct > 0.3),
+        "length": (m.n < 5, m.n >= 30),
+    }
+    return np.stack([np.where(tests[k][0], -1, np.where(tests[k][1], 1, 0)) for k in LABELLERS], axis=1)
 
 
-def vote(bad: Column, good: Column) -> Column:
-    """-1, 1 or 0; bad wins."""
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return base.withColumn("ws", words(F.col("text"))).select("doc_id", "text", "ws", F.size("ws").alias("n"))
-
-
-def labellers() -> dict[str, Column]:
-    """Votes from text, ws and n; each looks at a trait of its own."""
-    n = F.greatest("n", F.lit(1))
-    times = lambda pattern: F.regexp_count("text", F.lit(pattern)) / n
-    chars = F.greatest(F.length(F.translate("text", WHITE, "")), F.lit(1))
-    upper = (F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))) / chars
-    symbols = (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))) / n
-    stutter = F.size(F.filter("ws", lambda w, i: (i > 0) & (w == F.get("ws", i - 1)))) / n
-    ended, shouted, odd = times(r"[.!?](?!\S)"), times(r"[!?#*$%&]{2}(?!\S)"), times(r"(?<!\S)[^\s\p{L}]+(?!\S)")
-    distinct = F.size(F.array_distinct("ws")) / n
-    return {
-        "symbols": vote(symbols > 0.3, symbols < 0.05),
-        "upper": vote(upper > 0.4, upper < 0.15),
-        "stutter": vote(stutter > 0.15, stutter < 0.03),
-        "ends": vote((F.col("n") > 20) & (ended < 0.01), (ended > 0.02) & (ended < 0.4)),
-        "marks": vote(shouted > 0.2, shouted < 0.02),
-        "letterless": vote(odd > 0.25, odd < 0.1),
-        "variety": vote((F.col("n") > 30) & (distinct < 0.2), distinct > 0.3),
-        "length": vote(F.col("n") < 5, F.col("n") >= 30),
-    }
+PLACES = 3 ** np.arange(len(LABELLERS))
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, pattern, features, counts): the votes as the digits of a number to base 3, and the hashed features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch):
+                m = Measured(chunk.column("text").to_pylist())
+                edges, feature, count = m.counts()
+                pattern = ((votes(m) + 1) @ PLACES).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)) for x in (feature, count)]
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(pattern), *lists], names=["doc_id", "pattern", "features", "counts"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, pattern int, features array<int>, counts array<int>")
 
 
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
@@ -85,32 +154,55 @@ def posterior(votes: np.ndarray, prior: float, right_good: np.ndarray, right_bad
     return 1 / (1 + np.exp(np.clip(b - a, -50, 50)))
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Adds x: hashed words and last two characters of words, of length one."""
-    tokens = F.concat("ws", F.transform("ws", lambda w: F.concat(F.lit("\x01"), F.right(w, F.lit(2)))))
-    hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES).transform(rows.withColumn("tokens", tokens))
-    return Normalizer(inputCol="tf", outputCol="x").transform(hashed).drop("tokens", "tf")
+def examples(sample: DataFrame, known: np.ndarray) -> DataFrame:
+    """(x, label, weight): each document of the bounded sample as a good and a bad example; x has length one."""
+
+    def vector(features: list[int], counts: list[int]) -> SparseVector:
+        values = np.array(counts, float)
+        return SparseVector(FEATURES, features, values / max(np.sqrt((values**2).sum()), 1e-300))
+
+    weak = F.udf(lambda i: float(known[i]), "double")("pattern")
+    rows = sample.select(F.udf(vector, VectorUDT())("features", "counts").alias("x"), weak.alias("p"))
+    return rows.select("x", F.lit(1.0).alias("label"), F.col("p").alias("weight")).union(rows.select("x", F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))
+
+
+def scored(rows: DataFrame, known: np.ndarray, weights: np.ndarray | None, intercept: float) -> DataFrame:
+    """(doc_id, posterior, score, kept) of described(); without weights the score is the posterior."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = score = known[batch.column("pattern").to_numpy()]
+            if weights is not None:
+                features, counts = batch.column("features"), batch.column("counts").flatten().to_numpy().astype(float)
+                edges = np.r_[0, np.cumsum(features.value_lengths().to_numpy(zero_copy_only=False))]
+                dot = Measured.total(weights[features.flatten().to_numpy()] * counts, edges)
+                norm = np.sqrt(Measured.total(counts**2, edges))
+                score = 1 / (1 + np.exp(-np.clip(dot / np.maximum(norm, 1e-300) + intercept, -50, 50)))
+            score = np.round(score, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(p, 6)), pa.array(score), pa.array(score >= 0.5)], names=["doc_id", "posterior", "score", "kept"])
+
+    return rows.mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
 
 
 def quality_classifier(docs: DataFrame, train_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, posterior (of the weak labels), score and kept (score 0.5 or more)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "classifier")
-    rows, votes = measured(docs, id_col, text_col), labellers()
-    names = list(votes)
-    voted = rows.select("doc_id", "ws", *(v.cast("int").alias(k) for k, v in votes.items()))
-    patterns = voted.groupBy(*names).count().collect()  # at most 3 ** len(names) rows
+    """Per row: doc_id, posterior (of the weak labels), score and kept (score 0.5 or more).
+
+    train_rows bounds the expected size of the sample that the scorer is fitted on.
+    """
+    scratch = Scratch(docs.sparkSession, "classifier")
+    rows = scratch.table(described(docs, id_col, text_col), "described")
+    patterns = rows.groupBy("pattern").count().collect()  # at most 3 ** len(LABELLERS) rows
+    known = np.full(3 ** len(LABELLERS), 0.5)
     if not patterns:
-        return rows.select("doc_id", F.lit(0.5).alias("posterior"), F.lit(0.5).alias("score"), F.lit(True).alias("kept"))
-    table = np.array([[r[k] for k in names] for r in patterns])
-    p = posterior(table, *fit_label_model(table, np.array([r["count"] for r in patterns])))
-    known = spark.createDataFrame([(*map(int, t), float(x)) for t, x in zip(table, p, strict=True)], [*names, "posterior"])
-    labelled = voted.join(F.broadcast(known.select(*(F.col(k).cast("int").alias(k) for k in names), "posterior")), names).select("doc_id", "ws", "posterior")
-    total = sum(r["count"] for r in patterns)
-    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, train_rows / total) * (1 << 20)) + 1
-    sample = scratch.table(features(labelled.where(picked)).select("x", "posterior"), "sample")
-    both = sample.select("x", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).union(sample.select("x", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))
-    if not 0.001 < float(p @ [r["count"] for r in patterns]) / total < 0.999 or not sample.limit(1).count():
-        return labelled.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("posterior", 6).alias("score"), (F.col("posterior") >= 0.5).alias("kept"))
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=40, regParam=1e-4, standardization=False).fit(both)
-    scored = model.transform(features(labelled)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
-    return scored.select("doc_id", F.round("posterior", 6).alias("posterior"), "score", (F.col("score") >= 0.5).alias("kept"))
+        return scored(rows, known, None, 0.0)
+    code, count = (np.array([r[k] for r in patterns]) for k in ("pattern", "count"))
+    table = code[:, None] // PLACES % 3 - 1
+    known[code] = posterior(table, *fit_label_model(table, count))
+    total = int(count.sum())
+    if not 0.001 < float(known[code] @ count) / total < 0.999:
+        return scored(rows, known, None, 0.0)
+    sample = scratch.table(rows.select("pattern", "features", "counts").sample(min(1.0, train_rows / total), seed=11), "sample")
+    if not sample.limit(1).count():
+        return scored(rows, known, None, 0.0)
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=40, regParam=1e-4, standardization=False).fit(scratch.table(examples(sample, known), "examples"))
+    return scored(rows, known, model.coefficients.toArray(), model.intercept)
