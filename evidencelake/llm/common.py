@@ -13,7 +13,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of every word rule here: space and the five ASCII controls 0x09 to 0x0D.
@@ -23,9 +23,12 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where one machine is all
+    there is, an unset folder is replaced by a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="evidencelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -64,14 +67,25 @@ def with_side(docs: DataFrame, side: DataFrame, on: list[str], size: F.Column, h
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_hash, text): null texts are empty; row_hash tells rows apart that share a doc_id."""
+    """(doc_id, row_hash, text): null texts are empty; row_hash (64 bits) tells rows apart that share a doc_id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).cast("long").alias("row_hash"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped(doc_id), a written table."""
-    return with_side(docs, dropped.select(F.col("doc_id").alias(id_col)).distinct(), [id_col], F.lit(16), "left_anti")
+#: Columns that name a row: never null, and 128 bits of the text tell rows apart that share a doc_id or have none.
+ROW = ["known", "doc", "row_digest"]
+
+
+def row_name(doc_id: Column, text: Column) -> list[Column]:
+    """The ROW columns of a row."""
+    doc_id = doc_id.cast("long")
+    return [doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("doc"), F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")))).alias("row_digest")]
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that dropped(ROW), a written table, names."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *row_name(docs[id_col], docs[text_col]))
+    return with_side(rows, dropped.select(*ROW).distinct(), ROW, F.lit(48), "left_anti").select("row.*")
 
 
 def chunks(batch: pa.RecordBatch, most: int = 2 << 20):

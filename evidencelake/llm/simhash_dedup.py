@@ -5,8 +5,9 @@ every 23-bit word lies within 3 bits of exactly one anchor, its home. A fingerpr
 of 23, 23 and 18 bits. Two fingerprints that differ in 4 bits or fewer differ in at most 1 bit of some
 block, so one of them lies within 3 + 1 bits of the other's home there. Each fingerprint is therefore
 replicated to every anchor within 4 bits in each block (5.3 on average), and homes are compared with all
-that came to their anchor. Beyond `pair_above` distinct fingerprints, anchors are pairs of blocks (of
-which some pair differs in at most 2 bits): 61 replicas a pair, 4096 times as many anchors.
+that came to their anchor. With `paired`, anchors are pairs of blocks (of which some
+pair differs in at most 2 bits): 61 replicas a pair and 4096 times as many anchors, for the same links; it is
+chosen by the caller, never by the size of the input.
 
 Copies are counted once: only distinct fingerprints are compared. Within an anchor links are joined to
 local groups at once, so a dense group of n sends n links on, not n * n; anchors with more than
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, documents, text_bytes, with_side, word_spans
+from .common import ROW, Scratch, chunks, documents, row_name, text_bytes, with_side, without, word_spans
 from .components import components
 
 BITS, SHINGLE, SEED = 64, 4, 42
@@ -49,6 +50,18 @@ def fingerprint_rows(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def named_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(ROW, fp) of docs(name, text), where name is a struct of ROW."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch):
+                prints = fingerprints(chunk.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([*chunk.column("name").flatten(), pa.array(prints.view(np.int64))], names=[*ROW, "fp"])
+
+    return docs.mapInArrow(run, "known boolean, doc long, row_digest binary, fp long")
+
+
 def fingerprints(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     data, offsets = text_bytes(text)
     starts, ends, rows = word_spans(data, offsets)
@@ -207,11 +220,11 @@ def anchor_links(rows: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_links(prints: DataFrame, scratch: Scratch, threshold: int = 4, pair_above: int = 50_000_000, cell_rows: int = 8192) -> DataFrame:
+def near_links(prints: DataFrame, scratch: Scratch, threshold: int = 4, paired: bool = False, cell_rows: int = 8192) -> DataFrame:
     """Links between distinct fingerprints(fp) that connect all pairs within the threshold."""
     if threshold > 4:
         raise ValueError("the anchors cover thresholds up to 4 bits")
-    rows = replicas(prints, prints.count() > pair_above)
+    rows = replicas(prints, paired)
     hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
     hot = scratch.table(hot.select("anchor", F.ceil(F.col("n") / cell_rows).cast("int").alias("g")), "hot")
     g = F.coalesce("g", F.lit(1))
@@ -221,14 +234,38 @@ def near_links(prints: DataFrame, scratch: Scratch, threshold: int = 4, pair_abo
     return anchor_links(rows.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "fp"), threshold)
 
 
-def simhash_dedup(docs: DataFrame, threshold: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped_prints(rows: DataFrame, scratch: Scratch, threshold: int, paired: bool) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of rows(fp), written."""
+    prints = scratch.table(rows.select("fp").distinct(), "distinct")
+    links = scratch.table(near_links(prints, scratch, threshold, paired), "links")
+    roots = components(links, scratch)
+    return scratch.table(prints.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def simhash_dedup(docs: DataFrame, threshold: int = 4, paired: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprint_rows(documents(docs, id_col, text_col)), "prints")
-    prints = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = scratch.table(near_links(prints.select("fp"), scratch, threshold), "links")
-    roots = components(links, scratch)
-    grouped = prints.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    whole = scratch.table(grouped.join(least.hint("merge"), "root").select("fp", "component_id"), "groups")
+    roots = grouped_prints(rows, scratch, threshold, paired)
+    least = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "least").join(roots.hint("merge"), "fp")
+    least = scratch.table(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    whole = scratch.table(roots.join(least.hint("merge"), "root").select("fp", "component_id"), "groups")
     return rows.join(whole.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_filter(docs: DataFrame, threshold: int = 4, paired: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, that stay: of each component the one with the smallest doc_id.
+
+    Of several rows with that doc_id the one with the smallest digest of its text stays; a row without a doc_id
+    stays only in a component that has none. Rows that repeat a doc_id and text are one document.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    named = docs.select(F.struct(*row_name(F.col(id_col), F.col(text_col))).alias("name"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = scratch.table(named_fingerprints(named), "prints")
+    roots = grouped_prints(rows, scratch, threshold, paired)
+    first = F.struct((~F.col("known")).alias("unknown"), *ROW[1:])
+    best = scratch.table(rows.groupBy("fp").agg(F.min(first).alias("best")), "best").join(roots.hint("merge"), "fp")
+    best = scratch.table(best.groupBy("root").agg(F.min("best").alias("best")), "winners")
+    winner = scratch.table(roots.join(best.hint("merge"), "root").select("fp", "best"), "groups")
+    gone = scratch.table(rows.join(winner.hint("merge"), "fp").where(first != F.col("best")).select(*ROW), "gone")
+    return without(docs, gone, id_col, text_col)

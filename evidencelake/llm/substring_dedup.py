@@ -194,7 +194,7 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     cuts = removed_spans(documents(docs, id_col, text_col), window, scratch)
     rest = F.struct(*(docs[c] for c in docs.columns if c != text_col))
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.hash(text).cast("long").alias("row_hash"), docs[text_col].alias("text"), rest.alias("rest"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), docs[text_col].alias("text"), rest.alias("rest"))
     marked = with_side(rows, cuts, KEY, side_bytes("cut"))
     same = marked.where("cut_from IS NULL").select("rest", "text", F.lit(False).alias("changed"))
     less = cut_words(marked.where("cut_from IS NOT NULL")).select("rest", F.col("kept_text").alias("text"), F.lit(True).alias("changed"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import regex
@@ -116,10 +117,15 @@ def join(n, linked):
     return [find(a) for a in range(n)]
 
 
+def near_roots(texts, threshold=4):
+    prints = np.array([fingerprint(t) for t in texts], np.uint64)
+    return join(len(texts), lambda a: np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= threshold))
+
+
 def near(docs, threshold=4):
     """[(id, fingerprint, component)]"""
     prints = np.array([fingerprint(t) for _, t in docs], np.uint64)
-    roots = join(len(docs), lambda a: np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= threshold))
+    roots = near_roots([t for _, t in docs], threshold)
     least = {}
     for (i, _), r in zip(docs, roots, strict=True):
         if i is not None:
@@ -141,12 +147,6 @@ def distance(a, b):
     return row[-1]
 
 
-def line_print(norm):
-    h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in norm.split(" ")], np.uint64)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
-    return np.packbits(2 * bits > len(h)).view(np.uint64)[0]
-
-
 def fuzzy_lines(docs, similarity=0.8):
     """{(id, text): kept text}"""
     order = sorted({(i is not None, i or 0, t or "") for i, t in docs})
@@ -156,14 +156,14 @@ def fuzzy_lines(docs, similarity=0.8):
             if normal_line(line):
                 at.setdefault(normal_line(line), []).append((*d, k))
     keys = sorted(at)
-    prints = np.array([line_print(k) for k in keys], np.uint64)
+    bags = [Counter(x[i : i + 2] for i in range(len(x) - 1)) for x in keys]
 
     def linked(a):
-        for b in np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= 3):
-            x, y = keys[a], keys[int(b)]
-            if len(x) > 1024 and len(y) > 1024:
-                x, y = x.split(" "), y.split(" ")
-            if distance(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9):
+        for b in range(a):
+            x, y = keys[a], keys[b]
+            most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+            # an edit changes two pairs of letters at most
+            if abs(len(x) - len(y)) <= most and (bags[a] & bags[b]).total() >= max(len(x), len(y)) - 1 - 2 * most and distance(x, y) <= most:
                 yield b
 
     groups = {}
