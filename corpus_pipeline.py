@@ -1,21 +1,21 @@
 """Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, substring dedup, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. doc_id is the key
-of a document: of rows that repeat one doc_id and text, the exact stage keeps one. Rows whose doc_id is
-null cannot be named by a decision and stay. Empty input gives an empty result at every stage.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. A decision names a row by
+its doc_id and 128 bits of its text, never by the doc_id alone, so different texts under one doc_id, or without
+one, are documents of their own. Of equal texts one row stays, also where none has a doc_id. Empty input gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from evidencelake.llm.common import Scratch, without
-from evidencelake.llm.exact_dedup import exact_dedup
+from evidencelake.llm.common import Scratch
+from evidencelake.llm.exact_dedup import exact_filter
 from evidencelake.llm.packing import pack_documents
 from evidencelake.llm.quality_rules import quality_filter
-from evidencelake.llm.simhash_dedup import simhash_dedup
+from evidencelake.llm.simhash_dedup import simhash_filter
 from evidencelake.llm.substring_dedup import without_repeats
 
 
@@ -26,16 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    verdicts = Scratch(spark, "pipeline").table(exact_dedup(docs), "exact")
-    docs = without(docs, verdicts.where("NOT kept"))
-    again = verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")) if again else docs
+    return exact_filter(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id."""
-    groups = Scratch(spark, "pipeline").table(simhash_dedup(docs), "near")
-    return without(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+    return simhash_filter(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
