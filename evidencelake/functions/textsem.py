@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The white-space characters of ECMAScript's \s, as a class that Java and RE2 both read.
 WS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-_WS_BODY = WS[1:-1]
+WS_BODY = WS[1:-1]
 #: ASCII word boundary, which Java's \b is not.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -25,30 +25,6 @@ def norm_ws(c: Column, lower: bool = False) -> Column:
     return F.lower(out) if lower else out
 
 
-def java_pattern(pattern: str, flags: str = "") -> str:
-    r"""An ECMAScript pattern with the same meaning in Java: \b, \s, \w and \d by their ASCII or Unicode sets."""
-    out, i, in_class = [], 0, False
-    plain = {"b": EDGE, "s": WS, "S": f"[^{_WS_BODY}]", "w": "[A-Za-z0-9_]", "W": "[^A-Za-z0-9_]", "d": "[0-9]", "D": "[^0-9]"}
-    inner = {"s": _WS_BODY, "w": "A-Za-z0-9_", "d": "0-9"}
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "\\" and i + 1 < len(pattern):
-            nxt = pattern[i + 1]
-            out.append(inner.get(nxt, ch + nxt) if in_class else plain.get(nxt, ch + nxt))
-            i += 2
-            continue
-        if ch == "[" and not in_class:
-            in_class = True
-        elif ch == "[" and in_class:
-            ch = r"\["
-        elif ch == "]":
-            in_class = False
-        out.append(ch)
-        i += 1
-    wanted = "".join(f for f in "ims" if f in flags)
-    return (f"(?{wanted})" if wanted else "") + "".join(out)
-
-
 def quoted(literal: str) -> str:
     """A pattern that matches exactly this text in Java and RE2."""
     return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", literal)

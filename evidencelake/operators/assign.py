@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import bounds_of, part_of, small
 from .classify import hash_mod
 
 
-def ranked(units: DataFrame, unit: str, buckets: int = 64, prefix: int = 15) -> DataFrame:
+def ranked(units: DataFrame, unit: str, parts: int | None = None) -> DataFrame:
     """Adds rank (0-based, in the order of unit) without a window over all rows.
 
-    Rows are dealt to ranges (of `buckets` quantiles, or for strings of their first `prefix` characters),
-    numbered within their range, and shifted by the sizes of the ranges before.
+    Rows are dealt to ranges of about equal size, numbered within their range, and shifted by the sizes of the
+    ranges before, of which there are as many as shuffle partitions.
     """
-    if units.schema[unit].dataType.typeName() == "string":
-        part = F.left(unit, F.lit(prefix))
-    else:
-        bounds = units.agg(F.percentile_approx(unit, [i / buckets for i in range(1, buckets)], 10_000).alias("_b"))
-        units, part = units.crossJoin(F.broadcast(bounds)), F.size(F.filter(F.coalesce("_b", F.array()), lambda x: x <= F.col(unit)))
-    rows = units.withColumn("_part", part).drop("_b")
+    rows = units.withColumn("_part", part_of(F.col(unit), bounds_of(units, unit, parts)))
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_begin", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(unit))
-    return rows.withColumn("_nth", nth).join(sizes, "_part").withColumn("rank", F.col("_begin") + F.col("_nth") - 1).drop("_part", "_begin", "_nth")
+    rows = rows.withColumn("_nth", nth).join(F.broadcast(sizes), "_part")  # a row a part
+    return rows.withColumn("rank", F.col("_begin") + F.col("_nth") - 1).drop("_part", "_begin", "_nth")
 
 
 def assign_round_robin(units: DataFrame, members: DataFrame, unit: str) -> DataFrame:
     """unit, label, job_id: sorted units to sorted members in turn. members(label, job_id) is a small table."""
     labels = members.select("label", "job_id", (F.row_number().over(Window.orderBy("label")) - 1).alias("_i"))
     n = labels.count()
-    return ranked(units.select(unit), unit).withColumn("_i", (F.col("rank") % n).cast("int")).join(F.broadcast(labels), "_i").select(unit, "label", "job_id")
+    return ranked(units.select(unit), unit).withColumn("_i", (F.col("rank") % n).cast("int")).join(small(labels), "_i").select(unit, "label", "job_id")
 
 
 def assign_hash(units: DataFrame, members: DataFrame, unit: str, seed: str) -> DataFrame:
@@ -39,7 +36,7 @@ def assign_hash(units: DataFrame, members: DataFrame, unit: str, seed: str) -> D
     labels = members.select("label", "job_id", (F.row_number().over(Window.orderBy("label")) - 1).alias("_i"))
     n = labels.count()
     index = hash_mod(F.concat(F.lit(f"{seed}:"), F.col(unit).cast("string")), F.lit(n)).cast("int")
-    return units.select(unit, index.alias("_i")).join(F.broadcast(labels), "_i").select(unit, "label", "job_id")
+    return units.select(unit, index.alias("_i")).join(small(labels), "_i").select(unit, "label", "job_id")
 
 
 def label_counts(assignments: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.textsem import java_pattern, mul32, norm_ws, trim_ws
+from ..functions.jsregex import java_pattern
+from ..functions.textsem import mul32, norm_ws, trim_ws
 from .signals import salient_terms
 from .textops import blank_signal
 
@@ -59,7 +60,7 @@ DISCLOSE = (
     r"(?i)\b(quote|reveal|disclose|mention|state|repeat|copy|admit|confirm)\b[^.\n]{0,60}"
     r"\b(this (hidden )?instruction|this prompt|these instructions|you were instructed)\b"
 )
-NOT_DISCLOSE = r"(?i)\b(do not|don't|never|without)\b[^.\n]{0,40}" + DISCLOSE[4:]
+NOT_DISCLOSE = r"(?i)\b(do not|don't|never|without)\b[^.\n]{0,40}" + DISCLOSE.removeprefix("(?i)")
 JAILBREAK = (
     r"(?i)\b(ignore (all |any |the |your |previous )*(instructions|rules|guidelines)|disregard (your |all |the )*(guidelines|instructions|training|rules)|"
     r"you are now (unrestricted|free|DAN)|jailbreak|DAN mode|pretend you have no restrictions|bypass (your |the )*(safety|content) (filter|policy|guidelines))\b"
@@ -163,7 +164,7 @@ def lint_rules(text: Column, signals: Column, language: Column, most: int) -> di
     }
 
 
-def lint(rows: DataFrame, keys: list[str], text: str, signals: str, language: str | None = None, most: int = 2000, more: dict | None = None) -> DataFrame:
+def lint(rows: DataFrame, keys: list[str], text: str, signals: str, language: str | None = None, most: int = 1500, more: dict | None = None) -> DataFrame:
     """keys, rule, severity of every rule that a row breaks."""
     rules = lint_rules(F.col(text), F.col(signals), F.col(language) if language else F.lit("en"), most) | (more or {})
     issues = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(k).alias("rule"), F.lit(sev).alias("severity"))) for k, (sev, cond) in rules.items())))

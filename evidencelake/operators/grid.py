@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import small, tiny
+
 #: The condition that deltas are against, the one that only controls, and the gate's threshold.
 ORIGINAL, CONTROL, THRESHOLD_PP = "original", "visible_positive_control", 50.0
 #: All conditions, in their order.
@@ -16,7 +18,7 @@ CONDITIONS = (
 
 def grid(providers: DataFrame, conditions: DataFrame, repeats: int) -> DataFrame:
     """providers x conditions x repeats(1..); both inputs are small configuration tables."""
-    return providers.crossJoin(F.broadcast(conditions)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return providers.crossJoin(tiny(conditions)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
 
 def config_errors(providers: Column, conditions: Column, repeats: Column) -> Column:
@@ -42,7 +44,7 @@ def cell_rates(results: DataFrame, cell: list[str], flags: list[str], latency: s
 def with_deltas(cells: DataFrame, provider: str, condition: str, rate: str) -> DataFrame:
     """Adds delta_pp against the same provider's original condition; null for the original itself."""
     base = cells.where(F.col(condition) == ORIGINAL).select(provider, F.col(rate).alias("_o"))
-    out = cells.join(F.broadcast(base), provider, "left")
+    out = cells.join(small(base), provider, "left")
     return out.withColumn("delta_pp", F.when(F.col(condition) != ORIGINAL, (F.col(rate) - F.col("_o")) * 100)).drop("_o")
 
 
@@ -92,7 +94,7 @@ def pairs(rows: DataFrame, keys: list[str], limit: str, short: int, long: int, c
 
 def contrasts(rows: DataFrame, controls: DataFrame, arm: str, keys: list[str], hit: str, by: list[str]) -> DataFrame:
     """Treatment against its mapped control (controls: arm, control) on the same keys: paired n and both counts."""
-    treated = rows.join(F.broadcast(controls), arm)
+    treated = rows.join(small(controls), arm)
     base = rows.select(F.col(arm).alias("control"), *keys, F.col(hit).alias("_c"))
     both = treated.join(base, ["control", *keys])
     return both.groupBy(arm, "control", *by).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("treatment"), F.count_if("_c").alias("control_hits"))

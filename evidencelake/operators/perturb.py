@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.textsem import WS, norm_ws, trim_ws
+from ..functions.textsem import WS, WS_BODY, norm_ws, trim_ws
 from .classify import draw, fnv1a
+from .signals import running_sums
 
-_WS_BODY = WS[1:-1]
 #: Shares of sentences and words that the human edit drops.
 DROP_SENTENCE, DROP_WORD = 0.1, 0.05
 #: The synonym table.
@@ -68,19 +68,18 @@ def human_edit(text: Column, seed: Column, protected: Column) -> Column:
         moved = F.transform(x["k"], lambda s, i: F.when(i == at, F.get(x["k"], at + 1)).when(i == at + 1, F.get(x["k"], at)).otherwise(s))
         order = F.when(n >= 2, moved).otherwise(x["k"])
         used = x["n"] + F.when(n >= 2, 1).otherwise(0)
-        return _let(F.struct(F.array_join(order, "\u0001").alias("t"), used.alias("used"), x["seed"].alias("seed")), drop)
+        return _let(F.struct(order.alias("t"), used.alias("used"), x["seed"].alias("seed")), split)
 
-    def drop(x: Column) -> Column:
-        parts = F.regexp_extract_all(x["t"], F.lit(rf"[{_WS_BODY}\x01]+|[^{_WS_BODY}\x01]+"), F.lit(0))
-        zero = F.struct(x["used"].alias("i"), F.lit("").alias("out"))
-
-        def step(acc: Column, w: Column) -> Column:
-            free = F.rlike(w, F.lit(rf"^[{_WS_BODY}\x01]")) | F.array_contains(protected, word_core(w))
-            i = acc["i"] + F.when(free, 0).otherwise(1)
-            stays = free | (draw(x["seed"], i) >= DROP_WORD)
-            return F.struct(i.alias("i"), F.concat(acc["out"], F.when(stays, w).otherwise("")).alias("out"))
+    def split(x: Column) -> Column:
+        parts = F.transform(x["t"], lambda s: F.regexp_extract_all(s, F.lit(rf"[{WS_BODY}]+|[^{WS_BODY}]+"), F.lit(0)))
+        spaced = F.flatten(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.array(F.lit(" ")), p)).otherwise(p)))
+        marked = F.transform(spaced, lambda w: F.struct(w.alias("w"), (F.rlike(w, F.lit(rf"^[{WS_BODY}]")) | F.array_contains(protected, word_core(w))).alias("free")))
+        return _let(F.struct(marked.alias("p"), x["used"].alias("used"), x["seed"].alias("seed")), drop)
 
-        return F.replace(F.aggregate(parts, zero, step, lambda acc: acc["out"]), F.lit("\u0001"), F.lit(" "))
+    def drop(x: Column) -> Column:
+        turns = running_sums(F.transform(x["p"], lambda w: F.when(w["free"], 0).otherwise(1)))
+        stays = lambda t: F.transform(x["p"], lambda w, i: F.when(w["free"] | (draw(x["seed"], x["used"] + F.get(t, i)) >= DROP_WORD), w["w"]).otherwise(""))
+        return F.array_join(_let(turns, stays), "")
 
     return _let(fnv1a(F.concat(F.lit("human_edit:"), seed)), edit)
 
@@ -154,7 +153,7 @@ def survival(before: DataFrame, after: DataFrame, keys: list[str], more: list[st
     """keys + more, matched counts and all-matched flags of match_counts() rows before and after."""
     hit = lambda p: (F.col(f"{p}total") > 0) & (F.col(f"{p}matched_count") == F.col(f"{p}total"))
     b = before.select(*keys, F.col("matched_count").alias("b_matched_count"), F.col("total").alias("b_total"))
-    rows = after.join(b, keys)
+    rows = after.join(b.hint("merge"), keys)
     return rows.select(*keys, *more, F.col("b_matched_count").alias("matched_before"), F.col("matched_count").alias("matched_after"), hit("b_").alias("all_before"), hit("").alias("all_after"))
 
 

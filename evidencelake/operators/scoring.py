@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import small
 from ..functions.stats import binomial_tail, fisher_exact, holm
 from .signals import GROUPS
 
@@ -49,7 +50,7 @@ def evaluate(scores: DataFrame, calibration: DataFrame, by: list[str]) -> DataFr
 
     A baseline row is judged by a calibration that it is part of itself; leave it out beforehand if unwanted.
     """
-    rows = scores.join(F.broadcast(calibration.select(*by, "baseline_count", "false_positive_rate")), by, "left")
+    rows = scores.join(small(calibration.select(*by, "baseline_count", "false_positive_rate")), by, "left")
     ready = (F.col("total") > 0) & (F.coalesce("baseline_count", F.lit(0)) > 0) & F.col("false_positive_rate").isNotNull()
     k = F.when(F.col("matched_count") == F.col("total"), 1).otherwise(0).cast("long")
     p = F.when(ready, binomial_tail(k, F.lit(1).cast("long"), F.col("false_positive_rate")))

@@ -1,22 +1,28 @@
 """Signal matching (M*): evidence of typed signals in texts, one row per text and signal.
 
-Operators report evidence only, never a verdict about an author. The signal table is configuration: it
-is read on the driver, its patterns are translated and checked there, and it is broadcast (at most
-MOST_SIGNALS rows).
+Operators report evidence only, never a verdict about an author. The signal table is configuration (at most
+MOST_SIGNALS rows): it is read on the driver, its patterns are translated and compiled there, and its values are
+literals of one projection over the texts.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.textsem import EDGE, WS, java_pattern, norm_ws, quoted, trim_ws
+from ..functions.jsregex import java_pattern
+from ..functions.textsem import EDGE, WS, norm_ws, quoted, trim_ws
 from .textops import strip_tags
 
 MOST_SIGNALS = 1000
+#: Characters of the runs by which needles of one or two words meet texts; bytes of needles that are broadcast at most.
+GRAM, BROADCAST_BYTES = 4, 16 << 20
 #: Limits on user patterns, and on regex signals and characters per call.
 MOST_PATTERN, MOST_REGEX, MOST_CHARS, FLAGS = 500, 20, 1_000_000, "gimsu"
 #: A group that holds a quantifier and is itself quantified.
@@ -38,57 +44,102 @@ class Signal:
     values: tuple[str, ...] = field(default=())
 
 
-def pattern_error(pattern: str, flags: str) -> str | None:
-    """Why a user pattern is refused, None if it is taken."""
+def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[str | None, str | None]:
+    """(Java pattern, None), or (None, why the user pattern is refused). What is returned compiles in every task."""
     if len(pattern) > MOST_PATTERN:
-        return f"Pattern exceeds the maximum length of {MOST_PATTERN} characters."
+        return None, f"Pattern exceeds the maximum length of {MOST_PATTERN} characters."
     if NESTED.search(pattern):
-        return "Pattern rejected: nested quantifiers can cause catastrophic backtracking."
+        return None, "Pattern rejected: nested quantifiers can cause catastrophic backtracking."
     for flag in flags:
         if flag not in FLAGS:
-            return f'Disallowed regex flag: "{flag}".'
+            return None, f'Disallowed regex flag: "{flag}".'
+    if len(set(flags)) < len(flags):
+        return None, f"Invalid flags: {flags}."
     try:
-        re.compile(pattern)
-    except re.error as e:
-        return f"Invalid pattern: {e}."
-    return None
+        out = java_pattern(pattern, flags)
+        spark._jvm.java.util.regex.Pattern.compile(out)
+    except ValueError as e:
+        return None, str(e)
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        return None, f"Invalid regular expression: {str(e).splitlines()[0]}."
+    return out, None
 
 
 def label_pattern(term: str) -> str | None:
     """Whole-word pattern of a label in which spaces match any white space; None for a blank label."""
     parts = [quoted(p) for p in term.split()]
-    return f"(?i){EDGE}{f'{WS}+'.join(parts)}{EDGE}" if parts else None
+    return f"(?iu){EDGE}{f'{WS}+'.join(parts)}{EDGE}" if parts else None
 
 
 def signal_frame(spark: SparkSession, signals: list[Signal], signal_set: str = "default") -> DataFrame:
     """The signal table, checked and translated."""
     if len(signals) > MOST_SIGNALS:
-        raise ValueError(f"more than {MOST_SIGNALS} signals: use many_phrases()")
+        raise ValueError(f"more than {MOST_SIGNALS} signals; for many phrases, see disclosures()")
     rows, n_regex = [], 0
     for i, s in enumerate(signals):
-        patterns, error = [], None
+        patterns, terms, error = [], list(s.values), None
         if s.type == "regex":
             n_regex += 1
-            error = pattern_error(s.pattern, s.flags) or (f"More than {MOST_REGEX} regex signals." if n_regex > MOST_REGEX else None)
-            patterns = [] if error else [java_pattern(s.pattern, s.flags)]
+            found, error = checked_pattern(spark, s.pattern, s.flags)
+            error = error or (f"More than {MOST_REGEX} regex signals." if n_regex > MOST_REGEX else None)
+            patterns = [] if error else [found]
         elif s.type == "methodology_label":
-            patterns = [p for t in (s.value, *s.aliases) if (p := label_pattern(t))]
-        rows.append((signal_set, i, s.type, s.value, s.case_sensitive, patterns, list(s.values), error))
+            labels = [(t, p) for t in (s.value, *s.aliases) if (p := label_pattern(t))]
+            terms, patterns = [t for t, _ in labels], [p for _, p in labels]
+        rows.append((signal_set, i, s.type, s.value, s.case_sensitive, patterns, terms, error))
     return spark.createDataFrame(rows, SCHEMA)
 
 
+#: Numbers that running_sums() adds up before it begins a new part of the result.
+PART = 256
+#: Characters that stand for a match; Unicode reserves both for no character. One in a text counts as the other.
+MARK, OTHER = "\ufdd0", "\ufdd1"
+NO_INTS = "array<int>"
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers. Parts are built apart, as appending to one long array copies it each time."""
+    none = F.array().cast(NO_INTS)
+
+    def part(acc: Column, b: Column) -> Column:
+        zero = F.struct(acc["sum"].alias("sum"), none.alias("out"))
+        one = F.aggregate(F.slice(numbers, b * PART + 1, PART), zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"] + x).alias("out")))
+        return F.transform(F.array(one), lambda o: F.struct(o["sum"].alias("sum"), F.array_append(acc["out"], o["out"]).alias("out")))[0]
+
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out"))
+    every = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / PART).cast("int")), start, part, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.size(numbers) > 0, every).otherwise(none)
+
+
+def _starts(pieces: Column, lengths: Column) -> Column:
+    """Where matches of these lengths begin that stand between the pieces of a text."""
+
+    def of(x: Column) -> Column:
+        steps = F.transform(x["n"], lambda n, i: F.length(F.get(x["p"], i)) + n)
+        return F.transform(F.transform(F.array(running_sums(steps)), lambda ends: F.zip_with(ends, x["n"], lambda e, n: e - n))[0], lambda v: v)
+
+    return F.transform(F.array(F.struct(pieces.alias("p"), lengths.alias("n"))), of)[0]
+
+
 def positions(text: Column, needle: Column) -> Column:
     """0-based code-point offsets of all non-overlapping occurrences; none for an empty needle or text."""
     pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
-    step = F.length(needle)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    run = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-        zero,
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + step).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when((F.length(needle) == 0) | (F.length(text) == 0), F.array().cast("array<int>")).otherwise(run)
+    found = _starts(pieces, F.array_repeat(F.length(needle), F.size(pieces) - 1))
+    return F.when((F.length(needle) == 0) | (F.length(text) == 0), F.array().cast(NO_INTS)).otherwise(found)
+
+
+def pattern_positions(text: Column, pattern: Column) -> Column:
+    """0-based code-point offsets of all matches of a Java pattern, empty ones included."""
+    safe = F.translate(text, MARK, OTHER)
+    pieces = F.split(F.regexp_replace(safe, pattern, F.lit(MARK)), MARK, -1)
+    return _starts(pieces, F.transform(F.regexp_extract_all(safe, pattern, F.lit(0)), lambda m: F.length(m)))
+
+
+def collapsed_positions(text: Column, value: Column) -> Column:
+    """Offsets in text itself at which value occurs if runs of white space count as one space, in both."""
+    words = F.filter(F.split(value, f"{WS}+"), lambda w: w != "")
+    literal = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size(words) == 0, F.array().cast(NO_INTS)).otherwise(pattern_positions(text, F.array_join(literal, f"{WS}+")))
 
 
 def exact_match(text: Column, value: Column, case_sensitive: Column) -> Column:
@@ -98,6 +149,14 @@ def exact_match(text: Column, value: Column, case_sensitive: Column) -> Column:
     return (F.length(value) > 0) & (F.length(text) > 0) & F.when(plain, True).otherwise((norm_ws(v) != "") & F.contains(norm_ws(t), norm_ws(v)))
 
 
+def exact_evidence(text: Column, value: Column, case_sensitive: Column) -> Column:
+    """(positions, whitespace_normalized): as it is where it occurs so, else with white space collapsed."""
+    t, v = (F.when(case_sensitive, c).otherwise(F.lower(c)) for c in (text, value))
+    loose = lambda: F.transform(F.array(collapsed_positions(t, v)), lambda p: F.struct(p.alias("positions"), (F.size(p) > 0).alias("whitespace_normalized")))[0]
+    none = F.struct(F.array().cast(NO_INTS).alias("positions"), F.lit(False).alias("whitespace_normalized"))
+    return F.when((F.length(value) == 0) | (F.length(text) == 0), none).when(F.contains(t, v), F.struct(positions(t, v).alias("positions"), F.lit(False).alias("whitespace_normalized"))).otherwise(loose())
+
+
 def ordered_match(text: Column, terms: Column) -> Column:
     """Array of 0-based positions, null where a term is missing after its predecessor."""
     low = F.lower(text)
@@ -143,43 +202,94 @@ def headings(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     return rows.where("heading IS NOT NULL").select(key, F.col("heading").alias("text"), "line_index", "char_offset")
 
 
-def section_match(text: Column, names: Column) -> Column:
-    """Array of heading numbers (0-based) found in order for the section names, null where missing."""
-    found = F.filter(F.transform(_lines(text), lambda x: F.lower(heading_text(x))), lambda x: x.isNotNull())
+def heading_list(text: Column) -> Column:
+    """Array of (text, line_index, char_offset) of the headings of a text."""
+    lines = F.split(text, "\n")
+
+    def placed(x: Column) -> Column:
+        heads = F.transform(x["ls"], lambda l, i: F.struct(heading_text(F.regexp_replace(l, "\r$", "")).alias("text"), i.alias("line_index"), F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1)).alias("char_offset")))
+        return F.filter(heads, lambda h: h["text"].isNotNull())
 
-    def search(heads: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("cur"), F.array().cast("array<int>").alias("out"))
+    return F.transform(F.array(F.struct(lines.alias("ls"), running_sums(F.transform(lines, lambda l: F.length(l) + 1)).alias("ends"))), placed)[0]
 
-        def step(acc: Column, name: Column) -> Column:
-            needle = F.lower(trim_ws(name))
-            hit = F.filter(F.transform(heads, lambda h, i: F.when((i >= acc["cur"]) & F.contains(h, needle), i)), lambda i: i.isNotNull())
-            at = F.get(hit, 0)
-            return F.struct(F.coalesce(at + 1, acc["cur"]).alias("cur"), F.array_append(acc["out"], at).alias("out"))
 
-        return F.aggregate(names, zero, step, lambda acc: acc["out"])
+def section_positions(heads: Column, names: Column) -> Column:
+    """Offsets of the headings (heading_list()) found in order for the section names, null where missing."""
+    zero = F.struct(F.lit(0).alias("cur"), F.array().cast(NO_INTS).alias("out"))
 
-    return F.get(F.transform(F.array(found), search), 0)
+    def step(acc: Column, name: Column) -> Column:
+        needle = F.lower(trim_ws(name))
+        hit = F.filter(F.transform(heads, lambda h, i: F.when((i >= acc["cur"]) & F.contains(F.lower(h["text"]), needle), i)), lambda i: i.isNotNull())
+        at = F.get(hit, 0)
+        return F.struct(F.coalesce(at + 1, acc["cur"]).alias("cur"), F.array_append(acc["out"], F.get(heads, at)["char_offset"]).alias("out"))
 
+    return F.aggregate(names, zero, step, lambda acc: acc["out"])
 
-def match_signals(texts: DataFrame, signals: DataFrame, keys: list[str], text_col: str = "text", bounded: bool = False) -> DataFrame:
-    """keys, signal_set, idx, type, matched, error: every signal on every text.
 
+def section_match(text: Column, names: Column) -> Column:
+    """Array of heading offsets found in order for the section names, null where missing."""
+    return F.transform(F.array(heading_list(text)), lambda heads: section_positions(heads, names))[0]
+
+
+EVIDENCE = "struct<positions: array<int>, whitespace_normalized: boolean, matched_term: string, headings: array<string>>"
+
+
+def _entry(s: Row, text: Column, heads: Column, evidence: bool, bounded: bool) -> Column:
+    """The result of one signal on a text, with the signal's values as literals."""
+    none, no = F.lit(None), F.lit(False)
+    where, spaced, term, said = none.cast(NO_INTS), none.cast("boolean"), none.cast("string"), none.cast("array<string>")
+    value, case, terms = F.lit(s["value"] or ""), F.lit(bool(s["case_sensitive"])), F.array(*map(F.lit, s["terms"] or [])).cast("array<string>")
+    error = F.lit(s["error"]).cast("string")
+    if s["error"] is not None:
+        matched = no
+    elif s["type"] == "exact_phrase":
+        matched, found = exact_match(text, value, case), exact_evidence(text, value, case)
+        where, spaced = found["positions"], found["whitespace_normalized"]
+    elif s["type"] == "regex":
+        long = F.length(text) > MOST_CHARS if bounded else no
+        pattern = F.lit(s["patterns"][0])
+        matched, where = ~long & F.rlike(text, pattern), F.when(~long, pattern_positions(text, pattern))
+        error = F.when(long, F.lit(f"Text exceeds {MOST_CHARS} characters."))
+    elif s["type"] == "methodology_label":
+        labels = [(t, F.lit(p)) for t, p in zip(s["terms"], s["patterns"], strict=True)]
+        matched = functools.reduce(lambda a, b: a | b, [F.rlike(text, p) for _, p in labels], no)
+        for t, p in reversed(labels):
+            where = F.when(F.rlike(text, p), pattern_positions(text, p)).otherwise(where)
+            term = F.when(F.rlike(text, p), F.lit(t)).otherwise(term)
+    elif s["type"] == "ordered_terms":
+        where = ordered_match(text, terms)
+        matched = all_found(where)
+    elif s["type"] == "section_order":
+        where, said = section_positions(heads, terms), F.transform(heads, lambda h: h["text"])
+        matched = all_found(where)
+    else:
+        matched = no
+    out = [F.lit(s["signal_set"]).alias("signal_set"), F.lit(s["idx"]).alias("idx"), F.lit(s["type"]).alias("type"), F.coalesce(matched, no).alias("matched"), error.alias("error")]
+    if evidence:
+        out.append(F.struct(F.coalesce(where, F.array().cast(NO_INTS)).alias("positions"), spaced.alias("whitespace_normalized"), term.alias("matched_term"), said.alias("headings")).cast(EVIDENCE).alias("evidence"))
+    return F.struct(*out)
+
+
+def match_signals(texts: DataFrame, signals: DataFrame, keys: list[str], text_col: str = "text", bounded: bool = False, evidence: bool = False) -> DataFrame:
+    """keys, signal_set, idx, type, matched, error: every signal on every text; evidence adds the struct EVIDENCE.
+
+    Evidence: positions are code-point offsets in the text (all matches of a phrase, pattern or the first label that
+    matches; one a term or section name, null where it is missing); whitespace_normalized says that a phrase was only
+    found with white space collapsed; matched_term is the label that matched; headings are those of the text.
     bounded: texts over MOST_CHARS give an error value for regex signals instead of a match.
+
+    The signal table is bounded and read on the driver; a text meets all signals in one projection.
     """
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = texts.select(*keys, F.col(text_col).alias("_text")).crossJoin(F.broadcast(signals))
-    any_pattern = F.exists("patterns", lambda p: F.rlike(text, p))
-    long = F.length(text) > MOST_CHARS if bounded else F.lit(False)
-    error = F.when(F.col("error").isNotNull(), F.col("error")).when((F.col("type") == "regex") & long, F.lit(f"Text exceeds {MOST_CHARS} characters."))
-    matched = (
-        F.when(error.isNotNull(), False)
-        .when(F.col("type") == "exact_phrase", exact_match(text, F.col("value"), F.col("case_sensitive")))
-        .when(F.col("type").isin("regex", "methodology_label"), any_pattern)
-        .when(F.col("type") == "ordered_terms", all_found(ordered_match(text, F.col("terms"))))
-        .when(F.col("type") == "section_order", all_found(section_match(text, F.col("terms"))))
-        .otherwise(False)
-    )
-    return rows.select(*keys, "signal_set", "idx", "type", matched.alias("matched"), error.alias("error"))
+    rows = signals.orderBy("signal_set", "idx").limit(MOST_SIGNALS + 1).collect()
+    if len(rows) > MOST_SIGNALS:
+        raise ValueError(f"more than {MOST_SIGNALS} signals")
+    texts = texts.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    sections = any(s["type"] == "section_order" for s in rows)
+    texts = texts.withColumn("_heads", heading_list(F.col("_text")) if sections else F.lit(None))
+    entries = F.array(*(_entry(s, F.col("_text"), F.col("_heads"), evidence, bounded) for s in rows))
+    if not rows:
+        return texts.where("false").select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in [("signal_set", "string"), ("idx", "int"), ("type", "string"), ("matched", "boolean"), ("error", "string")]))
+    return texts.select(*keys, F.inline(entries))
 
 
 def match_counts(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,26 +309,45 @@ def winning_term(text: Column, terms: list[str]) -> Column:
 def disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: str, i_text: str = "text", t_text: str = "text", window: int = 12) -> DataFrame:
     """Pairs (i_key, t_key) in which a text contains the whole instruction or any window of its words.
 
-    Instructions of `window` words or more meet texts by an equi-join on the hash of every word window;
-    the words at a window's ends may continue in the text, so the join is on its inner words and the
-    whole window is verified. Shorter instructions join on their longest inner word run likewise.
+    A needle is a window, or an instruction of fewer words. The words at a needle's ends may continue in the text, so
+    needles meet texts by an equi-join on the hash of the words between; needles of one or two words, which have none
+    between, meet by the shortest run of characters that any text with them must hold: each distinct word of a text
+    is cut into its runs of GRAM characters. What meets is verified. Needles shorter than that are compared with
+    every text; they are grouped by their characters, of which there are few.
     """
-    inner = window - 2
     norm = lambda c: norm_ws(strip_tags(c), lower=True)
     ins = instructions.select(i_key, norm_ws(F.col(i_text), lower=True).alias("norm")).where("norm <> ''").withColumn("ws", F.split("norm", " "))
-    txt = texts.select(t_key, norm(F.col(t_text)).alias("body")).where("body <> ''").withColumn("ws", F.split("body", " "))
-
-    def grams(ws: Column, n: int) -> Column:
-        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " ")))
-
-    long = ins.where(F.size("ws") >= window).select(i_key, F.explode(grams(F.col("ws"), window)).alias("needle"))
-    long = long.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("needle", " "), 2, inner), " ")))
-    runs = txt.select(t_key, F.explode(F.array_distinct(grams(F.col("ws"), inner))).alias("g")).select(t_key, F.xxhash64("g").alias("h"))
-    pairs = long.join(runs.hint("merge"), "h").select(i_key, t_key, "needle").distinct()
-    hits = pairs.join(txt.drop("ws").hint("merge"), t_key).where(F.contains("body", "needle")).select(i_key, t_key).distinct()
-    short = ins.where(F.size("ws") < window).select(i_key, "norm")
-    few = txt.drop("ws").crossJoin(F.broadcast(short.limit(MOST_SIGNALS))).where(F.contains("body", "norm")).select(i_key, t_key)
-    return hits.union(few).distinct()
+    txt = texts.select(t_key, norm(F.col(t_text)).alias("body")).where("body <> ''")
+    runs = lambda ws, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    needle = F.when(F.size("ws") >= window, runs(F.col("ws"), window)).otherwise(F.array("norm"))
+    needles = ins.select(i_key, F.explode(needle).alias("needle")).withColumn("n", F.size(F.split("needle", " ")))
+    inner = F.xxhash64("n", F.array_join(F.slice(F.split("needle", " "), 2, F.greatest(F.col("n") - 2, F.lit(0))), " "))
+    tokens = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - GRAM + 1), lambda i: F.xxhash64(F.lit(0), F.substring(s, i, GRAM)))
+    longest = lambda c: F.array_max(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    part = F.when(F.col("n") > 2, inner).when(F.length(longest("needle")) >= GRAM, F.xxhash64(F.lit(0), F.left(longest("needle"), F.lit(GRAM))))
+    needles = needles.select(i_key, "needle", "n", part.alias("h")).distinct()
+    lengths = sorted(r[0] for r in needles.where("n > 2").select("n").distinct().collect())  # at most `window`
+    few = needles.where("n <= 2 AND h IS NOT NULL").limit(1).count() > 0
+
+    ws = F.split("body", " ")
+    hashed = lambda n: F.transform(runs(ws, n - 2), lambda r: F.xxhash64(F.lit(n), r))
+    keys = [F.when(F.size(ws) >= n, hashed(n)).otherwise(F.array().cast("array<bigint>")) for n in lengths]
+    grams = F.flatten(F.transform(F.filter(F.array_distinct(ws), lambda w: F.length(w) >= GRAM), tokens))
+    keys += [grams] if few else []
+    pairs = []
+    if keys:
+        met = txt.select(t_key, F.explode(F.array_distinct(F.concat(*keys))).alias("h"))
+        n_needles, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle") * 4 + 64), F.lit(0))).first()
+        side = needles.where("h IS NOT NULL").select(i_key, "needle", "h")
+        pairs.append(met.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("merge"), "h").select(i_key, t_key, "needle").distinct())
+    tiny = needles.where("h IS NULL").select(i_key, "needle")
+    letters = F.array_distinct(F.flatten(F.transform(F.array_distinct(ws), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, 1)))))
+    if tiny.limit(1).count():
+        pairs.append(txt.select(t_key, F.explode(letters).alias("c")).join(tiny.withColumn("c", F.left("needle", F.lit(1))).hint("merge"), "c").select(i_key, t_key, "needle").distinct())
+    if not pairs:
+        return txt.where("false").select(F.lit(None).cast(ins.schema[i_key].dataType).alias(i_key), t_key)
+    pairs = functools.reduce(DataFrame.union, pairs)
+    return pairs.join(txt.hint("merge"), t_key).where(F.contains("body", "needle")).select(i_key, t_key).distinct()
 
 
 def page_match(text: Column, expected: Column, client: bool = False) -> dict[str, Column]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import tiny
+from .signals import merge_spans
+
 #: Tolerance of boxes in points, pixel-difference limits by mode (infinite where nothing is hidden).
 BOX_TOLERANCE = 0.001
 DIFF_LIMITS = {
@@ -135,14 +138,17 @@ ROW_PT, LEAST_PT, PAD_PT, GAP_PT = 2.0, 8.0, 3.0, 4.0
 def free_bands(boxes: DataFrame, pages: DataFrame, page: str) -> DataFrame:
     """page, top, bottom, height of the maximal empty bands; pages(page, page_height), boxes(page, y, height)."""
     n = F.ceil(F.col("page_height") / ROW_PT).cast("int")
-    rows = pages.where("page_height > 0").select(page, "page_height", F.explode(F.sequence(F.lit(0), n - 1)).alias("row"))
-    b = boxes.join(pages, page).withColumn("t", F.col("y") - PAD_PT).withColumn("e", F.col("y") + F.col("height") + PAD_PT).where("e > 0 AND t < page_height")
-    first, last = F.greatest(F.lit(0), F.floor(F.col("t") / ROW_PT).cast("int")), F.least(n - 1, F.ceil(F.col("e") / ROW_PT).cast("int") - 1)
-    taken = b.select(page, first.alias("f"), last.alias("l")).where("l >= f").select(page, F.explode(F.sequence("f", "l")).alias("row")).distinct()
-    free = rows.join(taken, [page, "row"], "left_anti")
-    free = free.withColumn("island", F.col("row") - F.row_number().over(Window.partitionBy(page).orderBy("row")))
-    out = free.groupBy(page, "island", "page_height").agg((F.min("row") * ROW_PT).alias("top"), F.max("row").alias("_l"))
-    out = out.withColumn("bottom", F.least("page_height", (F.col("_l") + 1) * ROW_PT))
+    b = boxes.join(pages.hint("merge"), page).withColumn("t", F.col("y") - PAD_PT).withColumn("e", F.col("y") + F.col("height") + PAD_PT).where("e > 0 AND t < page_height")
+    first, last = F.greatest(F.lit(0), F.floor(F.col("t") / ROW_PT).cast("int")), F.least(n, F.ceil(F.col("e") / ROW_PT).cast("int"))
+    taken = merge_spans(b.select(page, first.alias("start"), last.alias("end")), page)
+    order = Window.partitionBy(page).orderBy("start")
+    spans = pages.where("page_height > 0").join(taken.hint("merge"), page, "left").select(page, "page_height", n.alias("n"), "start", "end")
+    spans = spans.withColumn("prev", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("next", F.lead("start").over(order))
+    gap = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    whole, ahead = F.array(gap(F.lit(0), F.col("n"))), gap(F.col("prev"), F.col("start"))
+    behind = F.when(F.col("next").isNull(), gap(F.col("end"), F.col("n")))
+    gaps = spans.select(page, "page_height", F.explode(F.when(F.col("start").isNull(), whole).otherwise(F.array_compact(F.array(ahead, behind)))).alias("g")).where("g.a < g.b")
+    out = gaps.select(page, (F.col("g.a") * ROW_PT).alias("top"), F.least("page_height", F.col("g.b") * ROW_PT).alias("bottom"))
     return out.select(page, "top", "bottom", (F.col("bottom") - F.col("top")).alias("height")).where(F.col("height") >= LEAST_PT)
 
 
@@ -231,7 +237,7 @@ def coverage(instances: DataFrame, profiles: DataFrame, keys: list[str]) -> Data
 
     The tier is the worse of size and contrast: 2 legible, 1 marginal, 0 neither. profiles is a small table.
     """
-    rows = instances.crossJoin(F.broadcast(profiles))
+    rows = instances.crossJoin(tiny(profiles))
     p = {c: F.col(c) for c in ("max_long_edge_px", "short_edge_target_px", "patch_px", "max_visual_tokens", "max_pixels")}
     rows = rows.withColumn("cap_px", F.col("font_pt") * CAP_RATIO * F.col("px_per_pt") * view_scale(F.col("w"), F.col("h"), p)).withColumn("ratio", contrast(F.col("fg"), F.col("bg")))
     tier = F.least(tiers(F.col("cap_px"), F.col("legible_cap_px"), F.col("marginal_cap_px")), tiers(F.col("ratio"), F.col("legible_contrast"), F.col("marginal_contrast")))

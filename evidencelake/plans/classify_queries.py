@@ -83,7 +83,7 @@ def kind_summary(spark, d):
     kinds = spark.createDataFrame([("prohibited",), ("benign",), ("mixed",)], "kind string")
     strict = F.when(F.col("kind") == "prohibited", F.col("strict")).otherwise(F.col("met"))
     some = rows.groupBy("kind").agg(F.count_if("met").alias("passed"), F.count_if(strict).alias("strict_passed"), F.count(F.lit(1)).alias("total"))
-    return F.broadcast(kinds).join(some, "kind", "left").fillna(0)
+    return kinds.join(some, "kind", "left").fillna(0)
 
 
 @query(f"""WITH {_RESP}, {_V2}, p AS (SELECT kind, CASE WHEN kind = 'prohibited' THEN strict ELSE conv_id % 4 < 3 AND regexp_matches(text, '(?i)THE') AND regexp_matches(text, 'of') AND NOT refusal END AS pass FROM v2)
@@ -100,7 +100,7 @@ _PROMPTS = f"""pr AS (SELECT conv_id, turn, CASE WHEN turn = 4 THEN '  ' ELSE [{
 _NP = r"[^\x20-\x7E\n\t]"
 _RULES = {
     "empty_prompt": ("error", f"regexp_replace(text, '{WS}+', '', 'g') = ''"),
-    "prompt_too_long": ("error", "length(text) > 2000"),
+    "prompt_too_long": ("error", "length(text) > 1500"),
     "null_byte": ("error", "false"),
     "control_character": ("error", "contains(text, chr(1))"),
     "encoding_unsupported": ("error", f"lang IS NULL AND regexp_matches(text, '{_NP}')"),
@@ -145,11 +145,11 @@ def ack_gate(spark, d):
     return out.withColumns({k: F.array_join(k, ",") for k in ("live", "open")})
 
 
-@query(f"""SELECT conv_id, turn, rule FROM (SELECT conv_id, turn, text, left(text, 300) AS r FROM conversations WHERE role = 'user'), (VALUES ('encoding_unsupported'), ('prompt_too_long'), ('response_too_long'), ('notice_too_long'), ('unbroken_text')) t(rule)
-    WHERE CASE rule WHEN 'encoding_unsupported' THEN regexp_matches(text, '{_NP}') WHEN 'prompt_too_long' THEN length(text) > 2000 WHEN 'response_too_long' THEN length(regexp_replace(r, '^{WS}+|{WS}+$', '', 'g')) > 220
+@query(f"""SELECT conv_id, turn, rule FROM (SELECT conv_id, turn, text, text AS r FROM conversations WHERE role = 'user'), (VALUES ('encoding_unsupported'), ('prompt_too_long'), ('response_too_long'), ('notice_too_long'), ('unbroken_text')) t(rule)
+    WHERE CASE rule WHEN 'encoding_unsupported' THEN regexp_matches(text, '{_NP}') WHEN 'prompt_too_long' THEN length(text) > 1500 WHEN 'response_too_long' THEN length(regexp_replace(r, '^{WS}+|{WS}+$', '', 'g')) > 220
       WHEN 'notice_too_long' THEN length(text) > 900 ELSE regexp_matches(text, '\\S{{201,}}') END""")
 def lint_notice(spark, d):
-    rows = read(spark, d, "conversations").where("role = 'user'").withColumn("r", F.left("text", F.lit(300)))
+    rows = read(spark, d, "conversations").where("role = 'user'").withColumn("r", F.col("text"))
     return C.lint_notice(rows, ["conv_id", "turn"], "text", "r").select("conv_id", "turn", "rule")
 
 
@@ -162,20 +162,24 @@ def template_ok(spark, d):
     return rows.select("c_custkey", has.alias("has_key"), F.length(F.replace("t", F.lit("{{KEY}}"), F.lit("AAAAAA"))).cast("long").alias("filled"), (has & (F.col("c_custkey") % 20).between(6, 16)).alias("ok"))
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(text, '{_NP}') AS encoding_unsupported, length(text) > 2000 AS prompt_too_long FROM (SELECT conv_id, turn, replace(replace(text, 'the', '{{{{KEY}}}}'), '{{{{KEY}}}}', 'ABCDEF') AS text FROM conversations WHERE role = 'user')""")
+@query(f"""SELECT conv_id, turn, regexp_matches(text, '{_NP}') AS encoding_unsupported, length(text) > 1500 AS prompt_too_long FROM (SELECT conv_id, turn, replace(replace(text, 'the', '{{{{KEY}}}}'), '{{{{KEY}}}}', 'ABCDEF') AS text FROM conversations WHERE role = 'user')""")
 def lint_template(spark, d):
     filled = F.replace(F.replace("text", F.lit("the"), F.lit("{{KEY}}")), F.lit("{{KEY}}"), F.lit("ABCDEF"))
     rows = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", filled.alias("text"))
-    rules = C.lint_rules(F.col("text"), F.array().cast("array<struct<type:string,value:string,pattern:string,values:array<string>>>"), F.lit("en"), 2000)
+    rules = C.lint_rules(F.col("text"), F.array().cast("array<struct<type:string,value:string,pattern:string,values:array<string>>>"), F.lit("en"), 1500)
     return rows.select("conv_id", "turn", *(rules[k][1].alias(k) for k in ("encoding_unsupported", "prompt_too_long")))
 
 
-@query("""SELECT conv_id, turn, turn % 7 <> 3 AND array_to_string(regexp_extract_all(lower(left(text, 12)), '[a-z0-9]+'), ' ') = array_to_string(regexp_extract_all(lower(left(text, 12) || '!!'), '[a-z0-9]+'), ' ') AS matched
-    FROM conversations WHERE role = 'assistant'""")
+_SHORT = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
+
+
+@query(f"""SELECT a.conv_id, a.turn, {_SHORT("a.text")} AS answer, {_SHORT("a.text")} = {_SHORT("b.text")} AS matched FROM conversations a
+    LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.role = 'assistant'""")
 def short_answer(spark, d):
-    a, b = F.left("text", F.lit(12)), F.concat(F.left("text", F.lit(12)), F.lit("!!"))
-    rows = read(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", a.alias("a"), b.alias("b"))
-    return rows.select("conv_id", "turn", ((F.col("turn") % 7 != 3) & (C.short_answer(F.col("a")) == C.short_answer(F.col("b")))).alias("matched"))
+    rows = read(spark, d, "conversations")
+    asked = rows.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("asked"))
+    rows = rows.where("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").withColumn("answer", C.short_answer(F.col("text")))
+    return rows.select("conv_id", "turn", "answer", (F.col("answer") == C.short_answer(F.col("asked"))).alias("matched"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, length(text) AS n FROM documents")

@@ -8,6 +8,7 @@ from ..functions.textsem import WS, norm_ws
 from ..operators import perturb as T
 from ..operators import signals as M
 from ..sources import io as S
+from ..streaming.streams import shared_folder
 from .registry import query, read
 from .signal_queries import SIGNALS, _MATCHES, _matches
 
@@ -30,11 +31,11 @@ _WORDS = "regexp_extract_all(text, '\\p{L}[\\p{L}''-]*|[^\\p{L}]+')"
 _TABLE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.SYNONYMS.items()) + "}"
 
 
-@query(f"""WITH t AS (SELECT doc_id, 'However, the Method of ANALYZING ' || left(text, 200) || ' is robust' AS text FROM documents), m AS (SELECT {_TABLE} AS tab)
+@query(f"""WITH t AS (SELECT doc_id, 'However, the Method of ANALYZING ' || text || ' is robust' AS text FROM documents), m AS (SELECT {_TABLE} AS tab)
     SELECT doc_id, array_to_string(list_transform({_WORDS}, lambda w: CASE WHEN tab[lower(w)] IS NULL THEN w WHEN w = upper(w) AND w <> lower(w) THEN upper(tab[lower(w)])
       WHEN left(w, 1) = upper(left(w, 1)) AND substring(w, 2) = lower(substring(w, 2)) THEN upper(left(tab[lower(w)], 1)) || substring(tab[lower(w)], 2) ELSE tab[lower(w)] END), '') AS out FROM t, m""")
 def synonyms(spark, d):
-    text = F.concat(F.lit("However, the Method of ANALYZING "), F.left("text", F.lit(200)), F.lit(" is robust"))
+    text = F.concat(F.lit("However, the Method of ANALYZING "), F.col("text"), F.lit(" is robust"))
     return read(spark, d, "documents").select("doc_id", T.synonyms(text).alias("out"))
 
 
@@ -75,26 +76,19 @@ def survival_rate(spark, d):
     return T.survival_rate(_survival(spark, d), ["transform"])
 
 
-@query("""SELECT transform, available, count(*) AS n, count(DISTINCT doc_id) AS texts FROM (SELECT doc_id FROM documents), (VALUES ('human_edit', true), ('paraphrase', true), ('translate', false)) t(transform, available), (VALUES (1), (2), (3)) r(x) GROUP BY ALL""")
+@query()
 def transform_grid(spark, d):
     protected = F.array().cast("array<string>")
     grid = T.transform_grid(read(spark, d, "documents"), {"human_edit": lambda t, s: T.human_edit(t, s, protected), "paraphrase": T.paraphrase, "translate": None}, 3, "doc_id")
-    return grid.groupBy("transform", "available").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("texts"))
-
-
-_NORM = lambda c: f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
+    return grid.select("doc_id", "transform", "repeat", "available", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_NORM("regexp_replace(left(text, 300), '[^ -~]', '', 'g')")} AS r, {_NORM("regexp_replace(left(text, 290), '[^ -~]|th', '', 'g')")} AS h FROM documents),
-    w AS (SELECT *, list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM p),
-    c AS (SELECT *, list_distinct(list_concat(rw, hw)) AS ids FROM w)
-    SELECT doc_id, levenshtein(r, h)::DOUBLE / greatest(1, length(r)) AS cer, levenshtein(array_to_string(list_transform(rw, lambda x: chr((list_position(ids, x) + 32)::INT)), ''), array_to_string(list_transform(hw, lambda x: chr((list_position(ids, x) + 32)::INT)), ''))::DOUBLE / greatest(1, len(rw)) AS wer FROM c WHERE len(ids) < 90""")
+@query()
 def error_rates(spark, d):
     plain = lambda c, p: norm_ws(F.regexp_replace(c, p, ""))
-    rows = read(spark, d, "documents").select("doc_id", plain(F.left("text", F.lit(300)), "[^ -~]").alias("r"), plain(F.left("text", F.lit(290)), "[^ -~]|th").alias("h"))
-    words = F.array_distinct(F.concat(F.split("r", " "), F.split("h", " ")))
-    rows = rows.where(F.size(F.filter(words, lambda w: w != "")) < 90)
-    return T.error_rates(rows, ["doc_id"], "r", "h")
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), plain(F.col("line"), "[^ -~]").alias("r"), plain(F.col("line"), "[^ -~]|th").alias("h"))
+    return T.error_rates(rows, ["doc_id", "line_no"], "r", "h")
 
 
 @query(f"""WITH {_AFTER}, s AS (SELECT lang, transform, avg((a = 5)::INT) AS r FROM surv JOIN counts USING (doc_id) GROUP BY ALL), u AS (SELECT lang, transform, transform || ': ' || printf('%.0f', round(r * 100)) || '% survived' AS t FROM s UNION ALL SELECT DISTINCT lang, 'translate', 'translate: not available' FROM s)
@@ -134,21 +128,39 @@ def src_id_list(spark, d):
     return S.id_list(read(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn < 6 GROUP BY conv_id), m AS (SELECT conv_id, count(*) AS expected FROM conversations GROUP BY conv_id) SELECT conv_id, expected, coalesce(n, 0) AS n, coalesce(n, 0) = expected AS ok FROM m LEFT JOIN n USING (conv_id)""")
+@query("SELECT item_id::VARCHAR AS id, CASE item_id % 2 WHEN 0 THEN 'policy' ELSE 'benign' END AS kind, text AS prompt, 1 AS n_required FROM benchmark")
+def src_prompt_matrix(spark, d):
+    case = F.struct(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 2 == 0, "policy").otherwise("benign").alias("kind"), F.col("text").alias("prompt"), F.lit(None).cast("string").alias("expected"), F.array(F.lit("[a-z]")).alias("required_regex"))
+    folder = shared_folder(spark)
+    # case lists are configuration: files of some hundred cases, each one JSON array
+    lists = read(spark, d, "benchmark").groupBy(F.floor(F.col("item_id") / 200).alias("part")).agg(F.to_json(F.sort_array(F.collect_list(case))).alias("value"))
+    lists.write.partitionBy("part").text(folder)
+    return S.read_cases(spark, folder).select("id", "kind", "prompt", F.size("required_regex").alias("n_required"))
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn <> 5 GROUP BY conv_id), m AS (SELECT conv_id, count(*) AS expected FROM conversations GROUP BY conv_id) SELECT conv_id, expected, coalesce(n, 0) AS n, coalesce(n, 0) = expected AS ok FROM m LEFT JOIN n USING (conv_id)""")
 def src_jsonl(spark, d):
-    lines = read(spark, d, "conversations").where("turn < 6").select(F.to_json(F.struct("conv_id", "turn", "text")).alias("j"))
-    rows = lines.select(F.from_json("j", "conv_id long, turn long, text string").alias("r")).select("r.*")
-    manifest = read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("expected"))
-    return S.check_rows(rows, manifest, "conv_id")
+    folder, turns = shared_folder(spark), read(spark, d, "conversations")
+    turns.where("turn <> 5").write.json(folder)  # results of which some are missing
+    rows = spark.read.schema("conv_id long, turn long, role string, text string").json(folder)
+    return S.check_rows(rows, turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("expected")), "conv_id")
 
 
 _CSV = lambda c: f"CASE WHEN regexp_matches({c}, '[\",\\r\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
-@query(f"SELECT conv_id, turn, {_CSV('role')} || ',' || turn || ',' || {_CSV('text')} || ',' AS line FROM conversations")
+@query(f"""SELECT conv_id, turn, concat_ws(',', {_CSV('role')}, 'm' || conv_id, CASE WHEN turn % 2 = 0 THEN 'original' ELSE '"a,b"' END, turn, '', sha256(role), '', sha256(text), contains(text, 'the') AND contains(text, 'of'), contains(text, 'the') OR contains(text, 'of'),
+      '', '', turn + 0.5, length(text), '', contains(text, 'the')::INT + contains(text, 'of')::INT, 2, '', '', {_CSV('text')}) AS line FROM conversations""")
 def sink_results_csv(spark, d):
-    rows = read(spark, d, "conversations").withColumn("error", F.lit(None).cast("string"))
-    return S.csv_lines(rows, ["role", "turn", "text", "error"], ["conv_id", "turn"])
+    has = lambda w: F.contains("text", F.lit(w))
+    none = F.lit(None).cast("string")
+    rows = read(spark, d, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("provider"), F.concat(F.lit("m"), "conv_id").alias("model_id"), F.when(F.col("turn") % 2 == 0, "original").otherwise("a,b").alias("condition"), F.col("turn").alias("repeat"),
+        F.lit(None).cast("timestamp").alias("executed_at"), F.sha2("role", 256).alias("outer_prompt_sha256"), none.alias("pdf_sha256"), F.sha2("text", 256).alias("response_sha256"), (has("the") & has("of")).alias("all_signals_matched"),
+        (has("the") | has("of")).alias("any_signal_matched"), none.alias("disclosure"), none.alias("refusal"), (F.col("turn") + 0.5).cast("double").alias("latency_ms"), F.struct(F.length("text").alias("input_tokens"), none.alias("output_tokens")).alias("usage"),
+        F.array(*(F.struct(has(w).alias("matched")) for w in ("the", "of"))).alias("signal_matches"), none.alias("error"), none.alias("ingestion"), F.col("text").alias("raw_response"),
+    )
+    return S.result_lines(rows, ["conv_id", "turn"], include_raw=True)
 
 
 @query("""SELECT event_id, '{"event_id":' || event_id || ',"kind":"' || event_type || '","source":{"user":' || user_id || '}}' AS record FROM events""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats as X
+from ..functions.order import small
 from ..functions.textsem import WS, norm_ws
 from ..operators import scoring as A
 from ..operators import signals as M
@@ -83,23 +84,49 @@ def sig_exact(spark, d):
     return read(spark, d, "documents").select("doc_id", at.alias("at")).select("doc_id", F.size("at").cast("long").alias("n"), F.get("at", 0).cast("long").alias("first_at"))
 
 
-@query(f"SELECT doc_id, contains(text, 'the th') OR contains({_NW('text')}, 'the th') AS matched FROM documents")
+def _at(pattern, text="text"):
+    """SQL for the offsets of all matches of a pattern, joined by commas."""
+    p, h = f"string_split(regexp_replace({text}, {pattern}, chr(64976), 'g'), chr(64976))", f"regexp_extract_all({text}, {pattern})"
+    return f"array_to_string(list_transform(range(1, len({h}) + 1), lambda k: (list_sum(list_transform(({p})[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(({h})[1:k - 1], lambda x: length(x))), 0))::BIGINT), ',')"
+
+
+def _joined(c="evidence.positions"):
+    return F.array_join(F.col(c).cast("array<string>"), ",", "-")
+
+
+@query(f"""SELECT doc_id, direct OR loose <> '' AS matched, CASE WHEN direct THEN {_at("'the  th'")} ELSE loose END AS positions, NOT direct AND loose <> '' AS whitespace_normalized
+    FROM (SELECT doc_id, text, contains(text, 'the  th') AS direct, {_at(f"'the{WS}+th'")} AS loose FROM documents)""")
 def sig_exact_ws(spark, d):
-    return read(spark, d, "documents").select("doc_id", M.exact_match(F.col("text"), F.lit("the  th"), F.lit(True)).alias("matched"))
+    frame = M.signal_frame(spark, [M.Signal("exact_phrase", value="the  th")])
+    rows = M.match_signals(read(spark, d, "documents"), frame, ["doc_id"], evidence=True)
+    return rows.select("doc_id", "matched", _joined().alias("positions"), "evidence.whitespace_normalized")
 
 
-@query(r"""WITH p(idx, pat, err) AS (VALUES (0, '[A-Z]{3,}', NULL), (1, NULL, 'nested'), (2, NULL, 'flag'), (3, '(?i)\bthe\b.{0,20}\bof\b', NULL))
-    SELECT doc_id, idx, err IS NULL AND (CASE idx WHEN 0 THEN regexp_matches(text, '[A-Z]{3,}') ELSE regexp_matches(text, '(?i)\bthe\b.{0,20}\bof\b') END) AS matched, err IS NOT NULL AS has_error FROM documents, p""")
+_THE_OF = r"'(?i)\bthe\b.{0,20}\bof\b'"
+
+
+@query(f"""SELECT doc_id, idx, err IS NULL AND pos <> '' AS matched, CASE WHEN err IS NULL THEN pos ELSE '' END AS positions, err IS NOT NULL AS has_error
+    FROM (SELECT doc_id, idx, err, CASE idx WHEN 0 THEN {_at("'[A-Z]{3,}'")} WHEN 3 THEN {_at(_THE_OF)} WHEN 4 THEN {_at("'[^aeiou &]+&&?'")} END AS pos
+      FROM documents, (VALUES (0, NULL), (1, 'nested'), (2, 'flag'), (3, NULL), (4, NULL), (5, 'group')) p(idx, err))""")
 def sig_regex(spark, d):
-    tried = [M.Signal("regex", pattern=r"[A-Z]{3,}"), M.Signal("regex", pattern="(a+)+"), M.Signal("regex", pattern="a", flags="y"), M.Signal("regex", pattern=r"\bthe\b.{0,20}\bof\b", flags="gi")]
-    rows = M.match_signals(read(spark, d, "documents"), M.signal_frame(spark, tried), ["doc_id"], bounded=True)
-    return rows.select("doc_id", "idx", "matched", F.col("error").isNotNull().alias("has_error"))
+    tried = [
+        M.Signal("regex", pattern=r"[A-Z]{3,}"), M.Signal("regex", pattern="(a+)+"), M.Signal("regex", pattern="a", flags="y"), M.Signal("regex", pattern=r"\bthe\b.{0,20}\bof\b", flags="gi"),
+        M.Signal("regex", pattern="[^aeiou &&]+&&?"), M.Signal("regex", pattern="(?P<y>a)"),
+    ]
+    rows = M.match_signals(read(spark, d, "documents"), M.signal_frame(spark, tried), ["doc_id"], bounded=True, evidence=True)
+    return rows.select("doc_id", "idx", "matched", _joined().alias("positions"), F.col("error").isNotNull().alias("has_error"))
+
+
+_LABELS = {"shed": r"'(?i)\bshed\b'", "thing": r"'(?i)\bthing\b'", "le la": rf"'(?i)\ble{WS}+la\b'"}
+_FIRST_LABEL = " ".join(f"WHEN regexp_matches(text, {p}) THEN '{t}'" for t, p in _LABELS.items())
+_LABEL_AT = " ".join(f"WHEN regexp_matches(text, {p}) THEN {_at(p)}" for p in _LABELS.values())
 
 
-@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bshed\b') THEN 'shed' WHEN regexp_matches(text, '(?i)\bthing\b') THEN 'thing'
-    WHEN regexp_matches(text, '(?i)\ble{WS}+la\b') THEN 'le la' END AS matched_term FROM documents WHERE lang = 'en'""")
+@query(f"SELECT doc_id, CASE {_FIRST_LABEL} END AS matched_term, CASE {_LABEL_AT} ELSE '' END AS positions FROM documents")
 def sig_label(spark, d):
-    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", M.winning_term(F.col("text"), ["shed", "thing", "le la"]).alias("matched_term"))
+    frame = M.signal_frame(spark, [M.Signal("methodology_label", value="shed", aliases=("thing", "le la"))])
+    rows = M.match_signals(read(spark, d, "documents"), frame, ["doc_id"], evidence=True)
+    return rows.select("doc_id", "evidence.matched_term", _joined().alias("positions"))
 
 
 @query("SELECT doc_id, regexp_matches(lower(text), '(?s)the.*of.*tion') AS matched FROM documents")
@@ -119,9 +146,21 @@ def sig_sections(spark, d):
     return labelled(spark, d).select("doc_id", M.all_found(M.section_match(F.col("text"), names)).alias("matched"))
 
 
-@query(f"WITH {_MATCHES} SELECT doc_id, label, idx, m AS matched FROM matches")
+@query(rf"""WITH {_HEADS},
+    f AS (SELECT doc_id, min(line_index) FILTER (contains(lower(text), 'die')) AS a, count(*) AS n FROM heads GROUP BY doc_id),
+    g AS (SELECT doc_id, a, n, min(line_index) FILTER (contains(lower(text), 'ung') AND line_index > coalesce(a, -1)) AS b FROM heads JOIN f USING (doc_id) GROUP BY ALL),
+    s AS (SELECT g.doc_id, n, coalesce(x.char_offset::VARCHAR, '-') || ',' || coalesce(y.char_offset::VARCHAR, '-') AS pos, a IS NOT NULL AND b IS NOT NULL AS m
+      FROM g LEFT JOIN heads x ON x.doc_id = g.doc_id AND x.line_index = a LEFT JOIN heads y ON y.doc_id = g.doc_id AND y.line_index = b),
+    o AS (SELECT doc_id, p1, CASE WHEN strpos(t[c2:], 'of') > 0 THEN strpos(t[c2:], 'of') + c2 - 1 ELSE 0 END AS p2, t, c2 FROM (SELECT doc_id, lower(text) AS t, strpos(lower(text), 'the') AS p1, CASE WHEN p1 > 0 THEN p1 + 3 ELSE 1 END AS c2 FROM documents)),
+    q AS (SELECT doc_id, p1, p2, CASE WHEN strpos(t[c3:], 'tion') > 0 THEN strpos(t[c3:], 'tion') + c3 - 1 ELSE 0 END AS p3 FROM (SELECT *, CASE WHEN p2 > 0 THEN p2 + 2 ELSE c2 END AS c3 FROM o))
+    SELECT doc_id, 0 AS idx, contains(text, 'the') AS matched, {_at("'the'")} AS positions, false AS whitespace_normalized, NULL AS matched_term, NULL::BIGINT AS n_headings FROM documents
+    UNION ALL SELECT doc_id, 1, regexp_matches(text, '[A-Z]{{3,}}|[#*$%&]{{3}}'), {_at("'[A-Z]{3,}|[#*$%&]{3}'")}, NULL, NULL, NULL FROM documents
+    UNION ALL SELECT doc_id, 2, regexp_matches(text, '{_LABEL}'), CASE {_LABEL_AT} ELSE '' END, NULL, CASE {_FIRST_LABEL} END, NULL FROM documents
+    UNION ALL SELECT doc_id, 3, p1 > 0 AND p2 > 0 AND p3 > 0, concat_ws(',', CASE WHEN p1 > 0 THEN (p1 - 1)::VARCHAR ELSE '-' END, CASE WHEN p2 > 0 THEN (p2 - 1)::VARCHAR ELSE '-' END, CASE WHEN p3 > 0 THEN (p3 - 1)::VARCHAR ELSE '-' END), NULL, NULL, NULL FROM q
+    UNION ALL SELECT doc_id, 4, coalesce(m, false), coalesce(pos, '-,-'), NULL, NULL, coalesce(n, 0) FROM documents LEFT JOIN s USING (doc_id)""")
 def match_all(spark, d):
-    return _matches(spark, d).select("doc_id", "label", "idx", "matched")
+    rows = M.match_signals(read(spark, d, "documents"), M.signal_frame(spark, SIGNALS), ["doc_id"], evidence=True)
+    return rows.select("doc_id", "idx", "matched", _joined().alias("positions"), "evidence.whitespace_normalized", "evidence.matched_term", F.size("evidence.headings").cast("long").alias("n_headings"))
 
 
 @query(f"WITH {_MATCHES} SELECT doc_id, matched_count, total FROM counts")
@@ -331,7 +370,7 @@ def list_summary(spark, d):
     'Based on ' || baseline_count || ' baseline submission(s), a false-positive rate of ' || printf('%.1f', false_positive_rate * 100) || '% was observed for "all signals matched"; this is evidence, never a verdict.' AS uncertainty
     FROM scores JOIN calib USING (lang)""")
 def interpret(spark, d):
-    rows = _scores(spark, d).join(F.broadcast(_calibration(spark, d)), "lang")
+    rows = _scores(spark, d).join(small(_calibration(spark, d)), "lang")
     said = A.interpretation(*(F.col(c) for c in ("matched_count", "total", "baseline_count", "false_positive_rate")))
     return rows.select("doc_id", *(v.alias(k) for k, v in said.items()))
 

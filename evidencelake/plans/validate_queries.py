@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.order import tiny
 from ..operators import validate as V
 from .registry import query, read
 
@@ -111,7 +112,7 @@ def watermark_score(spark, d):
     SELECT n, m, 'missing' AS problem FROM e ANTI JOIN c USING (n, m) UNION ALL SELECT n, m, 'unexpected' FROM c ANTI JOIN e USING (n, m) UNION ALL SELECT n, m, 'repeated' FROM c WHERE k > 1""")
 def grid_complete(spark, d):
     cust = read(spark, d, "customer").select(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("m"), "c_acctbal")
-    expected = read(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("n")).crossJoin(F.broadcast(cust.select("m").distinct()))
+    expected = read(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("n")).crossJoin(tiny(cust.select("m").distinct()))
     return V.grid_gaps(cust.where("c_acctbal > 6000"), expected, ["n", "m"])
 
 

@@ -76,10 +76,41 @@ def csv_lines(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame
     return rows.select(*keep, F.concat_ws(",", *(csv_field(F.col(c)) for c in columns)).alias("line"))
 
 
-def write_csv(rows: DataFrame, columns: list[str], path: str, line_end: str = "\r\n") -> None:
-    """One CSV file per partition, each with a header, fields quoted where they must be."""
-    names = [c for c in columns]
-    rows.select(*(F.col(c).cast("string").alias(c) for c in names)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("lineSep", line_end[-1]).csv(path)
+def result_rows(results: DataFrame, include_raw: bool = False) -> DataFrame:
+    """RESULT_COLUMNS of experiment results, with the matched and total signal counts derived from signal_matches
+    (array of structs with a field `matched`), and the raw response as a last column if wanted."""
+    matches = F.transform("signal_matches", lambda m: F.struct(m["matched"].alias("matched")))
+    matches = F.coalesce(matches, F.array().cast("array<struct<matched:boolean>>"))
+    derived = {
+        "modelId": F.col("model_id"), "executedAt": F.date_format("executed_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "outerPromptSha256": F.col("outer_prompt_sha256"), "pdfSha256": F.col("pdf_sha256"), "responseSha256": F.col("response_sha256"),
+        "allSignalsMatched": F.col("all_signals_matched"), "anySignalMatched": F.col("any_signal_matched"), "latencyMs": F.col("latency_ms"), "inputTokens": F.col("usage.input_tokens"), "outputTokens": F.col("usage.output_tokens"),
+        "matchedSignalCount": F.size(F.filter(matches, lambda m: m["matched"])), "totalSignalCount": F.size(matches),
+    }
+    columns = [*RESULT_COLUMNS, "rawResponse"] if include_raw else list(RESULT_COLUMNS)
+    derived["rawResponse"] = F.col("raw_response")
+    return results.select("*", *(derived[c].alias(f"_csv_{c}") if c in derived else F.col(c).alias(f"_csv_{c}") for c in columns))
+
+
+def result_lines(results: DataFrame, keep: list[str], include_raw: bool = False) -> DataFrame:
+    """keep, line: one CSV line of RESULT_COLUMNS a result."""
+    rows = result_rows(results, include_raw)
+    return csv_lines(rows, [c for c in rows.columns if c.startswith("_csv_")], keep)
+
+
+def write_lines(lines: DataFrame, header: list[str], path: str) -> None:
+    """CSV files of lines(line), one per partition, each with a header; every line ends with CR and LF."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = lines.select("line", first.alias("first")).select(F.explode(F.when(F.col("first"), F.array(F.lit(",".join(header)), "line")).otherwise(F.array("line"))).alias("line"))
+    rows.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
+    """CSV files of these columns, fields quoted where they must be."""
+    write_lines(csv_lines(rows, columns, []), columns, path)
+
+
+def write_results(results: DataFrame, path: str, include_raw: bool = False) -> None:
+    write_lines(result_lines(results, [], include_raw), [*RESULT_COLUMNS, *(["rawResponse"] if include_raw else [])], path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -26,8 +26,11 @@ def stream_cells(results: DataFrame, cell: list[str], response_id: str, at: str,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evidencelake-stream-")
+    """A new folder below spark.checkpoint.dir, which driver and executors share; only local mode may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="evidencelake-stream-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

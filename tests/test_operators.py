@@ -1,13 +1,15 @@
 """Literal cases of the library's own operators."""
 
 import itertools
+import math
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import stats
-from evidencelake.functions.textsem import java_pattern, mul32, norm_ws
+from evidencelake.functions.jsregex import java_pattern
+from evidencelake.functions.textsem import mul32, norm_ws
 from evidencelake.operators import assign, classify, grid, perturb, scoring, signals, textops, validate
 from evidencelake.sources import io
 
@@ -60,6 +62,54 @@ def test_positions(spark):
     assert one(spark, signals.ordered_match(F.lit("b a c"), F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == [2, None, 4]
 
 
+@pytest.mark.parametrize(
+    ("pattern", "flags", "text", "want"),
+    [
+        (r"\p{L}+", "u", "ab 漢 1", [0, 3]), (r"(?<y>a)b\k<y>", "", "xaba", [1]), (r"(?<=a+)b", "", "aab b", [2]), ("[a&&b]", "", "ab [ b &", [0, 1, 5, 7]), ("résumé", "i", "RÉSUMÉ résumé", [0, 7]),
+        ("a*", "", "baa", [0, 1, 3]), (r"\p", "", "app", [1, 2]), ("a$", "", "a\n", []), ("^b$", "m", "a\nb\r\nb", [2, 5]), (".", "", "\n\u2028x", [2]), ("[^]", "", "\n", [0]), ("a{,2}", "", "a{,2}", [0]),
+        (r"[\b]", "", "\x08", [0]), (r"\u{1F600}", "u", "a😀", [1]), (r"[^\S]", "", "a b", [1]), ("x", "", "\ufdd0x", [1]), (r"\A", "", "xA", [1]), ("(?=a)a", "", "ba", [1]),
+    ],
+)
+def test_regex_dialect(spark, pattern, flags, text, want):
+    frame = signals.signal_frame(spark, [signals.Signal("regex", pattern=pattern, flags=flags)])
+    row = signals.match_signals(spark.createDataFrame([(1, text)], "k int, text string"), frame, ["k"], evidence=True).first()
+    assert (row.evidence.positions, row.matched, row.error) == (want, bool(want), None)
+
+
+@pytest.mark.parametrize(("pattern", "flags"), [("(?P<y>a)", ""), ("(?i)a", ""), ("a++", ""), ("*a", ""), ("(?>a)", ""), ("[b-a]", ""), (r"\p{Nope}", "u"), (r"\A", "u"), ("a", "gg"), ("(a", ""), ("a)", ""), ("[a", ""), ("a{2,1}", ""), ("(?<a>.)(?<a>.)", "")])
+def test_patterns_that_are_no_ecmascript(spark, pattern, flags):
+    row = matched(spark, signals.Signal("regex", pattern=pattern, flags=flags), "aaaa")
+    assert row.error and not row.matched
+
+
+def test_evidence(spark):
+    said = [
+        signals.Signal("exact_phrase", value="two  words"), signals.Signal("exact_phrase", value="Alpha", case_sensitive=False), signals.Signal("methodology_label", value="none", aliases=("Über uns", "two words")),
+        signals.Signal("ordered_terms", values=("b", "zz", "c")), signals.Signal("section_order", values=("end", "missing")), signals.Signal("exact_phrase", value=""),
+    ]
+    text = "alpha two\u00a0\n words ALPHA a b c\n# The End\r\nüber  UNS"
+    rows = signals.match_signals(spark.createDataFrame([(1, text)], "k int, text string"), signals.signal_frame(spark, said), ["k"], evidence=True).orderBy("idx").collect()
+    e = [r.evidence for r in rows]
+    assert (rows[0].matched, e[0].positions, e[0].whitespace_normalized) == (True, [6], True)
+    assert (e[1].positions, e[1].whitespace_normalized) == ([0, 18], False)
+    assert (rows[2].matched, e[2].matched_term, e[2].positions) == (True, "two words", [6])  # no boundary before a letter beyond ASCII
+    assert (rows[3].matched, e[3].positions) == (False, [26, None, 28])
+    assert (rows[4].matched, e[4].positions, e[4].headings) == (False, [30, None], ["The End"])
+    assert (rows[5].matched, e[5].positions) == (False, [])
+
+
+def test_running_sums_of_long_arrays(spark):
+    numbers = [i % 7 for i in range(1000)]
+    want = [sum(numbers[: i + 1]) for i in range(1000)]
+    assert one(spark, signals.running_sums(F.array(*map(F.lit, numbers)))) == want
+
+
+def test_short_instructions_are_all_looked_for(spark):
+    ins = spark.createDataFrame([(i, f"say w{i}x") for i in range(1500)] + [(2000, "ab"), (2001, "one two three"), (2002, "b c")], "i int, text string")
+    docs = spark.createDataFrame([(i, f"please say w{i}x now") for i in range(1500)] + [(3000, "cab c"), (3001, "bone two threes")], "d int, text string")
+    assert {tuple(r) for r in signals.disclosures(ins, docs, "i", "d").collect()} == {(i, i) for i in range(1500)} | {(2000, 3000), (2002, 3000), (2001, 3001)}
+
+
 def test_headings(spark):
     text = "# One\r\nplain\n2) Two\nSHOUT\nTail:\nÉ\n"
     rows = signals.headings(spark.createDataFrame([(1, text)], "k int, text string"), "k").orderBy("line_index").collect()
@@ -97,6 +147,53 @@ def test_binomial(spark, k, n, p0, want):
     assert got == (pytest.approx(want, abs=1e-12) if want is not None else None)
 
 
+def test_exact_tests_of_large_margins():
+    big = 10**10
+    assert stats.fisher_p(big, big, big, big) == pytest.approx(1.0, abs=1e-9)
+    # a shift of two standard deviations: the normal approximation is close at this size
+    sd = (big / 2) ** 0.5
+    x = int(sd)
+    assert stats.fisher_p(big + x, big - x, big - x, big + x) == pytest.approx(math.erfc(2 * x / big**0.5 / 2**0.5), rel=1e-3)
+    assert stats.fisher_p(big, 0, 0, big) == 0.0
+    n = 10**10
+    k = n // 2 + int(2 * (n / 4) ** 0.5)
+    assert stats.binomial_p(k, n, 0.5) == pytest.approx(0.5 * math.erfc(2 / 2**0.5), rel=1e-3)
+    assert stats.binomial_p(n // 2 - 10**6, n, 0.5) == pytest.approx(1.0, abs=1e-12)
+    exact = sum(math.comb(400, i) for i in range(330, 401)) / 2**400
+    assert stats.binomial_p(330, 400, 0.5) == pytest.approx(exact, rel=1e-9)
+
+
+def test_ranks_and_holm_over_parts(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        names = spark.createDataFrame([(f"prefix/that/is/long/{i:05d}",) for i in range(3000)], "u string")
+        assert assign.ranked(names, "u").where("rank <> cast(right(u, 5) as int)").count() == 0
+        rows = [(f, i, (i % 37 + 1) / 4000) for f in ("a", "b", None) for i in range(900)]
+        got = {(r.f, r.idx): r.adjusted_p for r in stats.holm(spark.createDataFrame(rows, "f string, idx int, p double"), ["f"]).collect()}
+        assert len(got) == len(rows)
+        for f in ("a", None):
+            top = 0.0
+            for k, (p, i) in enumerate(sorted((p, i) for g, i, p in rows if g == f)):
+                top = max(top, min(1.0, p * (900 - k)))
+                assert got[f, i] == pytest.approx(top)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_edits_keep_control_characters(spark):
+    text = "one\u0001two three. Four five."
+    out = one(spark, perturb.human_edit(F.lit(text), F.lit("seed"), F.array(F.lit("one\u0001two"), F.lit("three"), F.lit("four"), F.lit("five"))))
+    assert "one\u0001two" in out or "one" not in out
+
+
+def test_coverage_tiers(spark):
+    instances = spark.createDataFrame([(1, 100.0, 100.0, 2.0, 12.0, "#000000", "#ffffff"), (2, 100.0, 100.0, 2.0, 4.0, "#000000", "#ffffff"), (3, 100.0, 100.0, 2.0, 12.0, "#fafafa", "#ffffff")], "k int, w double, h double, px_per_pt double, font_pt double, fg string, bg string")
+    profile = "profile string, max_long_edge_px int, short_edge_target_px int, patch_px int, max_visual_tokens int, max_pixels long, legible_cap_px double, marginal_cap_px double, legible_contrast double, marginal_contrast double"
+    profiles = spark.createDataFrame([("p", None, None, None, None, None, 10.0, 5.0, 4.5, 2.0)], profile)
+    got = {r.k: (round(r.cap_px, 6), r.tier) for r in validate.coverage(instances, profiles, ["k"]).collect()}
+    assert got == {1: (16.8, 2), 2: (5.6, 1), 3: (16.8, 0)}
+
+
 def test_holm(spark):
     rows = spark.createDataFrame([(1, 0, 0.01), (1, 1, 0.04), (1, 2, 0.03), (1, 3, None), (2, 0, 0.2)], "f int, idx int, p double")
     got = {(r.f, r.idx): (r.adjusted_p, r.significant) for r in stats.holm(rows, ["f"]).collect()}
@@ -291,6 +388,8 @@ def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a "b", c', None)], "k int, t string, e string")
     io.write_csv(rows, ["k", "t", "e"], str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True, quote='"', escape='"').first().t == 'a "b", c'
+    written = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*"))
+    assert written == b'k,t,e\r\n1,"a ""b"", c",\r\n'
     io.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().k == 1
     assert one(spark, io.safe_segment(F.lit("../../etc"))) == "__.._etc" and one(spark, io.safe_stem(F.lit(".pdf"))) == "document"
