@@ -20,16 +20,20 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Units
+from .bpe import cuts_at_spaces, parts
 from .common import Scratch, chunks, documents, with_side
 
+#: Units in one of the two generations that a worker remembers.
+REMEMBERED = 300_000
+
 _live: dict[str, TokenizerUnits] = {}
 
 
@@ -58,6 +62,32 @@ def added_tokens(spec: str, encode_special_tokens: bool) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
+class Units(dict):
+    """Remembered ids (bytes of little-endian 32-bit numbers) of the units of texts, each unit but the first
+    with the space before it.
+
+    Holds for pre-token patterns in which a space between two other characters always begins a pre-token.
+    Two generations of `most` units are kept, so frequent units stay when new ones crowd in.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = REMEMBERED):
+        super().__init__()
+        self.encode, self.old, self.most = encode, {}, most
+
+    def parts(self, text: str) -> list[str]:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return parts(text)
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.old.get(unit)
+        if out is None:
+            out = self.encode(f" {unit}")
+        self[unit] = out
+        return out
+
+
 class TokenizerUnits:
     """Ids of a byte-level vocabulary whose ids are its merge ranks; added tokens in a text stand for themselves.
 
@@ -71,6 +101,8 @@ class TokenizerUnits:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+        if not cuts_at_spaces(regex.compile(pattern).findall):
+            raise ValueError("the pattern must cut before a space between two other characters")
         self.widths = np.array([len(t) for t in tokens])
         self.units = Units(self.encode)
 
