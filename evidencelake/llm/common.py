@@ -42,7 +42,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back."""
-        df.write.mode("overwrite").parquet(path := f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path := f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
