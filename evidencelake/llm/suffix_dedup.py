@@ -4,23 +4,23 @@ A string is looked for at every byte: the corpus suffixes that agree in their fi
 one class, and all but the first of a class in corpus order (doc_id, then start) are repeats. Sorting
 all suffixes is avoided as prefix-free parsing does:
 
-- Triggers. A rolling hash of WIDTH bytes runs over each text; the position of the smallest hash among
-  the WIDTH-grams of a `length`-byte string is its trigger. Equal strings have equal triggers at equal
-  places, and every string has one.
+- Triggers. A rolling hash of WIDTH bytes runs over each text; a position whose hash is below a bound (one in
+  SPARSE) is a trigger. The trigger of a `length`-byte string is the first one inside it, or where it has none
+  the position of its smallest hash. Equal strings have equal triggers at equal places, and every string has one.
 - Phrases. Consecutive starts with one trigger form a phrase; it reaches `length - 1` bytes beyond its
-  last start, so each string lies in exactly one phrase and phrases overlap as the method asks.
+  last start, so each string lies in exactly one phrase and phrases overlap as the method asks. By that overlap
+  the first symbol of a suffix of the parse decides the order of its first `length` bytes.
 - Dictionary and parse. Occurrences whose trigger's WIDTH-gram occurs once in the corpus cannot repeat
   and leave. The distinct phrases left are the dictionary, their occurrences the parse. In the parse only
   the first occurrence of a phrase can hold a first suffix; the others are repeats as a whole.
-- Corpus order. Dictionary suffixes, cut at `length` bytes, are put into classes by their 128-bit hash;
-  the corpus position of a class is the smallest over its phrases' first occurrences. Only phrases that
-  share a trigger gram with a different phrase need this byte-level step: phrases of one gram meet in a
-  task and are sorted there; beyond `hot_phrases` of one gram their strings are combined by hash instead.
+- Suffix arrays. A dictionary phrase that shares its trigger gram with another is open. Open phrases of one gram
+  meet in a cell (of about `cell_phrases`; a gram with more has several cells), where the suffixes of the cell,
+  cut at `length` bytes, are sorted by prefix doubling. Equal neighbours are one class; all but its first in
+  corpus order are repeats. Where a gram has several cells, the firsts of each cell's classes meet once more.
 
-For highly repetitive text the dictionary is small, and bytes are looked at once per distinct phrase.
-No suffix order beyond these classes is needed, so none is built, and no task ever holds the whole
-dictionary or parse. Minima are combined before shuffles, and
-are written out before they are joined, so that Spark can split a skewed key of the join.
+For highly repetitive text the dictionary is small, and bytes are looked at once per distinct phrase. No task
+ever holds the whole dictionary or parse. Minima are combined before shuffles, and are written out before they
+are joined, so that Spark can split a skewed key of the join.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` stay whole; matches never
 cross rows; rows that repeat a doc_id and text count as one document, other rows of one doc_id are
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_VALUES, Rolling, Scratch, chunks, documents, merged, mix, signed, text_bytes, with_side
 
-#: Bytes of the grams among which triggers are chosen.
-WIDTH = 32
+#: Bytes of the grams among which triggers are chosen, and how many of them there are to a trigger.
+WIDTH, SPARSE = 32, 32
 _FIRST, _SECOND = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 _OTHER_VALUES = mix(np.arange(256, dtype=np.uint64), 2)
 KEY = ["doc_id", "row_hash"]
@@ -70,7 +70,9 @@ class Bytes:
         if n < length:
             return (np.zeros(0, np.int64),) * 3
         grams = np.arange(n - WIDTH + 1)
-        least = (mix(_FIRST.spans(self.sums, grams, grams + WIDTH)) & ~low) | grams.astype(np.uint64)
+        hashes = mix(_FIRST.spans(self.sums, grams, grams + WIDTH))
+        hashes[hashes < np.uint64(2**64 // SPARSE)] = 0  # of several triggers the first counts
+        least = (hashes & ~low) | grams.astype(np.uint64)
         reach, full = 1, length - WIDTH + 1
         while 2 * reach <= full:
             least = np.minimum(least[:-reach], least[reach:])
@@ -143,24 +145,6 @@ def entries(zoned: DataFrame, length: int) -> DataFrame:
     return zoned.mapInArrow(run, "doc_id long, row_hash long, at int, n int, gram long, p1 long, p2 long")
 
 
-def suffixes(zoned: DataFrame, length: int) -> DataFrame:
-    """(doc_id, row_hash, at, h1, h2): the `length`-byte strings that start in a document's zones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in chunks(batch, 1 << 20):
-                text = Bytes(chunk.column("text"))
-                parts = list(zip(_lists(chunk.column("zone_from")), _lists(chunk.column("zone_to")), strict=True))
-                row = np.repeat(np.arange(len(parts)), [len(f) for f, _ in parts])
-                start, size = np.concatenate([f for f, _ in parts]).astype(np.int64), np.concatenate([t - f for f, t in parts]).astype(np.int64)
-                at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                row = np.repeat(row, size)
-                begin = at + text.offsets[row]
-                yield _rows(chunk, row, at=at.astype(np.int32), h1=text.first(begin, begin + length), h2=text.second(begin, begin + length))
-
-    return zoned.mapInArrow(run, "doc_id long, row_hash long, at int, h1 long, h2 long")
-
-
 def open_phrases(zoned: DataFrame, length: int) -> DataFrame:
     """(doc_id, row_hash, at, n, gram, data): the phrases that start in a document's zones, with their bytes."""
 
@@ -180,31 +164,67 @@ def open_phrases(zoned: DataFrame, length: int) -> DataFrame:
     return zoned.mapInArrow(run, "doc_id long, row_hash long, at int, n int, gram long, data binary")
 
 
-def later_starts(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start within the phrase) of the strings of phrases, in corpus order, that an earlier one holds too."""
+def cut_suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the `length` bytes at every position, by prefix doubling; equal strings share a rank.
+
+    The last `length - 1` positions have ranks of no meaning.
+    """
+
+    def ranks(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        out = np.empty(len(keys), np.uint64)
+        ordered = keys[order]
+        out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]], dtype=np.uint64)
+        return out
+
+    padded, word, reach = np.r_[data, np.zeros(8, np.uint8)], np.zeros(len(data), np.uint64), 8
+    for k in range(8):
+        word = word << np.uint64(8) | padded[k : k + len(data)]
+    if length < 8:
+        return ranks(word >> np.uint64(8 * (8 - length)))
+    rank = ranks(word)
+    while reach < length:
+        step = min(reach, length - reach)
+        rank = ranks(rank << np.uint64(32) | np.r_[rank[step:], np.zeros(min(step, len(rank)), np.uint64)][: len(rank)])
+        reach += step
+    return rank
+
+
+def classes(table: pa.Table, length: int) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases' bytes; row and first byte of every start, in corpus order; and which start begins its class."""
     text = Bytes(table.column("data").combine_chunks())
     n = table.column("n").to_numpy()
     row = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    begin = text.offsets[row] + start
-    a, b = text.first(begin, begin + length), text.second(begin, begin + length)
-    order = np.lexsort((row, b, a))
-    again = np.r_[False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]
-    found = np.sort(order[again])
-    return row[found], start[found]
+    begin = text.offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    rank = cut_suffix_ranks(text.data, length)[begin]
+    order = np.argsort(rank << np.uint64(32) | np.arange(len(row), dtype=np.uint64))
+    first = np.empty(len(row), bool)
+    first[order] = np.r_[True, rank[order][1:] != rank[order][:-1]][: len(row)]
+    return text, row, begin, first
 
 
-def within_grams(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, row_hash, at, size): covered spans of open_phrases() that lie sorted by gram and place."""
+def within_cells(rows: DataFrame, length: int) -> DataFrame:
+    """Of open_phrases() that lie sorted by gram, cell and place: (doc_id, row_hash, at, size) of the spans covered by
+    strings that an earlier phrase of the cell holds, and, where the gram has several cells, (doc_id, row_hash, at,
+    h1, h2) of the first string of every class of the cell."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        row, start = later_starts(table, length)
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, int)
-        last = np.r_[first[1:] - 1, len(row) - 1] if len(row) else first
-        whole = table.select([*KEY, "at"]).take(pa.array(row[first]))
-        size = (start[last] - start[first] + length).astype(np.int32)
-        cols = [whole.column(k).combine_chunks() for k in KEY]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(whole.column("at").to_numpy() + start[first].astype(np.int32)), pa.array(size)], names=[*AT, "size"])
+        # several cells of a gram may have come together: corpus order throughout
+        table = table.take(pa.array(np.lexsort([table.column(k).to_numpy() for k in reversed(AT)])))
+        text, row, begin, first = classes(table, length)
+        start = begin - text.offsets[row]
+        later = np.flatnonzero(~first)
+        r, s = row[later], start[later]
+        cut = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)][: len(r)])
+        size = s[np.r_[cut[1:] - 1, len(r) - 1][: len(cut)]] - s[cut] + length
+        more = np.flatnonzero(first & (table.column("cells").to_numpy()[row] > 1))
+        at = np.r_[later[cut], more]
+        place = table.select([*KEY, "at"]).take(pa.array(row[at])).combine_chunks()
+        none, end = np.zeros(len(more), bool), begin[more] + length
+        is_first = np.r_[np.zeros(len(cut), bool), ~none]
+        hashes = [pa.array(np.r_[np.zeros(len(cut), np.int64), h(begin[more], end)], mask=~is_first) for h in (text.first, text.second)]
+        cols = [*(place.column(k).combine_chunks() for k in KEY), pa.array((place.column("at").to_numpy() + start[at]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.r_[size, none].astype(np.int32), mask=is_first), *hashes], names=[*AT, "size", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -212,15 +232,15 @@ def within_grams(rows: DataFrame, length: int) -> DataFrame:
             if not len(batch):
                 continue
             table = pa.Table.from_batches([*held, batch])
-            grams = table.column("gram").to_numpy()
-            cut = int(np.argmax(grams == grams[-1]))
+            gram, cell = table.column("gram").to_numpy(), table.column("cell").to_numpy()
+            cut = int(np.argmax((gram == gram[-1]) & (cell == cell[-1])))
             if cut:
                 yield solve(table.slice(0, cut))
             held = table.slice(cut).to_batches()
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "doc_id long, row_hash long, at int, size int")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, at int, size int, h1 long, h2 long")
 
 
 def spans(rows: DataFrame, size: str, name: str) -> DataFrame:
@@ -237,7 +257,7 @@ def spans(rows: DataFrame, size: str, name: str) -> DataFrame:
 
 
 def zoned(docs: DataFrame, zones: DataFrame) -> DataFrame:
-    return with_side(docs, zones, KEY, 64 + 8 * F.size("zone_from"), "inner")
+    return docs.join(zones.hint("merge"), KEY)
 
 
 def first_of(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -245,7 +265,7 @@ def first_of(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min(F.struct(*AT)).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
 
 
-def repeats(docs: DataFrame, length: int, scratch: Scratch, hot_phrases: int = 2000) -> DataFrame:
+def repeats(docs: DataFrame, length: int, scratch: Scratch, cell_phrases: int = 1 << 15) -> DataFrame:
     """(doc_id, row_hash, cut_from, cut_to): byte spans covered by strings that also start earlier."""
     grams = triggers(docs, length)
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
@@ -257,28 +277,27 @@ def repeats(docs: DataFrame, length: int, scratch: Scratch, hot_phrases: int = 2
     entry = ["p1", "p2"]
     here = F.struct(*AT)
     copies = parse.join(scratch.table(first_of(parse, entry), "entries").hint("merge"), entry).where(here > F.col("first"))
-    copies = scratch.table(copies.select(*AT, F.col("n") + (length - 1)), "copies").toDF(*AT, "size")
+    copies = scratch.table(copies.select(*AT, (F.col("n") + (length - 1)).alias("size")), "copies")
     scratch.release()
 
     dictionary = parse.groupBy(*entry, "gram", "n").agg(F.min(here).alias("first")).select("gram", "n", "first.*")
     dictionary = scratch.table(dictionary, "dictionary")
     scratch.drop("parse")
-    several = dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = scratch.table(dictionary.join(scratch.table(several, "several").hint("merge"), "gram"), "shared")
-    zones = scratch.table(spans(shared.where(F.col("c") <= hot_phrases), "n", "zone"), "open")
-    wide = scratch.table(spans(shared.where(F.col("c") > hot_phrases), "n", "zone"), "wide")
+    several = scratch.table(dictionary.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "several")
+    zones = scratch.table(spans(dictionary.join(several.hint("merge"), "gram"), "n", "zone"), "open")
     scratch.release()
 
-    # few phrases to a trigger gram: they meet with their bytes; many: their strings meet by hash
-    near = open_phrases(zoned(docs, zones), length).repartition("gram").sortWithinPartitions("gram", *AT)
-    near = scratch.table(within_grams(near, length), "near")
+    hot = several.where(F.col("c") > cell_phrases).select("gram", F.ceil(F.col("c") / cell_phrases).cast("int").alias("cells"))
+    phrases = with_side(open_phrases(zoned(docs, zones), length), hot, ["gram"], F.lit(16)).withColumn("cells", F.coalesce("cells", F.lit(1)))
+    phrases = phrases.withColumn("cell", F.pmod(F.xxhash64(*AT), F.col("cells")).cast("int"))
+    solved = scratch.table(within_cells(phrases.repartition("gram", "cell").sortWithinPartitions("gram", "cell", *AT), length), "solved")
     scratch.release()
-    rows = suffixes(zoned(docs, wide), length)
+    rows = solved.where("h1 IS NOT NULL").select(*AT, "h1", "h2")
     firsts = scratch.table(first_of(rows, ["h1", "h2"]), "firsts")
     later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where(here > F.col("first")).select(*AT, F.lit(length).alias("size"))
-    later = later.union(near)
-    out = scratch.table(spans(copies.union(later), "size", "cut"), "cuts")
-    for name in ("often", "entries", "several", "shared", "firsts", "near", "copies", "dictionary", "zones", "open", "wide"):
+    near = solved.where("size IS NOT NULL").select(*AT, "size")
+    out = scratch.table(spans(copies.union(later).union(near), "size", "cut"), "cuts")
+    for name in ("often", "entries", "several", "firsts", "solved", "copies", "dictionary", "zones", "open"):
         scratch.drop(name)
     scratch.release()
     return out
@@ -302,14 +321,17 @@ def cut_bytes(marked: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, hot_phrases: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary). length: bytes of a match, over WIDTH."""
+def suffix_dedup(docs: DataFrame, length: int = 100, cell_phrases: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+
+    length: bytes of a match, over WIDTH. cell_phrases bounds the phrases that are sorted at once, not the result.
+    """
     if length <= WIDTH:
         raise ValueError(f"length must be over {WIDTH} bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = documents(docs, id_col, text_col)
-    cuts = repeats(rows.where("doc_id IS NOT NULL"), length, scratch, hot_phrases)
-    return cut_bytes(with_side(rows, cuts, KEY, 64 + 8 * F.size("cut_from")))
+    cuts = repeats(rows.where("doc_id IS NOT NULL"), length, scratch, cell_phrases)
+    return cut_bytes(rows.join(cuts.hint("merge"), KEY, "left"))
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -203,7 +203,15 @@ def test_bpe(docs, empty):
 def test_perfect_hash_and_merges():
     tokens = bpe.read_ranks(VERSIONS["byte_bpe_50k"])
     codec, encode = bpe.live(tokens, public_tokenizers.PATTERN), encoder("byte_bpe_50k").encode_ordinary
-    assert sorted(codec.whole.find(t) for t in tokens) == list(range(len(tokens)))
+    ends = np.cumsum([len(t) for t in tokens])
+    starts = np.r_[0, ends[:-1]]
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    assert codec.whole.find(data, starts, ends).tolist() == list(range(len(tokens)))
+    assert sorted(codec.whole.slots.tolist()) == list(range(len(tokens)))
+    known = set(tokens)
+    other = [(a, b) for a, b in zip(starts[:5000].tolist(), (ends[:5000] + 3).tolist(), strict=True)]
+    want = [bytes(data[a:b]) in known for a, b in other]
+    assert (codec.whole.find(data, *np.array(other).T) >= 0).tolist() == want
     r = random.Random(9)
     letters = "aAbé \n\t\r'stvemlld.!?#0123９٣ \x1c\x85　漢字😀İ́"
     for _ in range(3000):
@@ -225,10 +233,22 @@ def test_suffix_dedup(docs, empty):
     order = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     want = brute.cut_strings(sorted(DOCS, key=lambda x: (x[0] is not None, x[0] or 0, order[x])), 100)
     same(suffix_dedup.suffix_dedup(docs), [(i, *want[i, t][:3], bytearray(want[i, t][3])) for i, t in DOCS])
-    same(suffix_dedup.suffix_dedup(docs, hot_phrases=3), [(i, *want[i, t][:3], bytearray(want[i, t][3])) for i, t in DOCS])
+    same(suffix_dedup.suffix_dedup(docs, cell_phrases=3), [(i, *want[i, t][:3], bytearray(want[i, t][3])) for i, t in DOCS])
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffixes_are_sorted():
+    r = np.random.default_rng(6)
+    data = np.r_[r.integers(97, 99, 400), np.full(150, 97), r.integers(97, 99, 50)].astype(np.uint8)
+    text = bytes(data)
+    for length in (3, 8, 20, 100):
+        rank = suffix_dedup.cut_suffix_ranks(data, length)
+        at = range(len(data) - length + 1)
+        want = {s: i for i, s in enumerate(sorted({text[i : i + length] for i in at}))}
+        got = sorted({int(rank[i]) for i in at})
+        assert [got.index(int(rank[i])) for i in at] == [want[text[i : i + length]] for i in at]
+
+
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
