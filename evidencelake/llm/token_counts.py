@@ -4,9 +4,9 @@ A rollup is a folder of three tables. `ledger` holds signed rows per document: a
 the new counts of the documents it inserts or revises and takes away the counts that the ledger held
 for them, so the sum over a document's rows is its state. `deltas` holds each batch's ledger summed by
 source, language and tokenizer version; totals are sums of deltas and never reread documents. `commits`
-names the batches that count. A batch is written under its own identifier and only then named in
-`commits`: one that failed half-way is overwritten when it is sent again, one that is committed already
-is left alone.
+names the batches that count. Every attempt at a batch is written to a folder of its own; it counts once a file
+named after the batch has been created in `commits`, which the file system lets only one writer do. An attempt that
+failed half-way, or lost to another, is never read; a batch that is committed already is left alone.
 
 Edge cases: null texts and removals have no tokens (a null text counts as an empty document); null
 source or language form a group of their own; within a batch a removal wins over other rows of its
@@ -18,13 +18,17 @@ its name.
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, with_side
+from .common import BROADCAST_BYTES, Scratch, chunks, with_side
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 KEYS = ["source", "lang", "tokenizer"]
@@ -73,22 +77,42 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, folder: str, tokenizers: dict[str, str], pattern: str):
         self.spark, self.folder, self.tokenizers, self.pattern = spark, folder.rstrip("/"), tokenizers, pattern
-        for name, schema in (("ledger", LEDGER), ("deltas", LEDGER.replace("doc_id long, ", ""))):
-            spark.createDataFrame([], f"{schema}, batch string").write.mode("append").partitionBy("batch").parquet(f"{self.folder}/{name}")
-        spark.createDataFrame([], "batch string").write.mode("append").parquet(f"{self.folder}/commits")
+        for name in ("ledger", "deltas", "commits"):
+            self._fs(name)[0].mkdirs(self._fs(name)[1])
+
+    def _fs(self, name: str):
+        """(file system, path) of a part of the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        rows = self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.folder}/{name}")
-        return rows.join(F.broadcast(self.commits()), "batch", "left_semi")
+        rows = self.spark.read.schema(f"{schema}, batch string, attempt string").parquet(f"{self.folder}/{name}")
+        commits = self.commits()
+        return rows.join(commits.hint("broadcast" if commits.count() * 256 <= BROADCAST_BYTES else "merge"), ["batch", "attempt"], "left_semi")
 
     def commits(self) -> DataFrame:
-        """Names of committed batches: one row a batch."""
-        return self.spark.read.schema("batch string").parquet(f"{self.folder}/commits").distinct()
+        """(batch, attempt) of committed batches: one row a batch."""
+        return self.spark.read.schema("batch string, attempt string").json(f"{self.folder}/commits")
+
+    def _claim(self, batch: str, attempt: str) -> bool:
+        """Names the attempt that counts for a batch; False if another has been named."""
+        fs, path = self._fs(f"commits/{hashlib.sha256(batch.encode()).hexdigest()}.json")
+        try:
+            out = fs.create(path, False)
+        except Exception:
+            if fs.exists(path):
+                return False
+            raise
+        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
+        out.close()
+        return True
 
-    def state(self) -> DataFrame:
-        """LEDGER rows of the documents as they stand."""
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
-        return rows.where("n_docs <> 0")
+    def state(self, touched: DataFrame | None = None) -> DataFrame:
+        """LEDGER rows of the documents as they stand; touched(doc_id): of these alone, found before anything is summed."""
+        rows = self._read("ledger", LEDGER)
+        if touched is not None:
+            rows = rows.join(touched.hint("merge"), rows.doc_id.eqNullSafe(touched.doc_id), "left_semi")
+        return rows.groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars from the committed deltas alone."""
@@ -105,13 +129,13 @@ class TokenRollup:
         gone = docs.where("op = 'delete'").select("doc_id").distinct()
         touched = docs.select("doc_id").distinct()
         new = new.join(gone.hint("merge"), new.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-        state = self.state()
-        old = state.join(touched.hint("merge"), state.doc_id.eqNullSafe(touched.doc_id), "left_semi").select("doc_id", *KEYS, *((-F.col(c)).alias(c) for c in SUMS))
-        new.unionByName(old).write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={batch}")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/batch={batch}")
-        rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
-        self.spark.createDataFrame([(batch,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
-        return True
+        old = self.state(touched).select("doc_id", *KEYS, *((-F.col(c)).alias(c) for c in SUMS))
+        attempt = uuid.uuid4().hex
+        place = f"batch={quote(batch, safe='')}/attempt={attempt}"
+        new.unionByName(old).write.parquet(f"{self.folder}/ledger/{place}")
+        rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{place}")
+        rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(f"{self.folder}/deltas/{place}")
+        return self._claim(batch, attempt)
 
 
 def corpus_history(documents: DataFrame, labels: DataFrame) -> list[tuple[str, DataFrame]]:

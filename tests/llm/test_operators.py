@@ -138,8 +138,9 @@ def test_token_batches_commit_once(spark, docs):
     rollup.commit("empty", load.limit(0))
     load.where("doc_id = 0").write.mode("overwrite").parquet(f"{rollup.folder}/elsewhere")
     # a batch that was written but never named in commits does not count, and is overwritten when sent again
-    spark.createDataFrame([("s0", None, "byte_bpe_50k", 9, 9, 9)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long").write.parquet(f"{rollup.folder}/deltas/batch=half")
+    spark.createDataFrame([("s0", None, "byte_bpe_50k", 9, 9, 9)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long").write.parquet(f"{rollup.folder}/deltas/batch=half/attempt=lost")
     assert sorted(map(key, rollup.totals().collect())) == before
+    assert not rollup._claim(name, "another writer of the same batch")
     rollup.commit("half", load.where("doc_id = 0").withColumn("op", F.lit("delete")))
     assert sum(r.n_docs for r in rollup.totals().collect()) == sum(x[3][1] for x in before) - len(VERSIONS)
 
