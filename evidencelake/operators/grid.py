@@ -68,13 +68,14 @@ def gate(cells: DataFrame, by: list[str], rate: str = "all_rate", disclosure: st
     return out.withColumn("passed", F.coalesce(F.col("best_delta_pp") >= THRESHOLD_PP, F.lit(False)))
 
 
+#: The texts of a gate report.
+NO_DELTA = "No provider/condition pair produced a comparable delta against the original condition in this run."
+LARGEST, VERSUS, ABOVE, BELOW, THRESHOLD = "The largest observed delta in this run was %.1f percentage points (", " vs. original), ", "at or above", "below", " the 50pp smoke-test threshold."
+
+
 def gate_text(delta: Column, provider: Column, condition: Column, passed: Column) -> Column:
-    return F.when(delta.isNull(), "No provider/condition pair produced a comparable delta against the original condition in this run.").otherwise(
-        F.concat(
-            F.format_string("The largest observed delta in this run was %.1f percentage points (", delta), provider, F.lit(", "), condition,
-            F.lit(" vs. original), "), F.when(passed, "at or above").otherwise("below"), F.lit(" the 50pp smoke-test threshold."),
-        )
-    )
+    said = F.concat(F.format_string(LARGEST, delta), provider, F.lit(", "), condition, F.lit(VERSUS), F.when(passed, ABOVE).otherwise(BELOW), F.lit(THRESHOLD))
+    return F.when(delta.isNull(), NO_DELTA).otherwise(said)
 
 
 def cell_summary(rows: DataFrame, cell: list[str], label: str, tokens: str, incomplete: str, size: int | None = None) -> DataFrame:

@@ -93,22 +93,21 @@ def compare_all_matched(counts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+#: The texts of a report, which readers of exports compare.
+ALL_MATCHED, SOME_MATCHED, NONE_MATCHED = "Hidden instruction signal matched", "Behavioral canary detected", "No consistent signal"
+NO_SIGNALS = "No expected signals are configured for this job, so no evidence could be evaluated."
+MATCHED = "%d of %d configured deterministic evidence signal(s) matched in this submission's text."
+NO_BASELINE = "No baseline submissions have been recorded for this job yet, so no false-positive rate is available — treat this result as unvalidated."
+BASED_ON, RATE_OF, OBSERVED = "Based on ", " baseline submission(s), a false-positive rate of ", '% was observed for "all signals matched"; this is evidence, never a verdict.'
+
+
 def interpretation(matched, total, baseline_count, rate) -> dict:
     """headline, text and uncertainty of a scored text; evidence for a reviewer, not a verdict."""
-    headline = F.when((total > 0) & (matched == total), "Hidden instruction signal matched").when(matched > 0, "Behavioral canary detected").otherwise("No consistent signal")
-    text = F.when(total == 0, "No expected signals are configured for this job, so no evidence could be evaluated.").otherwise(
-        F.format_string("%d of %d configured deterministic evidence signal(s) matched in this submission's text.", matched, total)
-    )
+    headline = F.when((total > 0) & (matched == total), ALL_MATCHED).when(matched > 0, SOME_MATCHED).otherwise(NONE_MATCHED)
+    text = F.when(total == 0, NO_SIGNALS).otherwise(F.format_string(MATCHED, matched, total))
     share = F.coalesce(F.format_string("%.1f", rate * 100), F.lit("n/a"))
-    uncertainty = F.when(
-        F.coalesce(baseline_count, F.lit(0)) == 0,
-        "No baseline submissions have been recorded for this job yet, so no false-positive rate is available — treat this result as unvalidated.",
-    ).otherwise(
-        F.concat(
-            F.lit("Based on "), baseline_count.cast("string"), F.lit(" baseline submission(s), a false-positive rate of "), share,
-            F.lit('% was observed for "all signals matched"; this is evidence, never a verdict.'),
-        )
-    )
+    known = F.concat(F.lit(BASED_ON), baseline_count.cast("string"), F.lit(RATE_OF), share, F.lit(OBSERVED))
+    uncertainty = F.when(F.coalesce(baseline_count, F.lit(0)) == 0, NO_BASELINE).otherwise(known)
     return {"headline": headline, "text": text, "uncertainty": uncertainty}
 
 

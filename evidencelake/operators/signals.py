@@ -44,15 +44,21 @@ class Signal:
     values: tuple[str, ...] = field(default=())
 
 
+#: Why a pattern is refused.
+TOO_LONG = f"Pattern exceeds the maximum length of {MOST_PATTERN} characters."
+NESTED_QUANTIFIERS = "Pattern rejected: nested quantifiers can cause catastrophic backtracking."
+DISALLOWED = 'Disallowed regex flag: "{}".'
+
+
 def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[str | None, str | None]:
     """(Java pattern, None), or (None, why the user pattern is refused). What is returned compiles in every task."""
     if len(pattern) > MOST_PATTERN:
-        return None, f"Pattern exceeds the maximum length of {MOST_PATTERN} characters."
+        return None, TOO_LONG
     if NESTED.search(pattern):
-        return None, "Pattern rejected: nested quantifiers can cause catastrophic backtracking."
+        return None, NESTED_QUANTIFIERS
     for flag in flags:
         if flag not in FLAGS:
-            return None, f'Disallowed regex flag: "{flag}".'
+            return None, DISALLOWED.format(flag)
     if len(set(flags)) < len(flags):
         return None, f"Invalid flags: {flags}."
     try:
