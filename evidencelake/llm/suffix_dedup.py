@@ -30,6 +30,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUES, Rolling, Scratch, chunks, documents, merged, mix, signed, text_bytes, with_side
 
 #: Bytes of the grams among which triggers are chosen, and how many of them there are to a trigger.
-WIDTH, SPARSE = 32, 32
+WIDTH, SPARSE = 32, 128
 _FIRST, _SECOND = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 _OTHER_VALUES = mix(np.arange(256, dtype=np.uint64), 2)
 KEY = ["doc_id", "row_hash"]
@@ -52,7 +53,10 @@ class Bytes:
 
     def __init__(self, text: pa.Array):
         self.data, self.offsets = text_bytes(text)
-        self.sums = _FIRST.prefix(BYTE_VALUES[self.data])
+
+    @functools.cached_property
+    def sums(self) -> np.ndarray:
+        return _FIRST.prefix(BYTE_VALUES[self.data])
 
     def first(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return signed(mix(_FIRST.spans(self.sums, starts, ends), 3))
@@ -172,9 +176,8 @@ def cut_suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
     def ranks(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
-        out = np.empty(len(keys), np.uint64)
-        ordered = keys[order]
-        out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]], dtype=np.uint64)
+        out, keys = np.empty(len(keys), np.uint32), keys[order]
+        out[order] = np.cumsum(np.r_[False, keys[1:] != keys[:-1]], dtype=np.uint32)
         return out
 
     padded, word, reach = np.r_[data, np.zeros(8, np.uint8)], np.zeros(len(data), np.uint64), 8
@@ -185,7 +188,9 @@ def cut_suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     rank = ranks(word)
     while reach < length:
         step = min(reach, length - reach)
-        rank = ranks(rank << np.uint64(32) | np.r_[rank[step:], np.zeros(min(step, len(rank)), np.uint64)][: len(rank)])
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(len(rank) - step, 0)] |= rank[step:]
+        rank = ranks(key)
         reach += step
     return rank
 
@@ -196,7 +201,7 @@ def classes(table: pa.Table, length: int) -> tuple[Bytes, np.ndarray, np.ndarray
     n = table.column("n").to_numpy()
     row = np.repeat(np.arange(len(n)), n)
     begin = text.offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    rank = cut_suffix_ranks(text.data, length)[begin]
+    rank = cut_suffix_ranks(text.data, length)[begin].astype(np.uint64)
     order = np.argsort(rank << np.uint64(32) | np.arange(len(row), dtype=np.uint64))
     first = np.empty(len(row), bool)
     first[order] = np.r_[True, rank[order][1:] != rank[order][:-1]][: len(row)]
