@@ -121,7 +121,7 @@ def triggers(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch, 1 << 20):
+            for chunk in chunks(batch, 1 << 18):
                 text = Bytes(chunk.column("text"))
                 trigger = text.phrases(length)[2]
                 row = text.row(trigger)
@@ -135,7 +135,7 @@ def entries(zoned: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch, 1 << 20):
+            for chunk in chunks(batch, 1 << 18):
                 text = Bytes(chunk.column("text"))
                 begin, last, trigger = text.phrases(length)
                 row = text.row(trigger)
@@ -154,7 +154,7 @@ def open_phrases(zoned: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch, 1 << 20):
+            for chunk in chunks(batch, 1 << 18):
                 text = Bytes(chunk.column("text"))
                 begin, last, trigger = text.phrases(length)
                 row = text.row(begin)
