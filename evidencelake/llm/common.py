@@ -123,6 +123,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class JoinedWords:
+    """The words of a chunk of rows one after the other, a space after each: where each begins, its size with the
+    space, and where each row's words begin (one more at the end)."""
+
+    def __init__(self, text: pa.Array, fold: bool = False):
+        data, offsets = text_bytes(text)
+        starts, ends, self.rows = word_spans(data, offsets)
+        self.size = ends - starts + 1
+        self.begin = np.cumsum(self.size) - self.size
+        at = np.repeat(starts - self.begin, self.size) + np.arange(self.size.sum())
+        joined = data[np.minimum(at, max(len(data) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+        if fold:
+            joined = np.where((joined >= 65) & (joined <= 90), joined + 32, joined).astype(np.uint8)
+        joined[self.begin + self.size - 1] = 32
+        self.data = joined
+
+    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each word, equal for equal words, and the distinct words by number."""
+        offsets = np.append(self.begin, len(self.data)).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.begin), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)]).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary.to_pylist()
+
+
+def fixed_bytes(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) bytes of a binary column without nulls."""
+    column = column.cast(pa.binary(width))
+    return np.frombuffer(column.buffers()[1], np.uint8)[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit (splitmix64's finish)."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)

@@ -11,6 +11,7 @@ from . import bpe
 from .exact_dedup import exact_dedup
 from .line_dedup import digest as line_digest
 from .line_dedup import line_dedup
+from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -72,4 +73,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op8_suffix_dedup, op9_packing, op10_simhash_dedup)}
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"), shingle=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op8_suffix_dedup, op9_packing, op10_simhash_dedup, op12_minhash_dedup)}

@@ -50,4 +50,14 @@ SQL = {
     SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
            doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
     FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)""",
+    "op12_minhash_dedup": rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}+'), lambda x: x <> '') AS ws FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+    u AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+    met AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n, b.n AS m, count(*) AS common FROM u AS a JOIN u AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (SELECT x, y FROM met WHERE 100 * common >= 80 * (n + m - common)),
+    two AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+    reach AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT two.y, reach.root FROM reach JOIN two ON two.x = reach.node)
+    SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM s JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) USING (doc_id)""",
 }
