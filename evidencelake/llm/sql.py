@@ -32,6 +32,24 @@ def quality_measures(source: str) -> str:
                FROM base)"""
 
 
+def clustering(rounds: int) -> str:
+    """SQL of operator 13: a pair of CTEs a round."""
+    nearest = lambda r: f"""near{r} AS MATERIALIZED (SELECT vec_id, v, arg_min(n, (d, n)) AS cluster, min(d) AS distance
+        FROM (SELECT vec_id, k.v, n, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::BIGINT AS d FROM kept AS k, cen{r} AS c) GROUP BY vec_id, v)"""
+    moves = lambda r: f"""cen{r + 1} AS MATERIALIZED (SELECT cen{r}.n, coalesce(m.v, cen{r}.v) AS v FROM cen{r} LEFT JOIN (
+        SELECT cluster AS n, list(floor(s::DOUBLE / c)::BIGINT ORDER BY i) AS v FROM (
+            SELECT cluster, i, sum(v[i]) AS s, count(*) AS c FROM near{r}, range(1, 65) AS t(i) GROUP BY cluster, i) GROUP BY cluster) AS m USING (n))"""
+    steps = ", ".join(f"{nearest(r)}, {moves(r)}" for r in range(rounds))
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    cen0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS n, v FROM (SELECT * FROM kept ORDER BY sha256('2:' || vec_id) LIMIT 40)),
+    {steps}, {nearest(rounds)}
+    SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(cen{rounds}.v, ',')) AS centroid_sha256
+    FROM near{rounds} JOIN cen{rounds} ON cluster = n"""
+
+
 SQL = {
     "op2_quality_rules": f"""
     WITH {quality_measures("documents")}
@@ -60,4 +78,5 @@ SQL = {
     reach AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT two.y, reach.root FROM reach JOIN two ON two.x = reach.node)
     SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept
     FROM s JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) USING (doc_id)""",
+    "op13_centroid_clustering": clustering(5),
 }
