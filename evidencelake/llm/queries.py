@@ -14,6 +14,8 @@ from .line_dedup import digest as line_digest
 from .line_dedup import line_dedup
 from .minhash_dedup import minhash_dedup
 from .packing import pack_documents
+from .periodic_runs import digest as run_digest
+from .periodic_runs import periodic_runs, with_planted_runs
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash_dedup import simhash_dedup
@@ -74,6 +76,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -82,4 +88,4 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clustering(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op8_suffix_dedup, op9_packing, op10_simhash_dedup, op12_minhash_dedup, op13_centroid_clustering)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_token_counts, op4_substring_dedup, op5_quality_classifier, op6_byte_bpe, op7_exact_dedup, op8_suffix_dedup, op9_packing, op10_simhash_dedup, op11_periodic_runs, op12_minhash_dedup, op13_centroid_clustering)}

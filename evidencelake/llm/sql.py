@@ -79,4 +79,20 @@ SQL = {
     SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept
     FROM s JOIN (SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node) USING (doc_id)""",
     "op13_centroid_clustering": clustering(5),
+    "op11_periodic_runs": rf"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS ws,
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) AS h FROM documents),
+    a AS (SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, 3 + (h // 10) % 8 AS k FROM w),
+    t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END]) ELSE ws END AS ws FROM a),
+    u AS (SELECT doc_id, n, unnest(ws) AS x, generate_subscripts(ws, 1) - 1 AS i FROM t),
+    same AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM u JOIN u AS v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+    part AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+    long AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 - min(i) AS l FROM part GROUP BY doc_id, q, g HAVING max(i) + q + 1 - min(i) >= greatest(6, 4 * q)),
+    run AS (SELECT doc_id, s, l, min(q) AS q FROM long GROUP BY doc_id, s, l),
+    of AS (SELECT doc_id, count(*) AS n_runs, arg_min((s, l, q), (-(l::DOUBLE / q), s, q)) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS r FROM run GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3] AS period, 1000 * b[2] // b[3] AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+    FROM t LEFT JOIN of USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
