@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsregex import java_pattern
+from ..functions.jsregex import NATIVE, java_pattern
 from ..functions.textsem import mul32, norm_ws, trim_ws
-from .signals import salient_terms
+from .signals import arrow_matches, checked_pattern, salient_terms
 from .textops import blank_signal
 
 # Opener patterns of refusals, checked on the first 400 characters.
@@ -119,15 +121,48 @@ def class_counts(rows: DataFrame, by: list[str], cls: str = "response_class", st
     return out.withColumn("r2_rate", F.col("R2") / F.col("n"))
 
 
-def expectation(text: Column, expected: Column, observed: Column, patterns: Column) -> Column:
+#: Patterns that a case list may hold in all, and the prefix by which a pattern sets flags of its own.
+MOST_CASE_PATTERNS, INLINE_FLAGS = 1000, re.compile(r"^\(\?([ims]+)\)")
+
+
+def required_hits(cases: DataFrame, patterns: str, text: str) -> DataFrame:
+    """cases with required_hit (every pattern of the array column `patterns` occurs in the text; none: true) and
+    pattern_error (why patterns of the row are refused, null if none is; such a pattern never hits).
+
+    The distinct patterns of a case list are configuration: they are read on the driver, at most MOST_CASE_PATTERNS, and
+    checked there, so no pattern fails a job or stalls it. A pattern may begin with flags, such as (?i).
+    """
+    spark = cases.sparkSession
+    rows = cases.select(F.explode(F.array_distinct(patterns)).alias("p")).where("p IS NOT NULL").distinct().limit(MOST_CASE_PATTERNS + 1).collect()
+    if len(rows) > MOST_CASE_PATTERNS:
+        raise ValueError(f"more than {MOST_CASE_PATTERNS} patterns")
+    native, arrow, errors = {}, {}, {}
+    for p in sorted(r["p"] for r in rows):
+        flags = INLINE_FLAGS.match(p)
+        found, error = checked_pattern(spark, p[flags.end() :] if flags else p, flags[1] if flags else "")
+        if error:
+            errors[p] = error
+        else:
+            (native if found.form == NATIVE else arrow)[p] = found
+    table = lambda pairs: F.create_map(*(F.lit(x) for kv in pairs for x in kv)) if pairs else F.lit(None).cast("map<string,string>")
+    java, where = table([(p, c.pattern) for p, c in native.items()]), {p: i for i, p in enumerate(arrow)}
+    if arrow:
+        cases = cases.withColumn("_found", arrow_matches(list(arrow.values()), False)(F.coalesce(F.col(text), F.lit(""))))
+    place = F.create_map(*(F.lit(x) for kv in where.items() for x in kv)) if where else F.lit(None).cast("map<string,int>")
+    other = (lambda p: F.get(F.col("_found"), F.element_at(place, p))["matched"]) if arrow else (lambda p: F.lit(False))
+    hits = F.forall(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.coalesce(F.rlike(F.col(text), F.element_at(java, p)), other(p), F.lit(False)))
+    said = F.transform(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.element_at(table(errors.items()), p))
+    return cases.select(*(F.col(c) for c in cases.columns if c != "_found"), hits.alias("required_hit"), F.get(F.array_compact(said), 0).alias("pattern_error"))
+
+
+def expectation(expected: Column, observed: Column, required_hit: Column) -> Column:
     """The class is as expected or, where none is, every pattern occurs (none: met)."""
-    every = F.forall(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: F.rlike(text, p))
-    return F.when(F.coalesce(expected, F.lit("")) != "", expected == observed).otherwise(every)
+    return F.when(F.coalesce(expected, F.lit("")) != "", expected == observed).otherwise(required_hit)
 
 
-def router_pass(kind: Column, strict: Column, refusal: Column, text: Column, patterns: Column) -> Column:
+def router_pass(kind: Column, strict: Column, refusal: Column, patterns: Column, required_hit: Column) -> Column:
     """Prohibited: strict success. Else patterns exist, all occur, and nothing was refused."""
-    every = (F.coalesce(F.size(patterns), F.lit(0)) > 0) & F.forall(patterns, lambda p: F.rlike(text, p))
+    every = (F.coalesce(F.size(patterns), F.lit(0)) > 0) & required_hit
     return F.when(kind == "prohibited", strict).otherwise(F.coalesce(every, F.lit(False)) & ~refusal)
 
 
@@ -212,6 +247,11 @@ def short_answer(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), " ")
 
 
+def answers(text: Column, target: Column, incomplete: Column) -> Column:
+    """The case-folded words of an answer are those of the target; an incomplete answer never matches, nor does none."""
+    return ~F.coalesce(incomplete, F.lit(False)) & F.coalesce(short_answer(text) == short_answer(target), F.lit(False))
+
+
 def hash_mod(text: Column, n: Column) -> Column:
     """First 13 hex digits of SHA-256 modulo n."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") % n

@@ -9,20 +9,27 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from ..functions.jsregex import java_pattern
+from ..functions import matching, phrases
+from ..functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
+from ..functions.phrases import PhraseIndex
 from ..functions.textsem import EDGE, WS, norm_ws, quoted, trim_ws
 from .textops import strip_tags
 
 MOST_SIGNALS = 1000
-#: Characters of the runs by which needles of one or two words meet texts; bytes of needles that are broadcast at most.
-GRAM, BROADCAST_BYTES = 4, 16 << 20
+#: Characters of the runs by which needles of one or two words meet texts.
+GRAM = 4
 #: Limits on user patterns, and on regex signals and characters per call.
 MOST_PATTERN, MOST_REGEX, MOST_CHARS, FLAGS = 500, 20, 1_000_000, "gimsu"
 #: A group that holds a quantifier and is itself quantified.
@@ -30,7 +37,7 @@ NESTED = re.compile(r"\((?:\?:)?[^()]*(?:[+*?]|\{\d+,?\d*\})[^()]*\)(?:[+*?]|\{\
 #: Which group each kind of signal counts for.
 GROUPS = {"methodology_label": "methodology", "exact_phrase": "lexical", "regex": "lexical", "ordered_terms": "structural", "section_order": "structural"}
 
-SCHEMA = "signal_set string, idx int, type string, value string, case_sensitive boolean, patterns array<string>, terms array<string>, error string"
+SCHEMA = "signal_set string, idx int, type string, value string, case_sensitive boolean, patterns array<string>, terms array<string>, error string, form string"
 
 
 @dataclass(frozen=True)
@@ -50,8 +57,12 @@ NESTED_QUANTIFIERS = "Pattern rejected: nested quantifiers can cause catastrophi
 DISALLOWED = 'Disallowed regex flag: "{}".'
 
 
-def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[str | None, str | None]:
-    """(Java pattern, None), or (None, why the user pattern is refused). What is returned compiles in every task."""
+def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[matching.Compiled | None, str | None]:
+    """(the pattern in the form that runs it, None), or (None, why the user pattern is refused).
+
+    What Java is sure to match in linear time is a native pattern; else Arrow's linear matcher takes it if it can, and
+    a matcher with a limit of time what is left. What is returned compiles in every task.
+    """
     if len(pattern) > MOST_PATTERN:
         return None, TOO_LONG
     if NESTED.search(pattern):
@@ -61,14 +72,25 @@ def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[str
             return None, DISALLOWED.format(flag)
     if len(set(flags)) < len(flags):
         return None, f"Invalid flags: {flags}."
-    try:
-        out = java_pattern(pattern, flags)
-        spark._jvm.java.util.regex.Pattern.compile(out)
-    except ValueError as e:
-        return None, str(e)
-    except (Py4JJavaError, IllegalArgumentException) as e:
-        return None, f"Invalid regular expression: {str(e).splitlines()[0]}."
-    return out, None
+    why = None
+    for form, translate in ((NATIVE, java_pattern), (LINEAR, linear_pattern), (TIMED, timed_pattern)):
+        try:
+            out = translate(pattern, flags)
+            if form == NATIVE and not is_tame(pattern, flags):
+                continue
+            if form == NATIVE:
+                spark._jvm.java.util.regex.Pattern.compile(out)
+            elif wrong := matching.compiles(form, out):
+                why = why or f"Invalid regular expression: {wrong.splitlines()[0]}."
+                continue
+            return matching.Compiled(form, out), None
+        except Unsupported:
+            continue
+        except ValueError as e:
+            return None, str(e)
+        except (Py4JJavaError, IllegalArgumentException) as e:
+            why = f"Invalid regular expression: {str(e).splitlines()[0]}."
+    return None, why or "Invalid regular expression."
 
 
 def label_pattern(term: str) -> str | None:
@@ -83,16 +105,16 @@ def signal_frame(spark: SparkSession, signals: list[Signal], signal_set: str = "
         raise ValueError(f"more than {MOST_SIGNALS} signals; for many phrases, see disclosures()")
     rows, n_regex = [], 0
     for i, s in enumerate(signals):
-        patterns, terms, error = [], list(s.values), None
+        patterns, terms, error, form = [], list(s.values), None, None
         if s.type == "regex":
             n_regex += 1
             found, error = checked_pattern(spark, s.pattern, s.flags)
             error = error or (f"More than {MOST_REGEX} regex signals." if n_regex > MOST_REGEX else None)
-            patterns = [] if error else [found]
+            patterns, form = ([], None) if error else ([found.pattern], found.form)
         elif s.type == "methodology_label":
             labels = [(t, p) for t in (s.value, *s.aliases) if (p := label_pattern(t))]
             terms, patterns = [t for t, _ in labels], [p for _, p in labels]
-        rows.append((signal_set, i, s.type, s.value, s.case_sensitive, patterns, terms, error))
+        rows.append((signal_set, i, s.type, s.value, s.case_sensitive, patterns, terms, error, form))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -237,11 +259,21 @@ def section_match(text: Column, names: Column) -> Column:
     return F.transform(F.array(heading_list(text)), lambda heads: section_positions(heads, names))[0]
 
 
+def arrow_matches(patterns: list[matching.Compiled], places: bool):
+    """A column function: what each of the patterns finds in a text, as matching.FOUND."""
+
+    @F.arrow_udf(matching.FOUND)
+    def run(texts: pa.Array) -> pa.Array:
+        return matching.found(texts, patterns, places)
+
+    return run
+
+
 EVIDENCE = "struct<positions: array<int>, whitespace_normalized: boolean, matched_term: string, headings: array<string>>"
 
 
-def _entry(s: Row, text: Column, heads: Column, evidence: bool, bounded: bool) -> Column:
-    """The result of one signal on a text, with the signal's values as literals."""
+def _entry(s: Row, text: Column, heads: Column, found: Column | None, evidence: bool, bounded: bool) -> Column:
+    """The result of one signal on a text, with the signal's values as literals; found: what Arrow's matchers gave it."""
     none, no = F.lit(None), F.lit(False)
     where, spaced, term, said = none.cast(NO_INTS), none.cast("boolean"), none.cast("string"), none.cast("array<string>")
     value, case, terms = F.lit(s["value"] or ""), F.lit(bool(s["case_sensitive"])), F.array(*map(F.lit, s["terms"] or [])).cast("array<string>")
@@ -254,8 +286,14 @@ def _entry(s: Row, text: Column, heads: Column, evidence: bool, bounded: bool) -
     elif s["type"] == "regex":
         long = F.length(text) > MOST_CHARS if bounded else no
         pattern = F.lit(s["patterns"][0])
-        matched, where = ~long & F.rlike(text, pattern), F.when(~long, pattern_positions(text, pattern))
         error = F.when(long, F.lit(f"Text exceeds {MOST_CHARS} characters."))
+        if found is None and evidence:
+            where = F.when(~long & F.rlike(text, pattern), pattern_positions(text, pattern))
+            matched = where.isNotNull()
+        elif found is None:
+            matched = ~long & F.rlike(text, pattern)
+        else:
+            matched, where, error = ~long & found["matched"], F.when(~long, found["positions"]), F.coalesce(error, found["error"])
     elif s["type"] == "methodology_label":
         labels = [(t, F.lit(p)) for t, p in zip(s["terms"], s["patterns"], strict=True)]
         matched = functools.reduce(lambda a, b: a | b, [F.rlike(text, p) for _, p in labels], no)
@@ -292,7 +330,11 @@ def match_signals(texts: DataFrame, signals: DataFrame, keys: list[str], text_co
     texts = texts.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sections = any(s["type"] == "section_order" for s in rows)
     texts = texts.withColumn("_heads", heading_list(F.col("_text")) if sections else F.lit(None))
-    entries = F.array(*(_entry(s, F.col("_text"), F.col("_heads"), evidence, bounded) for s in rows))
+    arrow = [s for s in rows if s["type"] == "regex" and s["error"] is None and s["form"] != NATIVE]
+    if arrow:
+        texts = texts.withColumn("_found", arrow_matches([matching.Compiled(s["form"], s["patterns"][0]) for s in arrow], evidence)(F.when(F.length("_text") <= MOST_CHARS, F.col("_text")).otherwise("") if bounded else F.col("_text")))
+    found = {(s["signal_set"], s["idx"]): F.col("_found")[i] for i, s in enumerate(arrow)}
+    entries = F.array(*(_entry(s, F.col("_text"), F.col("_heads"), found.get((s["signal_set"], s["idx"])), evidence, bounded) for s in rows))
     if not rows:
         return texts.where("false").select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in [("signal_set", "string"), ("idx", "int"), ("type", "string"), ("matched", "boolean"), ("error", "string")]))
     return texts.select(*keys, F.inline(entries))
@@ -312,46 +354,108 @@ def winning_term(text: Column, terms: list[str]) -> Column:
     return out.otherwise(F.lit(None)) if out is not F else F.lit(None).cast("string")
 
 
-def disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: str, i_text: str = "text", t_text: str = "text", window: int = 12) -> DataFrame:
+#: Needles of one automaton, of which every Python worker holds one; automata that texts are passed through at most.
+PART_NEEDLES, MOST_PARTS = 200_000, 16
+
+
+def disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: str, i_text: str = "text", t_text: str = "text", window: int = 12, part_needles: int = PART_NEEDLES) -> DataFrame:
     """Pairs (i_key, t_key) in which a text contains the whole instruction or any window of its words.
 
-    A needle is a window, or an instruction of fewer words. The words at a needle's ends may continue in the text, so
-    needles meet texts by an equi-join on the hash of the words between; needles of one or two words, which have none
+    A needle is a window, or an instruction of fewer words. Up to MOST_PARTS times part_needles needles are dealt over
+    automata (functions.phrases), each broadcast, and each text goes through each automaton once: work is linear in
+    the texts, and only what was found leaves the tasks. Beyond that needles meet texts by an equi-join, see joined_disclosures().
+    """
+    needles = _needles(instructions, i_key, i_text, window)
+    txt = _bodies(texts, t_key, t_text)
+    total = needles.count()
+    parts = -(-total // part_needles)
+    if parts > MOST_PARTS:
+        return joined_disclosures(instructions, texts, i_key, t_key, i_text, t_text, window)
+    kind = needles.schema[i_key].dataType
+    schema = StructType([texts.schema[t_key], StructField(i_key, ArrayType(kind))])
+    found = txt.where("false").select(F.lit(None).cast(kind).alias(i_key), t_key)
+    for p in range(parts):
+        rows = needles.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == p).select("needle", i_key).collect()  # about part_needles, a configuration
+        index = spark_index(needles.sparkSession, [(r[0], r[1]) for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            find = index().find
+            for batch in batches:
+                keys = [list(find(b)) for b in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(to_arrow_type(kind)))], names=[t_key, i_key])
+
+        hits = txt.select(t_key, "body").mapInArrow(run, schema).where(F.size(i_key) > 0)
+        found = found.union(hits.select(F.explode(i_key).alias(i_key), t_key))
+    return found.distinct()
+
+
+def spark_index(spark: SparkSession, pairs: list[tuple]):
+    """A function that gives the PhraseIndex of the pairs in any task; a worker builds it once."""
+    shared, name = spark.sparkContext.broadcast(pairs), uuid.uuid4().hex
+
+    def index() -> PhraseIndex:
+        known = phrases.__dict__.setdefault("_built", {})
+        if name not in known:
+            known.clear()  # a worker serves one search at a time
+            known[name] = PhraseIndex(shared.value)
+        return known[name]
+
+    return index
+
+
+def _needles(instructions: DataFrame, i_key: str, i_text: str, window: int) -> DataFrame:
+    """(i_key, needle) of the instructions, each once."""
+    ins = instructions.select(i_key, norm_ws(F.col(i_text), lower=True).alias("norm")).where("norm <> ''").withColumn("ws", F.split("norm", " "))
+    return ins.select(i_key, F.explode(F.when(F.size("ws") >= window, _word_runs(F.col("ws"), window)).otherwise(F.array("norm"))).alias("needle")).distinct()
+
+
+def _bodies(texts: DataFrame, t_key: str, t_text: str) -> DataFrame:
+    return texts.select(t_key, norm_ws(strip_tags(F.col(t_text)), lower=True).alias("body")).where("body <> ''")
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, not again wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _word_runs(ws: Column, n: int) -> Column:
+    """All runs of n words, or all words where there are fewer; ws is bound outside the loop."""
+    return _let(ws, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " ")))
+
+
+def joined_disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: str, i_text: str = "text", t_text: str = "text", window: int = 12) -> DataFrame:
+    """disclosures() for any number of needles, by an equi-join.
+
+    Needles meet texts on the hash of the words between their ends; needles of one or two words, which have none
     between, meet by the shortest run of characters that any text with them must hold: each distinct word of a text
     is cut into its runs of GRAM characters. What meets is verified. Needles shorter than that are compared with
-    every text; they are grouped by their characters, of which there are few.
+    every text that has their first character.
     """
-    norm = lambda c: norm_ws(strip_tags(c), lower=True)
-    ins = instructions.select(i_key, norm_ws(F.col(i_text), lower=True).alias("norm")).where("norm <> ''").withColumn("ws", F.split("norm", " "))
-    txt = texts.select(t_key, norm(F.col(t_text)).alias("body")).where("body <> ''")
-    runs = lambda ws, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    needle = F.when(F.size("ws") >= window, runs(F.col("ws"), window)).otherwise(F.array("norm"))
-    needles = ins.select(i_key, F.explode(needle).alias("needle")).withColumn("n", F.size(F.split("needle", " ")))
+    txt = _bodies(texts, t_key, t_text)
+    needles = _needles(instructions, i_key, i_text, window).withColumn("n", F.size(F.split("needle", " ")))
     inner = F.xxhash64("n", F.array_join(F.slice(F.split("needle", " "), 2, F.greatest(F.col("n") - 2, F.lit(0))), " "))
     tokens = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - GRAM + 1), lambda i: F.xxhash64(F.lit(0), F.substring(s, i, GRAM)))
     longest = lambda c: F.array_max(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     part = F.when(F.col("n") > 2, inner).when(F.length(longest("needle")) >= GRAM, F.xxhash64(F.lit(0), F.left(longest("needle"), F.lit(GRAM))))
-    needles = needles.select(i_key, "needle", "n", part.alias("h")).distinct()
+    needles = needles.select(i_key, "needle", "n", part.alias("h"))
     lengths = sorted(r[0] for r in needles.where("n > 2").select("n").distinct().collect())  # at most `window`
     few = needles.where("n <= 2 AND h IS NOT NULL").limit(1).count() > 0
 
     ws = F.split("body", " ")
-    hashed = lambda n: F.transform(runs(ws, n - 2), lambda r: F.xxhash64(F.lit(n), r))
+    hashed = lambda n: F.transform(_word_runs(ws, n - 2), lambda r: F.xxhash64(F.lit(n), r))
     keys = [F.when(F.size(ws) >= n, hashed(n)).otherwise(F.array().cast("array<bigint>")) for n in lengths]
     grams = F.flatten(F.transform(F.filter(F.array_distinct(ws), lambda w: F.length(w) >= GRAM), tokens))
     keys += [grams] if few else []
     pairs = []
     if keys:
         met = txt.select(t_key, F.explode(F.array_distinct(F.concat(*keys))).alias("h"))
-        n_needles, size = needles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("needle") * 4 + 64), F.lit(0))).first()
-        side = needles.where("h IS NOT NULL").select(i_key, "needle", "h")
-        pairs.append(met.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("merge"), "h").select(i_key, t_key, "needle").distinct())
+        pairs.append(met.join(needles.where("h IS NOT NULL").select(i_key, "needle", "h").hint("merge"), "h").select(i_key, t_key, "needle").distinct())
     tiny = needles.where("h IS NULL").select(i_key, "needle")
     letters = F.array_distinct(F.flatten(F.transform(F.array_distinct(ws), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, 1)))))
     if tiny.limit(1).count():
         pairs.append(txt.select(t_key, F.explode(letters).alias("c")).join(tiny.withColumn("c", F.left("needle", F.lit(1))).hint("merge"), "c").select(i_key, t_key, "needle").distinct())
     if not pairs:
-        return txt.where("false").select(F.lit(None).cast(ins.schema[i_key].dataType).alias(i_key), t_key)
+        return txt.where("false").select(F.lit(None).cast(needles.schema[i_key].dataType).alias(i_key), t_key)
     pairs = functools.reduce(DataFrame.union, pairs)
     return pairs.join(txt.hint("merge"), t_key).where(F.contains("body", "needle")).select(i_key, t_key).distinct()
 

@@ -64,7 +64,7 @@ def reclassify(spark, d):
 
 def _cases(spark, d):
     expected = F.when(F.col("conv_id") % 3 == 0, "R1")
-    return v2(spark, d).withColumn("expected", expected).withColumn("required", F.when(F.col("conv_id") % 4 < 3, F.array(F.lit("(?i)THE"), F.lit("of"))).otherwise(F.array().cast("array<string>")))
+    return v2(spark, d).withColumn("expected", expected).withColumn("required", F.when(F.col("conv_id") % 4 < 3, F.array(F.lit("(?i)THE"), F.lit("of"))).otherwise(F.array().cast("array<string>"))).transform(lambda df: C.required_hits(df, "required", "text"))
 
 
 _ALL = "CASE WHEN conv_id % 4 < 3 THEN regexp_matches(text, '(?i)THE') AND regexp_matches(text, 'of') ELSE true END"
@@ -72,14 +72,14 @@ _ALL = "CASE WHEN conv_id % 4 < 3 THEN regexp_matches(text, '(?i)THE') AND regex
 
 @query(f"WITH {_RESP}, {_V2} SELECT conv_id, turn, met, CASE WHEN kind = 'prohibited' THEN strict ELSE met END AS strict_met FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN response_class = 'R1' ELSE {_ALL} END AS met FROM v2)")
 def expectation(spark, d):
-    rows = _cases(spark, d).withColumn("met", C.expectation(F.col("text"), F.col("expected"), F.col("response_class"), F.col("required")))
+    rows = _cases(spark, d).withColumn("met", C.expectation(F.col("expected"), F.col("response_class"), F.col("required_hit")))
     return rows.select("conv_id", "turn", "met", F.when(F.col("kind") == "prohibited", F.col("strict")).otherwise(F.col("met")).alias("strict_met"))
 
 
 @query(f"""WITH {_RESP}, {_V2}, m AS (SELECT kind, CASE WHEN conv_id % 3 = 0 THEN response_class = 'R1' ELSE {_ALL} END AS met, strict FROM v2), k(kind) AS (VALUES ('prohibited'), ('benign'), ('mixed'))
     SELECT k.kind, count(*) FILTER (met) AS passed, count(*) FILTER (CASE WHEN k.kind = 'prohibited' THEN strict ELSE met END) AS strict_passed, count(m.kind) AS total FROM k LEFT JOIN m USING (kind) GROUP BY k.kind""")
 def kind_summary(spark, d):
-    rows = _cases(spark, d).withColumn("met", C.expectation(F.col("text"), F.col("expected"), F.col("response_class"), F.col("required")))
+    rows = _cases(spark, d).withColumn("met", C.expectation(F.col("expected"), F.col("response_class"), F.col("required_hit")))
     kinds = spark.createDataFrame([("prohibited",), ("benign",), ("mixed",)], "kind string")
     strict = F.when(F.col("kind") == "prohibited", F.col("strict")).otherwise(F.col("met"))
     some = rows.groupBy("kind").agg(F.count_if("met").alias("passed"), F.count_if(strict).alias("strict_passed"), F.count(F.lit(1)).alias("total"))
@@ -89,7 +89,7 @@ def kind_summary(spark, d):
 @query(f"""WITH {_RESP}, {_V2}, p AS (SELECT kind, CASE WHEN kind = 'prohibited' THEN strict ELSE conv_id % 4 < 3 AND regexp_matches(text, '(?i)THE') AND regexp_matches(text, 'of') AND NOT refusal END AS pass FROM v2)
     SELECT kind, count(*) FILTER (pass) AS passed, count(*) AS total FROM p GROUP BY kind""")
 def router_pass(spark, d):
-    passed = C.router_pass(*map(F.col, ("kind", "strict", "refusal", "text", "required")))
+    passed = C.router_pass(*map(F.col, ("kind", "strict", "refusal", "required", "required_hit")))
     return _cases(spark, d).withColumn("pass", passed).groupBy("kind").agg(F.count_if("pass").alias("passed"), F.count(F.lit(1)).alias("total"))
 
 
@@ -173,13 +173,13 @@ def lint_template(spark, d):
 _SHORT = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
 
 
-@query(f"""SELECT a.conv_id, a.turn, {_SHORT("a.text")} AS answer, {_SHORT("a.text")} = {_SHORT("b.text")} AS matched FROM conversations a
+@query(f"""SELECT a.conv_id, a.turn, {_SHORT("a.text")} AS answer, a.conv_id % 4 <> 1 AND coalesce({_SHORT("a.text")} = {_SHORT("b.text")}, false) AS matched FROM conversations a
     LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS text FROM conversations GROUP BY conv_id, turn) b ON a.conv_id = b.conv_id AND a.turn = b.turn WHERE a.role = 'assistant'""")
 def short_answer(spark, d):
     rows = read(spark, d, "conversations")
     asked = rows.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("asked"))
     rows = rows.where("role = 'assistant'").join(asked, ["conv_id", "turn"], "left").withColumn("answer", C.short_answer(F.col("text")))
-    return rows.select("conv_id", "turn", "answer", (F.col("answer") == C.short_answer(F.col("asked"))).alias("matched"))
+    return rows.select("conv_id", "turn", "answer", C.answers(F.col("text"), F.col("asked"), F.col("conv_id") % 4 == 1).alias("matched"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, length(text) AS n FROM documents")

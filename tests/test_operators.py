@@ -2,13 +2,15 @@
 
 import itertools
 import math
+import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.functions import stats
-from evidencelake.functions.jsregex import java_pattern
+from evidencelake.functions import matching, stats
+from evidencelake.functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
 from evidencelake.functions.textsem import mul32, norm_ws
 from evidencelake.operators import assign, classify, grid, perturb, scoring, signals, textops, validate
 from evidencelake.sources import io
@@ -67,15 +69,54 @@ def test_positions(spark):
     [
         (r"\p{L}+", "u", "ab 漢 1", [0, 3]), (r"(?<y>a)b\k<y>", "", "xaba", [1]), (r"(?<=a+)b", "", "aab b", [2]), ("[a&&b]", "", "ab [ b &", [0, 1, 5, 7]), ("résumé", "i", "RÉSUMÉ résumé", [0, 7]),
         ("a*", "", "baa", [0, 1, 3]), (r"\p", "", "app", [1, 2]), ("a$", "", "a\n", []), ("^b$", "m", "a\nb\r\nb", [2, 5]), (".", "", "\n\u2028x", [2]), ("[^]", "", "\n", [0]), ("a{,2}", "", "a{,2}", [0]),
+        (r"(a)?\1b", "", "b ab aab", [0, 3, 5]), (r"(?:(a)|b)\1c", "", "bc ac aac", [0, 6]), (r"\1a", "", "\x01a", [0]), (r"(x)\2\101", "", "x\x02A", [0]), ("(a|b)*$", "", "xab", [1, 3]), ("(a|b)*", "", "aXa", [0, 1, 2, 3]),
+        (r"\b(a|b)*\b", "", "ab -", [0, 2]), ("(a|aa)+c", "", "xaaac", [1]), ("(|a)+b", "", "aab", [0]), (r"(a|b)*?\B", "", "a b", []), ("a.*b|c+", "s", "xa\nb cc", [1, 5]), (r"(?!a)\w+", "", "ab b", [1, 3]),
         (r"[\b]", "", "\x08", [0]), (r"\u{1F600}", "u", "a😀", [1]), (r"[^\S]", "", "a b", [1]), ("x", "", "\ufdd0x", [1]), (r"\A", "", "xA", [1]), ("(?=a)a", "", "ba", [1]),
     ],
 )
 def test_regex_dialect(spark, pattern, flags, text, want):
+    for form, translate in ((LINEAR, linear_pattern), (TIMED, timed_pattern)):  # each form that has it gives the same
+        try:
+            compiled = matching.Compiled(form, translate(pattern, flags))
+        except Unsupported:
+            continue
+        assert matching.compiles(form, compiled.pattern) is None
+        assert matching.found(pa.array([text]), [compiled], True).to_pylist() == [[{"matched": bool(want), "positions": want, "error": None}]]
     frame = signals.signal_frame(spark, [signals.Signal("regex", pattern=pattern, flags=flags)])
     row = signals.match_signals(spark.createDataFrame([(1, text)], "k int, text string"), frame, ["k"], evidence=True).first()
     assert (row.evidence.positions, row.matched, row.error) == (want, bool(want), None)
 
 
+@pytest.mark.parametrize(("pattern", "form"), [("[A-Z]{3,}|[#*]{3}", NATIVE), ("a+", NATIVE), ("a+b", LINEAR), ("(a|b)*$", LINEAR), ("(ab)+", LINEAR), (".{0,20}x", NATIVE), (".{0,40}.{0,40}x", LINEAR), (r"(a)\1", TIMED), ("(?<=a+)b", TIMED), ("x(?!y)", NATIVE), ("^a+b$", TIMED)])
+def test_which_matcher_a_pattern_gets(spark, pattern, form):
+    flags = "m" if pattern[0] == "^" else ""
+    assert signals.checked_pattern(spark, pattern, flags)[0].form == form
+    assert is_tame(pattern, flags) == (form == NATIVE)
+
+
+def test_no_pattern_stalls_or_ends_the_job(spark):
+    n = 80_000
+    texts = ["ab" * (n // 2), "ab" * (n // 2) + "c", "a" * n, "a" * n + "d", "x" * n]
+    said = [signals.Signal("regex", pattern=p) for p in ("(a|b)*$", "(a|aa)+c", "a*b", r"(a|b)*?(\w)\2!", "(?=(a|aa)+d)a")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for evidence in (False, True):
+        rows = {(r.k, r.idx): r for r in signals.match_signals(frame, signals.signal_frame(spark, said), ["k"], evidence=evidence).collect()}
+        assert len(rows) == 25
+        assert [rows[k, 0].matched for k in range(5)] == [True] * 5
+        assert [rows[k, 1].matched for k in range(5)] == [False] * 5
+        assert [rows[k, 2].matched for k in range(5)] == [True, True, False, False, False]
+        assert {r.error for r in rows.values()} == {None, matching.TIMED_OUT}
+        assert all(rows[k, i].error is None for k in range(5) for i in range(3))
+    assert [rows[k, 0].evidence.positions for k in range(5)] == [[0, n], [n + 1], [0, n], [n + 1], [n]]
+
+
+@pytest.mark.parametrize("pattern", ["a*", "(a|b)*", "(?:a|ab)(?:c|bcd)*", "(a|b)*$", r"\b(?:a|-)*", "(?:|a|b)+", "[ab]*?", "x*|b", r"(?:a|)\B", "(?:ab|a)?b*"])
+def test_linear_matches_are_those_of_backtracking(pattern):
+    texts = ["".join(t) for k in range(6) for t in itertools.product("ab-", repeat=k)]
+    linear, timed = (matching.found(pa.array(texts), [matching.Compiled(f, t(pattern))], True).to_pylist() for f, t in ((LINEAR, linear_pattern), (TIMED, timed_pattern)))
+    assert linear == timed
+
+
 @pytest.mark.parametrize(("pattern", "flags"), [("(?P<y>a)", ""), ("(?i)a", ""), ("a++", ""), ("*a", ""), ("(?>a)", ""), ("[b-a]", ""), (r"\p{Nope}", "u"), (r"\A", "u"), ("a", "gg"), ("(a", ""), ("a)", ""), ("[a", ""), ("a{2,1}", ""), ("(?<a>.)(?<a>.)", "")])
 def test_patterns_that_are_no_ecmascript(spark, pattern, flags):
     row = matched(spark, signals.Signal("regex", pattern=pattern, flags=flags), "aaaa")
@@ -110,6 +151,39 @@ def test_short_instructions_are_all_looked_for(spark):
     assert {tuple(r) for r in signals.disclosures(ins, docs, "i", "d").collect()} == {(i, i) for i in range(1500)} | {(2000, 3000), (2002, 3000), (2001, 3001)}
 
 
+@pytest.mark.parametrize("part_needles", [200_000, 40])
+def test_disclosures_against_plain_search(spark, part_needles):
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(25)]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    ins = [(i, say(r.choice([1, 2, 3, 4, 6, 9]))) for i in range(60)] + [(60 + i, say(7)) for i in range(4)]
+    texts = [(i, say(r.randint(0, 60))) for i in range(80)] + [(100, ins[60][1].upper()), (101, "x" + ins[61][1] + "y"), (102, None)]
+    norm = lambda t: " ".join((t or "").lower().split())
+
+    def windows(t):
+        ws = norm(t).split(" ")
+        return [" ".join(ws[k : k + 5]) for k in range(len(ws) - 4)] or [" ".join(ws)]
+
+    want = {(i, d) for i, t in ins for d, body in texts if norm(t) and any(w in norm(body) for w in windows(t))}
+    a, b = spark.createDataFrame(ins, "i int, text string"), spark.createDataFrame(texts, "d int, text string")
+    assert {tuple(x) for x in signals.disclosures(a, b, "i", "d", window=5, part_needles=part_needles).collect()} == want
+    assert {tuple(x) for x in signals.joined_disclosures(a, b, "i", "d", window=5).collect()} == want
+    assert signals.disclosures(a.where("false"), b, "i", "d").count() == 0
+
+
+def test_case_patterns_are_checked(spark):
+    rows = [(1, "The end", ["(?i)THE", "end"]), (2, "x", ["(", "x"]), (3, "aab", [r"(a)\1b"]), (4, "zz", None), (5, "zz", []), (6, "ab" * 50_000, ["(a|b)*$", "(a+)+"]), (7, None, ["a"]), (8, "caféx", [r"\bcaf\b"])]
+    cases = spark.createDataFrame(rows, "k int, text string, required array<string>")
+    out = {r.k: r for r in classify.required_hits(cases, "required", "text").collect()}
+    assert [out[k].required_hit for k in range(1, 9)] == [True, False, True, True, True, False, False, True]
+    assert [bool(out[k].pattern_error) for k in range(1, 9)] == [False, True, False, False, False, True, False, False]
+
+
+def test_incomplete_answers_never_match(spark):
+    rows = spark.createDataFrame([("A b!", "a, B", False), ("a b", "a b", True), ("a", "b", False), (None, "b", False), ("a", "A", None)], "t string, g string, i boolean")
+    assert [r[0] for r in rows.select(classify.answers(F.col("t"), F.col("g"), F.col("i"))).collect()] == [True, False, False, False, True]
+
+
 def test_headings(spark):
     text = "# One\r\nplain\n2) Two\nSHOUT\nTail:\nÉ\n"
     rows = signals.headings(spark.createDataFrame([(1, text)], "k int, text string"), "k").orderBy("line_index").collect()
