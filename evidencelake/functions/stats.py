@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .order import bounds_of, part_of
+from .scratch import written
 
 STEP = 1 << 14
 #: ln of what counts as nothing beside the largest term, and of what a double cannot hold.
@@ -123,10 +124,12 @@ def holm(rows: DataFrame, family: list[str], p: str = "p", idx: str = "idx", alp
     """Adds adjusted_p and significant: step-down within each family; null p stays out of the family.
 
     Rows of one p get one adjusted p whatever their order, so distinct p are ranked with their counts, in parts of
-    the range of p, and parts are shifted by what lies before them: no task has to order a whole family.
+    the range of p, and parts are shifted by what lies before them: no task has to order a whole family. The rows are
+    written first, as they are read for the counts, for the bounds and for the result.
     """
+    rows = written(rows, "holm")
     live = rows.where(F.col(p).isNotNull())
-    each = live.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    each = written(live.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")), "holm")
     each = each.withColumn("_part", part_of(F.col(p), bounds_of(each, p)))
     order, every = Window.partitionBy(*family, "_part").orderBy(p), Window.partitionBy(*family)
     before = Window.partitionBy(*family).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,13 +138,13 @@ def holm(rows: DataFrame, family: list[str], p: str = "p", idx: str = "idx", alp
     side = parts.select(*(F.col(f).alias(f"_f{i}") for i, f in enumerate(family)), F.col("_part").alias("_p"), "_begin", "_m")
     same = lambda frame, other: [frame[f].eqNullSafe(other[f"_f{i}"]) for i, f in enumerate(family)]
     within = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.join(side, [*same(each, side), each["_part"] == side["_p"]]).withColumn("_raw", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_begin") - within)))
+    ranked = each.join(side.hint("merge"), [*same(each, side), each["_part"] == side["_p"]]).withColumn("_raw", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_begin") - within)))
     tops = ranked.groupBy(*family, "_part").agg(F.max("_raw").alias("_t")).select(*(F.col(f).alias(f"_f{i}") for i, f in enumerate(family)), F.col("_part").alias("_p"), "_t")
     tops = tops.withColumn("_top", F.max("_t").over(Window.partitionBy(*(f"_f{i}" for i in range(len(family)))).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = ranked.select(*family, p, "_part", "_raw")
-    done = ranked.join(tops, [*same(ranked, tops), ranked["_part"] == tops["_p"]])
+    done = ranked.join(tops.hint("merge"), [*same(ranked, tops), ranked["_part"] == tops["_p"]])
     done = done.withColumn("adjusted_p", F.greatest(F.coalesce("_top", F.lit(0.0)), F.max("_raw").over(order)))
     done = done.select(*(F.col(f).alias(f"_f{i}") for i, f in enumerate(family)), F.col(p).alias("_q"), "adjusted_p")
-    live = live.join(done, [*same(live, done), live[p] == done["_q"]]).select(*(live[c] for c in rows.columns), "adjusted_p").withColumn("significant", F.col("adjusted_p") <= alpha)
+    live = live.join(done.hint("merge"), [*same(live, done), live[p] == done["_q"]]).select(*(live[c] for c in rows.columns), "adjusted_p").withColumn("significant", F.col("adjusted_p") <= alpha)
     none = rows.where(F.col(p).isNull()).withColumn("adjusted_p", F.lit(None).cast("double")).withColumn("significant", F.lit(None).cast("boolean"))
     return live.unionByName(none)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import small
+from ..functions.scratch import written
 from ..functions.stats import binomial_tail, fisher_exact, holm
 from .signals import GROUPS
 
@@ -57,6 +58,14 @@ def evaluate(scores: DataFrame, calibration: DataFrame, by: list[str]) -> DataFr
     return rows.withColumn("p_value", p).withColumn("method", F.when(ready, "binomial_vs_baseline").otherwise("insufficient_baseline"))
 
 
+def recompute(scores: DataFrame, by: list[str], unit: str, alpha: float = 0.05) -> DataFrame:
+    """by, unit, p_value, adjusted_p, significant of candidates: calibrated on the baselines of their group, corrected over its
+    candidates. The scores (score_groups() rows with a label) are written once: calibration and evaluation both read them."""
+    scores = written(scores, "scores")
+    rows = evaluate(scores.where("label = 'candidate'"), calibrate(scores.where("label = 'baseline'"), by), by).where("p_value IS NOT NULL")
+    return holm(rows.select(unit, *by, "p_value"), by, "p_value", unit, alpha)
+
+
 def compare_rates(matches: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
     """by, idx, counts, rates, fisher_p, adjusted_p, significant of matches that carry a label (candidate or baseline)."""
     cand, base = F.col("label") == "candidate", F.col("label") == "baseline"

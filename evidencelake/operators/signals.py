@@ -373,7 +373,7 @@ def disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: st
         return joined_disclosures(instructions, texts, i_key, t_key, i_text, t_text, window)
     kind = needles.schema[i_key].dataType
     schema = StructType([texts.schema[t_key], StructField(i_key, ArrayType(kind))])
-    found = txt.where("false").select(F.lit(None).cast(kind).alias(i_key), t_key)
+    found = txt.limit(0).select(F.lit(None).cast(kind).alias(i_key), t_key)
     for p in range(parts):
         rows = needles.where(F.pmod(F.xxhash64("needle"), F.lit(parts)) == p).select("needle", i_key).collect()  # about part_needles, a configuration
         index = spark_index(needles.sparkSession, [(r[0], r[1]) for r in rows])
@@ -381,7 +381,7 @@ def disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_key: st
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             find = index().find
             for batch in batches:
-                keys = [list(find(b)) for b in batch.column(1).to_pylist()]
+                keys = [list(find(b)) if b else [] for b in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(to_arrow_type(kind)))], names=[t_key, i_key])
 
         hits = txt.select(t_key, "body").mapInArrow(run, schema).where(F.size(i_key) > 0)
@@ -410,7 +410,7 @@ def _needles(instructions: DataFrame, i_key: str, i_text: str, window: int) -> D
 
 
 def _bodies(texts: DataFrame, t_key: str, t_text: str) -> DataFrame:
-    return texts.select(t_key, norm_ws(strip_tags(F.col(t_text)), lower=True).alias("body")).where("body <> ''")
+    return texts.select(t_key, norm_ws(strip_tags(F.col(t_text)), lower=True).alias("body"))
 
 
 def _let(value: Column, body) -> Column:
@@ -455,7 +455,7 @@ def joined_disclosures(instructions: DataFrame, texts: DataFrame, i_key: str, t_
     if tiny.limit(1).count():
         pairs.append(txt.select(t_key, F.explode(letters).alias("c")).join(tiny.withColumn("c", F.left("needle", F.lit(1))).hint("merge"), "c").select(i_key, t_key, "needle").distinct())
     if not pairs:
-        return txt.where("false").select(F.lit(None).cast(needles.schema[i_key].dataType).alias(i_key), t_key)
+        return txt.limit(0).select(F.lit(None).cast(needles.schema[i_key].dataType).alias(i_key), t_key)
     pairs = functools.reduce(DataFrame.union, pairs)
     return pairs.join(txt.hint("merge"), t_key).where(F.contains("body", "needle")).select(i_key, t_key).distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as X
 from ..functions.order import small
+from ..functions.scratch import spread
 from ..functions.textsem import WS, norm_ws
 from ..operators import scoring as A
 from ..operators import signals as M
@@ -63,7 +64,11 @@ def _holm(source, by, p):
 def labelled(spark, d):
     label = F.when(F.col("quality") == 1, "baseline").otherwise("candidate")
     marks = read(spark, d, "labels").select("doc_id", label.alias("label"))
-    return read(spark, d, "documents").join(marks, "doc_id")
+    return documents(spark, d).join(small(marks), "doc_id")
+
+
+def documents(spark, d):
+    return spread(read(spark, d, "documents"))
 
 
 def _matches(spark, d):
@@ -98,7 +103,7 @@ def _joined(c="evidence.positions"):
     FROM (SELECT doc_id, text, contains(text, 'the  th') AS direct, {_at(f"'the{WS}+th'")} AS loose FROM documents)""")
 def sig_exact_ws(spark, d):
     frame = M.signal_frame(spark, [M.Signal("exact_phrase", value="the  th")])
-    rows = M.match_signals(read(spark, d, "documents"), frame, ["doc_id"], evidence=True)
+    rows = M.match_signals(documents(spark, d), frame, ["doc_id"], evidence=True)
     return rows.select("doc_id", "matched", _joined().alias("positions"), "evidence.whitespace_normalized")
 
 
@@ -113,7 +118,7 @@ def sig_regex(spark, d):
         M.Signal("regex", pattern=r"[A-Z]{3,}"), M.Signal("regex", pattern="(a+)+"), M.Signal("regex", pattern="a", flags="y"), M.Signal("regex", pattern=r"\bthe\b.{0,20}\bof\b", flags="gi"),
         M.Signal("regex", pattern="[^aeiou &&]+&&?"), M.Signal("regex", pattern="(?P<y>a)"),
     ]
-    rows = M.match_signals(read(spark, d, "documents"), M.signal_frame(spark, tried), ["doc_id"], bounded=True, evidence=True)
+    rows = M.match_signals(documents(spark, d), M.signal_frame(spark, tried), ["doc_id"], bounded=True, evidence=True)
     return rows.select("doc_id", "idx", "matched", _joined().alias("positions"), F.col("error").isNotNull().alias("has_error"))
 
 
@@ -125,7 +130,7 @@ _LABEL_AT = " ".join(f"WHEN regexp_matches(text, {p}) THEN {_at(p)}" for p in _L
 @query(f"SELECT doc_id, CASE {_FIRST_LABEL} END AS matched_term, CASE {_LABEL_AT} ELSE '' END AS positions FROM documents")
 def sig_label(spark, d):
     frame = M.signal_frame(spark, [M.Signal("methodology_label", value="shed", aliases=("thing", "le la"))])
-    rows = M.match_signals(read(spark, d, "documents"), frame, ["doc_id"], evidence=True)
+    rows = M.match_signals(documents(spark, d), frame, ["doc_id"], evidence=True)
     return rows.select("doc_id", "evidence.matched_term", _joined().alias("positions"))
 
 
@@ -159,7 +164,7 @@ def sig_sections(spark, d):
     UNION ALL SELECT doc_id, 3, p1 > 0 AND p2 > 0 AND p3 > 0, concat_ws(',', CASE WHEN p1 > 0 THEN (p1 - 1)::VARCHAR ELSE '-' END, CASE WHEN p2 > 0 THEN (p2 - 1)::VARCHAR ELSE '-' END, CASE WHEN p3 > 0 THEN (p3 - 1)::VARCHAR ELSE '-' END), NULL, NULL, NULL FROM q
     UNION ALL SELECT doc_id, 4, coalesce(m, false), coalesce(pos, '-,-'), NULL, NULL, coalesce(n, 0) FROM documents LEFT JOIN s USING (doc_id)""")
 def match_all(spark, d):
-    rows = M.match_signals(read(spark, d, "documents"), M.signal_frame(spark, SIGNALS), ["doc_id"], evidence=True)
+    rows = M.match_signals(documents(spark, d), M.signal_frame(spark, SIGNALS), ["doc_id"], evidence=True)
     return rows.select("doc_id", "idx", "matched", _joined().alias("positions"), "evidence.whitespace_normalized", "evidence.matched_term", F.size("evidence.headings").cast("long").alias("n_headings"))
 
 
@@ -175,7 +180,7 @@ def match_bounded(spark, d):
     s AS (SELECT item_id, array_to_string(ws, ' ') AS s FROM i WHERE len(ws) < 12 AND ws <> [''])
     SELECT DISTINCT item_id, doc_id FROM (SELECT * FROM w UNION ALL SELECT * FROM s) x, t WHERE contains(body, x.s)""")
 def disclosure(spark, d):
-    return M.disclosures(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id")
+    return M.disclosures(read(spark, d, "benchmark"), documents(spark, d), "item_id", "doc_id")
 
 
 _PAGE = f"""SELECT d.doc_id, contains(text, e) AS exact, contains({_NW('text')}, {_NW('e')}) AS normalised, contains(lower(text), lower(e)) AS folded,
@@ -350,9 +355,7 @@ def compare_all_matched(spark, d):
 @query(f"""WITH {_MATCHES}, ev AS (SELECT doc_id AS idx, lang, CASE WHEN matched_count < total THEN 1.0 ELSE false_positive_rate END AS p FROM scores JOIN calib USING (lang) WHERE label = 'candidate')
     SELECT idx AS doc_id, lang, p AS p_value, round(adjusted_p, 7) AS adjusted_p FROM ({_holm('ev', 'lang', 'p')})""")
 def recompute(spark, d):
-    scores = _scores(spark, d)
-    rows = A.evaluate(scores.where("label = 'candidate'"), A.calibrate(scores.where("label = 'baseline'"), ["lang"]), ["lang"]).where("p_value IS NOT NULL")
-    return X.holm(rows.select("doc_id", "lang", "p_value"), ["lang"], "p_value", "doc_id").select("doc_id", "lang", "p_value", F.round("adjusted_p", 7).alias("adjusted_p"))
+    return A.recompute(_scores(spark, d), ["lang"], "doc_id").select("doc_id", "lang", "p_value", F.round("adjusted_p", 7).alias("adjusted_p"))
 
 
 @query(f"""WITH {_MATCHES} SELECT lang, count(*) FILTER (label = 'candidate') AS n_candidate, count(*) FILTER (label = 'baseline') AS n_baseline,

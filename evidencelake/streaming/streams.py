@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import shared_folder
 from ..operators.signals import match_signals
 
 
@@ -25,25 +23,16 @@ def stream_cells(results: DataFrame, cell: list[str], response_id: str, at: str,
     return rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("responses"), F.count_if("incomplete").alias("incomplete"), F.sum("new_tokens").alias("tokens"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; only local mode may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="evidencelake-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame) -> DataFrame:
     """Runs an append-mode stream over all that is there now and returns what it wrote."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def drain_totals(stream: DataFrame) -> DataFrame:
     """Runs an aggregating stream over all that is there now and returns its last totals."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
