@@ -292,22 +292,4 @@ def seed_of(*parts: Column) -> Column:
 KEY_ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
 
 
-def unit_keys(units: DataFrame, unit: str, seed: str, length: int = 8, tries: int = 3) -> DataFrame:
-    """(unit, key): letters from the hash of seed, try and unit; of units that collide all but the first try again."""
-    if not 6 <= length <= 16:
-        raise ValueError("keys have 6 to 16 letters")
-    letters = F.array(*map(F.lit, KEY_ALPHABET))
-
-    def key(attempt: Column) -> Column:
-        h = F.sha2(F.concat_ws(":", F.lit(seed), attempt.cast("string"), F.col(unit).cast("string")), 256)
-        return F.concat(*(F.get(letters, (F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 32)) for i in range(length)))
-
-    rows = units.select(unit).distinct().withColumn("attempt", F.lit(0)).withColumn("key", key(F.lit(0)))
-    for _ in range(tries - 1):
-        first = rows.groupBy("key").agg(F.min(F.struct("attempt", unit)).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = rows.join(first, "key", "left").withColumn("attempt", F.col("attempt") + F.when(F.struct("attempt", unit) > F.col("winner"), 1).otherwise(0))
-        rows = rows.select(unit, "attempt", key(F.col("attempt")).alias("key"))
-    return rows.select(unit, "key")
-
-
 __all__ = ["norm_ws"]

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.edits import edit_distance
 from ..functions.textsem import WS, WS_BODY, norm_ws, trim_ws
 from .classify import draw, fnv1a
-from .signals import running_sums
+from .signals import match_counts, match_signals, running_sums
 
 #: Shares of sentences and words that the human edit drops.
 DROP_SENTENCE, DROP_WORD = 0.1, 0.05
@@ -131,22 +135,68 @@ def paraphrase(text: Column, seed: Column) -> Column:
     return _let(fnv1a(F.concat(F.lit("paraphrase:"), seed)), run)
 
 
-def transform_grid(texts: DataFrame, transforms: dict[str, Callable[[Column, Column], Column] | None], repeats: int, key: str, text_col: str = "text") -> DataFrame:
-    """key, transform, repeat, available, text: every text under every transform with a seed of its own.
+@dataclass(frozen=True)
+class Transform:
+    """A transform of texts: a function of a DataFrame(SAMPLE) that changes its column text and may fill error.
 
-    transforms: name to function of (text, seed), or None for one that is not available here, which gives
-    rows without text rather than none.
+    A seeded transform gets a row a text and repeat, each with a seed of its own; another gets a row a text, and its
+    result counts for every repeat.
     """
-    names = list(transforms)
-    rows = texts.select(key, F.col(text_col).alias("_t"), F.explode(F.array(*map(F.lit, names))).alias("transform"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
-    seed = F.concat_ws(":", F.col(key).cast("string"), F.col("transform"), F.col("repeat").cast("string"))
-    out = F.lit(None).cast("string")
-    for n, f in transforms.items():
-        if f:
-            out = F.when(F.col("transform") == n, f(F.col("_t"), seed)).otherwise(out)
-    available = F.col("transform").isin(*(n for n, f in transforms.items() if f))
-    return rows.select(key, "transform", "repeat", available.alias("available"), out.alias("text"))
+
+    apply: Callable[[DataFrame], DataFrame]
+    seeded: bool = True
+
+
+#: What a transform gets, beside the key of the text: repeat (null if not seeded), seed, text and error (null).
+SAMPLE = ["repeat", "seed", "text", "error"]
+
+
+def column_transform(f: Callable[[Column, Column], Column], seeded: bool = True) -> Transform:
+    """A transform from a function of the columns (text, seed)."""
+    return Transform(lambda rows: rows.withColumn("text", f(F.col("text"), F.col("seed"))), seeded)
+
+
+def python_transform(f: Callable[[str, str], str], seeded: bool = True) -> Transform:
+    """A transform from a Python function of (text, seed), called in Arrow batches. What it raises for one text becomes
+    that sample's error; the other texts of the batch have their results."""
+
+    @F.arrow_udf("struct<text: string, error: string>")
+    def run(text: pa.Array, seed: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(text.to_pylist(), seed.to_pylist(), strict=True):
+            try:
+                out.append({"text": None if t is None else f(t, s), "error": None})
+            except Exception as e:  # a plugged-in function may raise anything
+                out.append({"text": None, "error": f"{type(e).__name__}: {e}"})
+        return pa.array(out, pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    return Transform(lambda rows: rows.withColumn("_r", run("text", "seed")).withColumns({"text": F.col("_r.text"), "error": F.col("_r.error")}).drop("_r"), seeded)
+
+
+def transform_grid(texts: DataFrame, transforms: dict[str, Transform | Callable | None], repeats: int, key: str, text_col: str = "text") -> DataFrame:
+    """key, transform, repeat, available, text, error: every text under every transform.
+
+    transforms: name to Transform, to a function of the columns (text, seed), or to None for one that is not
+    available here, which gives rows without text rather than none. Each transform reads the texts once; a text is
+    repeated before a transform only where each repeat has a seed, else after it.
+    """
+    rows = texts.select(key, F.col(text_col).alias("text"), F.lit(None).cast("string").alias("error"))
+    turns, out = F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), []
+    final = lambda frame, name, available, repeat="repeat": frame.select(key, F.lit(name).alias("transform"), repeat, F.lit(available).alias("available"), "text", "error")
+    for name, t in transforms.items():
+        if t is None:
+            out.append(final(rows.withColumn("text", F.lit(None).cast("string")), name, False, turns))
+            continue
+        t = t if isinstance(t, Transform) else column_transform(t)
+        seed = lambda *more: F.concat_ws(":", F.col(key).cast("string"), F.lit(name), *more).alias("seed")  # noqa: B023, E731
+        if t.seeded:
+            some = rows.select(key, turns, "text", "error")
+            done = t.apply(some.select(key, "repeat", seed(F.col("repeat").cast("string")), "text", "error"))
+            out.append(final(done, name, True))
+        else:
+            done = t.apply(rows.select(key, F.lit(None).cast("int").alias("repeat"), seed(), "text", "error")).drop("repeat")
+            out.append(final(done, name, True, turns))
+    return functools.reduce(DataFrame.union, out)
 
 
 def survival(before: DataFrame, after: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
@@ -157,6 +207,20 @@ def survival(before: DataFrame, after: DataFrame, keys: list[str], more: list[st
     return rows.select(*keys, *more, F.col("b_matched_count").alias("matched_before"), F.col("matched_count").alias("matched_after"), hit("b_").alias("all_before"), hit("").alias("all_after"))
 
 
+def survival_of(texts: DataFrame, transforms: dict, repeats: int, key: str, signals: DataFrame, before: DataFrame) -> DataFrame:
+    """survival() of transform_grid(): texts of transforms without a seed are matched once, and count for each repeat."""
+    keys = [key, "transform", "repeat"]
+    seeded = {n: t for n, t in transforms.items() if t is not None and (not isinstance(t, Transform) or t.seeded)}
+    once = {n: t for n, t in transforms.items() if isinstance(t, Transform) and not t.seeded}
+    counts = []
+    for some, n in ((seeded, repeats), (once, 1)):
+        if some:
+            grid = transform_grid(texts, some, n, key).where("error IS NULL")
+            rows = match_counts(match_signals(grid, signals, keys), keys)
+            counts.append(rows if n == repeats else rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))))
+    return survival(before, functools.reduce(DataFrame.unionByName, counts), [key], ["transform", "repeat"])
+
+
 def survival_rate(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("all_after").cast("double")).alias("survival_rate"))
 
@@ -167,18 +231,25 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
-def error_rates(rows: DataFrame, keys: list[str], reference: str, hypothesis: str, unicode_: bool = False) -> DataFrame:
-    """keys, cer, wer: edit distances over characters and words of white-space-normalised texts.
+@F.arrow_udf(StructType([StructField("characters", LongType()), StructField("words", LongType())]))
+def distances(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Edit distances over characters and over words; null where a text is. Spark's own takes time and memory of both lengths'
+    product, and characters only."""
+    out = []
+    for r, h in zip(reference.to_pylist(), hypothesis.to_pylist(), strict=True):
+        known = r is not None and h is not None
+        out.append({"characters": edit_distance(r, h), "words": edit_distance(r.split(), h.split())} if known else None)
+    return pa.array(out, pa.struct([("characters", pa.int64()), ("words", pa.int64())]))
 
-    Each pair's distinct words become single characters, so that one edit distance serves both.
-    """
+
+def error_rates(rows: DataFrame, keys: list[str], reference: str, hypothesis: str, unicode_: bool = True) -> DataFrame:
+    """keys, cer, wer: edit distances over characters and words of NFKC, white-space-normalised texts, by the reference's length."""
     clean = lambda c: norm_ws(nfkc(F.col(c)) if unicode_ else F.col(c))
     rows = rows.select(*keys, clean(reference).alias("r"), clean(hypothesis).alias("h"))
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    rows = rows.withColumn("ids", F.array_distinct(F.concat(words("r"), words("h"))))
-    code = lambda c: F.decode(F.unhex(F.array_join(F.transform(words(c), lambda w: F.lpad(F.hex(F.array_position("ids", w) + 0x100), 4, "0")), "")), "UTF-16BE")
+    rows = rows.withColumn("d", distances("r", "h"))
+    n_words = F.size(F.filter(F.split("r", " "), lambda w: w != ""))
     n = lambda c: F.greatest(F.lit(1), c)
-    return rows.select(*keys, (F.levenshtein("r", "h") / n(F.length("r"))).alias("cer"), (F.levenshtein(code("r"), code("h")) / n(F.size(words("r")))).alias("wer"))
+    return rows.select(*keys, (F.col("d.characters") / n(F.length("r"))).alias("cer"), (F.col("d.words") / n(n_words)).alias("wer"))
 
 
 def survival_text(rates: DataFrame, run: str) -> DataFrame:

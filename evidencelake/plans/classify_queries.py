@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.textsem import WS
+from ..operators import assign as D
 from ..operators import classify as C
 from .registry import query, read
 
@@ -210,9 +211,11 @@ def key_fill(spark, d):
     return read(spark, d, "part").select("p_partkey", F.replace(F.concat("p_name", F.lit(" {{KEY}} "), "p_type"), k, F.col("p_brand")).alias("filled"), value.alias("value"))
 
 
-_KEYCHAR = " || ".join(f"'{C.KEY_ALPHABET}'[1 + ('0x' || substr(h, {2 * i + 1}, 2))::INT % 32]" for i in range(8))
+_HALF = 32**4
+_ROUNDS = ", ".join(f"r{r + 1} AS (SELECT c_custkey, y AS x, (x + ('0x' || left(sha256('k:{r}:' || y), 13))::BIGINT % {_HALF}) % {_HALF} AS y FROM r{r})" for r in range(D.KEY_ROUNDS))
+_KEYCHAR = " || ".join(f"'{C.KEY_ALPHABET}'[1 + {p} // {32**k} % 32]" for p in "xy" for k in (3, 2, 1, 0))
 
 
-@query(f"SELECT c_custkey, {_KEYCHAR} AS key FROM (SELECT c_custkey, sha256('k:0:' || c_custkey) AS h FROM customer)")
+@query(f"WITH r0 AS (SELECT c_custkey, n // {_HALF} AS x, n % {_HALF} AS y FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer)), {_ROUNDS} SELECT c_custkey, {_KEYCHAR} AS key FROM r{D.KEY_ROUNDS}")
 def unit_keys(spark, d):
-    return C.unit_keys(read(spark, d, "customer"), "c_custkey", "k")
+    return D.unit_keys(read(spark, d, "customer"), "c_custkey", "k")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.textsem import WS, norm_ws
+from ..functions.scratch import spread
+from ..functions.textsem import WS
 from ..operators import perturb as T
 from ..operators import signals as M
 from ..sources import io as S
 from ..streaming.streams import shared_folder
 from .registry import query, read
-from .signal_queries import SIGNALS, _MATCHES, _matches
+from .signal_queries import _MATCHES, SIGNALS, _matches, labelled
 
 _SENT = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')"
 
@@ -54,11 +55,8 @@ def paraphrase(spark, d):
 
 def _survival(spark, d):
     before = M.match_counts(_matches(spark, d), ["doc_id"])
-    swap = {"swap": lambda t, seed: F.replace(t, F.lit("of"), F.lit("fo")), "identity": lambda t, seed: t, "translate": None}
-    marks = read(spark, d, "labels").select("doc_id")
-    grid = T.transform_grid(read(spark, d, "documents").join(marks, "doc_id"), swap, 2, "doc_id").where("available")
-    after = M.match_counts(M.match_signals(grid, M.signal_frame(spark, SIGNALS), ["doc_id", "transform", "repeat"]), ["doc_id", "transform", "repeat"])
-    return T.survival(before, after, ["doc_id"], ["transform", "repeat"])
+    swap = {"swap": T.column_transform(lambda t, seed: F.replace(t, F.lit("of"), F.lit("fo")), seeded=False), "identity": T.column_transform(lambda t, seed: t, seeded=False), "translate": None}
+    return T.survival_of(labelled(spark, d).select("doc_id", "text"), swap, 2, "doc_id", M.signal_frame(spark, SIGNALS), before)
 
 
 _AFTER = f"""{_MATCHES}, swapped AS (SELECT doc_id, contains(replace(text, 'of', 'fo'), 'the')::INT + regexp_matches(replace(text, 'of', 'fo'), '[A-Z]{{3,}}|[#*$%&]{{3}}')::INT + regexp_matches(replace(text, 'of', 'fo'), '(?i)\\b(shed|thing|le{WS}+la)\\b')::INT
@@ -76,19 +74,24 @@ def survival_rate(spark, d):
     return T.survival_rate(_survival(spark, d), ["transform"])
 
 
+def title_words(text: str, seed: str) -> str:
+    """A transform as a user would plug it in; it refuses texts of one word."""
+    if len(text.split()) < 2:
+        raise ValueError("one word")
+    return text.title()
+
+
 @query()
 def transform_grid(spark, d):
     protected = F.array().cast("array<string>")
-    grid = T.transform_grid(read(spark, d, "documents"), {"human_edit": lambda t, s: T.human_edit(t, s, protected), "paraphrase": T.paraphrase, "translate": None}, 3, "doc_id")
-    return grid.select("doc_id", "transform", "repeat", "available", F.sha2("text", 256).alias("digest"))
+    grid = T.transform_grid(read(spark, d, "documents"), {"human_edit": lambda t, s: T.human_edit(t, s, protected), "paraphrase": T.paraphrase, "plugged": T.python_transform(title_words, seeded=False), "translate": None}, 3, "doc_id")
+    return grid.select("doc_id", "transform", "repeat", "available", F.sha2("text", 256).alias("digest"), "error")
 
 
 @query()
 def error_rates(spark, d):
-    plain = lambda c, p: norm_ws(F.regexp_replace(c, p, ""))
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), plain(F.col("line"), "[^ -~]").alias("r"), plain(F.col("line"), "[^ -~]|th").alias("h"))
-    return T.error_rates(rows, ["doc_id", "line_no"], "r", "h")
+    rows = spread(read(spark, d, "documents")).select("doc_id", "text", F.regexp_replace("text", "th|de ", "").alias("read"))
+    return T.error_rates(rows, ["doc_id"], "text", "read")
 
 
 @query(f"""WITH {_AFTER}, s AS (SELECT lang, transform, avg((a = 5)::INT) AS r FROM surv JOIN counts USING (doc_id) GROUP BY ALL), u AS (SELECT lang, transform, transform || ': ' || printf('%.0f', round(r * 100)) || '% survived' AS t FROM s UNION ALL SELECT DISTINCT lang, 'translate', 'translate: not available' FROM s)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import matching, stats
+from evidencelake.functions.edits import edit_distance
 from evidencelake.functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
 from evidencelake.functions.textsem import mul32, norm_ws
 from evidencelake.operators import assign, classify, grid, perturb, scoring, signals, textops, validate
@@ -411,6 +412,75 @@ def test_taxonomies(spark, text, v1, v2):
     assert one(spark, classify.taxonomy_v2(F.lit(text))["response_class"]) == v2
 
 
+def test_unit_keys_differ_by_construction(spark):
+    for alphabet, length in (("abc", 3), ("ab", 5), ("abcd", 4), ("a", 4), ("abcde", 1)):
+        n = len(alphabet) ** length
+        keys = [r[0] for r in spark.range(n).select(assign.key_of(F.col("id"), "s", length, alphabet)).collect()]
+        assert sorted(keys) == sorted("".join(t) for t in itertools.product(alphabet, repeat=length))  # filled to the last key
+        assert n < 20 or keys != sorted(keys)
+    units = spark.range(3000).selectExpr("concat('u', id) AS u").union(spark.range(500).selectExpr("concat('u', id) AS u"))
+    for length in (6, 7, 16):
+        rows = assign.unit_keys(units, "u", "s", length).collect()
+        assert len({r.key for r in rows}) == len({r.u for r in rows}) == len(rows) == 3000
+        assert {len(r.key) for r in rows} == {length} and {c for r in rows for c in r.key} <= set(classify.KEY_ALPHABET)
+    other = {r.u: r.key for r in assign.unit_keys(units, "u", "t", 16).collect()}
+    assert all(other[r.u] != r.key for r in rows)
+    with pytest.raises(ValueError):
+        assign.unit_keys(units, "u", "s", 5)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distances_against_the_plain_table():
+    r = random.Random(1)
+    for _ in range(600):
+        a, b = ("".join(r.choice("ab" if r.random() < 0.5 else "abcdefé漢") for _ in range(r.choice([0, 1, 2, 7, 63, 64, 65, 130]))) for _ in "ab")
+        if r.random() < 0.5:
+            b = "".join(c for c in a if r.random() < 0.9) + b[:5]
+        assert edit_distance(a, b) == plain_distance(a, b)
+        assert edit_distance(list(a), list(b)) == edit_distance(b, a)
+    assert edit_distance("x" * 50_000, "y" + "x" * 50_000 + "z") == 2
+
+
+def test_error_rates_of_whole_texts(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join(f"w{r.randrange(60_000)}" for _ in range(n))
+    long = say(700)
+    rows = [(1, long, long.replace("w1", "v1")), (2, "ﬁne　Ａ b", "fine A  b"), (3, "", "two words"), (4, "a b c", ""), (5, None, "x"), (6, "same", "same"), (7, say(300), say(280))]
+    got = {x.k: (x.cer, x.wer) for x in perturb.error_rates(spark.createDataFrame(rows, "k int, a string, b string"), ["k"], "a", "b").collect()}
+    for k, a, b in rows:
+        if a is None:
+            assert got[k] == (None, None)
+            continue
+        a, b = (" ".join(unicodedata.normalize("NFKC", x).split()) for x in (a, b))
+        assert got[k] == pytest.approx((plain_distance(a, b) / max(1, len(a)), plain_distance(a.split(), b.split()) / max(1, len(a.split()))))
+
+
+def test_transforms_plug_in(spark):
+    texts = spark.createDataFrame([(1, "of a of"), (2, "bad"), (3, None)], "k int, text string")
+    calls = {"up": perturb.python_transform(lambda t, s: t.upper() if t != "bad" else 1 / 0), "frame": perturb.Transform(lambda df: df.withColumn("text", F.concat("text", F.lit("!")))),
+             "swap": perturb.column_transform(lambda t, s: F.replace(t, F.lit("of"), F.lit("fo")), seeded=False), "seed": lambda t, s: F.concat(t, s), "none": None}
+    rows = {(r.k, r.transform, r.repeat): r for r in perturb.transform_grid(texts, calls, 2, "k").collect()}
+    assert len(rows) == 3 * 5 * 2
+    assert rows[1, "up", 2].text == "OF A OF" and rows[1, "up", 2].error is None
+    assert rows[2, "up", 1].text is None and rows[2, "up", 1].error == "ZeroDivisionError: division by zero"
+    assert rows[3, "up", 1].text is None and rows[1, "frame", 1].text == "of a of!" and rows[1, "swap", 2].text == "fo a fo"
+    assert rows[1, "seed", 1].text == "of a of1:seed:1" != rows[1, "seed", 2].text
+    assert not rows[1, "none", 1].available and rows[1, "none", 1].text is None
+    frame = signals.signal_frame(spark, [signals.Signal("exact_phrase", value="of")])
+    before = signals.match_counts(signals.match_signals(texts, frame, ["k"]), ["k"])
+    got = {(r.k, r.transform, r.repeat): r.all_after for r in perturb.survival_of(texts, calls, 2, "k", frame, before).collect()}
+    assert got[1, "swap", 1] is got[1, "swap", 2] is False and got[1, "frame", 2] is True and (2, "up", 1) not in got and len(got) == 3 * 4 * 2 - 2
+
+
 def test_assignment_is_balanced(spark):
     units = spark.createDataFrame([(f"u{i:03d}",) for i in range(101)], "u string")
     members = spark.createDataFrame([("b", "2"), ("a", "1"), ("c", "3")], "label string, job_id string")
