@@ -67,8 +67,9 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     ).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """doc_id, text, ws and the counts that the base rule and the report need; whole: the input row too, as `row`."""
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, repeats: bool = True) -> DataFrame:
+    """doc_id, text, ws and the counts that the base rule and the report need; whole: the input row too, as `row`;
+    repeats: with n_repeat_words, which costs more than all other counts."""
     row = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if whole else []
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
     base = base.withColumn("ws", words(F.col("text")))
@@ -79,10 +80,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wh
         F.length(F.translate("text", WHITE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("ws")).alias("n_repeat_words"), *(["row"] if whole else []),
+        *([repeated_words(F.col("ws")).alias("n_repeat_words")] if repeats else []), *(["row"] if whole else []),
     )
 
 
+#: A word without a letter of any script.
+LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])"
+
+
 @dataclass(frozen=True)
 class Rule:
     """failed is true for a document that the rule rejects; it may use text, ws and the measures."""
@@ -91,8 +96,20 @@ class Rule:
     failed: Column
 
 
-def base_failed(least_words: int = 20, most_repeat_percent: int = 30) -> Column:
-    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+#: The base rule: words that a text has at least, and the share of them in repeated windows, in percent, at most.
+LEAST_WORDS, MOST_REPEAT_PERCENT = 20, 30
+
+
+def too_short() -> Column:
+    return F.col("n_words") < LEAST_WORDS
+
+
+def repeats_too_much(n_repeat_words: Column) -> Column:
+    return 100 * n_repeat_words > MOST_REPEAT_PERCENT * F.col("n_words")
+
+
+def base_failed() -> Column:
+    return too_short() | repeats_too_much(F.col("n_repeat_words"))
 
 
 def share_over(part: Column, percent: int, whole: Column) -> Column:
@@ -104,14 +121,15 @@ def count_words(test) -> Column:
 
 
 def production_rules() -> list[Rule]:
-    """Rules beyond the base: shares far outside what prose of any language reaches."""
+    """Rules beyond the base: shares far outside what prose of any language reaches. Short words are told by their bytes, as
+    one character is a word in some scripts."""
     n, chars = F.col("n_words"), F.col("word_chars")
     return [
         Rule("symbols", share_over(F.col("n_symbols"), 10, chars)),
         Rule("duplicate_lines", share_over(F.col("n_dup_lines"), 60, F.size(F.split("text", "\n")))),
-        Rule("mean_word_length", (chars < 2 * n) | (chars > 20 * n)),
+        Rule("mean_word_length", (F.octet_length(F.translate("text", WHITE, "")) < 2 * n) | (chars > 20 * n)),
         Rule("shouting", share_over(count_words(lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)), 40, n)),
-        Rule("no_letters", share_over(count_words(lambda w: F.lower(w) == F.upper(w)), 50, n)),
+        Rule("no_letters", share_over(F.regexp_count("text", F.lit(LETTERLESS)), 50, n)),
         Rule("stutter", share_over(F.size(F.filter("ws", lambda w, i: (i > 0) & (w == F.get("ws", i - 1)))), 30, n)),
         Rule("markup", share_over(count_words(lambda w: F.startswith(w, F.lit("<")) & F.endswith(w, F.lit(">"))), 20, n)),
     ]
@@ -148,13 +166,14 @@ def cascade(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
 
-def planned(docs: DataFrame, rules: list[Rule], sample_rows: int, id_col: str, text_col: str) -> list[Rule]:
-    """The rules in the order that a sample of expected size sample_rows suggests."""
+def planned(docs: DataFrame, rules: list[Rule], sample_rows: int, id_col: str, text_col: str, repeats: bool = True) -> list[Rule]:
+    """The rules in the order that a sample of expected size sample_rows suggests, judged on what the base rule leaves; without
+    repeats, on what its number of words leaves."""
     total = docs.select(F.lit(1)).count()
     picked = docs.sample(min(1.0, sample_rows / max(total, 1)), seed=7)
     scratch = Scratch(docs.sparkSession, "rules")
-    sample = scratch.table(measures(picked, id_col, text_col), "sample")
-    out = ordered(rules, rule_statistics(sample.where(~base_failed()), rules))
+    sample = scratch.table(measures(picked, id_col, text_col, repeats=repeats), "sample")
+    out = ordered(rules, rule_statistics(sample.where(~(base_failed() if repeats else too_short())), rules))
     scratch.drop("sample")
     return out
 
@@ -176,9 +195,13 @@ def quality_rules(
 def quality_filter(
     docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of docs, unchanged, that quality_rules() keeps."""
-    plan = planned(docs, production_rules() if rules is None else rules, sample_rows, id_col, text_col)
-    reason = F.when(base_failed(), F.lit("base")).otherwise(cascade(plan))
+    """The rows of docs, unchanged, that quality_rules() keeps.
+
+    The base rule's repeated words are a rule like the others here: only documents that get to it in the cascade pay for it.
+    """
+    every = [*(production_rules() if rules is None else rules), Rule("repeats", repeats_too_much(repeated_words(F.col("ws"))))]
+    plan = planned(docs, every, sample_rows, id_col, text_col, repeats=False)
+    reason = F.when(too_short(), F.lit("base")).otherwise(cascade(plan))
     # a filter would be pushed below the measures and compute them once for every place that uses them
     kept = F.explode(F.when(reason.isNull(), F.array("row")))
-    return measures(docs, id_col, text_col, whole=True).select(kept.alias("row")).select("row.*")
+    return measures(docs, id_col, text_col, whole=True, repeats=False).select(kept.alias("row")).select("row.*")

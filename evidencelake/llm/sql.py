@@ -24,9 +24,9 @@ def quality_measures(source: str) -> str:
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                     100 * n_symbols > 10 * word_chars
                     OR 100 * n_dup_lines > 60 * len(string_split(text, chr(10)))
-                    OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                    OR strlen(regexp_replace(text, '{_WS}', '', 'g')) < 2 * n_words OR word_chars > 20 * n_words
                     OR 100 * len(list_filter(ws, lambda w: length(w) > 1 AND upper(w) = w AND lower(w) <> w)) > 40 * n_words
-                    OR 100 * len(list_filter(ws, lambda w: lower(w) = upper(w))) > 50 * n_words
+                    OR 100 * len(list_filter(ws, lambda w: NOT regexp_matches(w, '\p{{L}}'))) > 50 * n_words
                     OR 100 * len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) > 30 * n_words
                     OR 100 * len(list_filter(ws, lambda w: w[1] = '<' AND w[-1] = '>')) > 20 * n_words AS rules_failed
                FROM base)"""

@@ -25,30 +25,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BYTE_VALUES, Rolling, Scratch, chunks, documents, merged, mix, signed, text_bytes, with_side, word_spans
+from .common import JoinedWords, Rolling, Scratch, chunks, documents, merged, mix, signed, text_bytes, with_side, word_spans
 
 #: A perfect difference set; every residue modulo 31 is the difference of two of its members.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 
-_BYTES, _FIRST, _SECOND = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95), Rolling(0xAF251AF3B0F025B5)
+_FIRST, _SECOND = Rolling(0xD1342543DE82EF95), Rolling(0xAF251AF3B0F025B5)
 KEY = ["doc_id", "row_hash"]
 
 
 class Words:
-    """The words of a chunk of rows: byte spans, rows' first words, and hashes of any run of words."""
+    """The words of a chunk of rows: rows' first words, and hashes of any run of words.
+
+    A word's values are XXH64 of its bytes, under a seed of their own for each hash of runs, so that the hashes of a
+    window share nothing and words that were made to collide under a polynomial do not.
+    """
 
     def __init__(self, text: pa.Array):
-        self.data, offsets = text_bytes(text)
-        self.starts, self.ends, self.rows = word_spans(self.data, offsets)
-        sums = _BYTES.prefix(BYTE_VALUES[self.data])
-        self.hashes = mix(_BYTES.spans(sums, self.starts, self.ends) ^ (self.ends - self.starts).astype(np.uint64))
+        words = JoinedWords(text)
+        self.rows = words.rows
+        self.codes, self.vocabulary = words.codes()
 
     def runs(self, rolling: Rolling, seed: int, at: np.ndarray, length: int) -> np.ndarray:
-        return mix(rolling.spans(rolling.prefix(mix(self.hashes, seed)), at, at + length))
+        values = np.array([xxhash.xxh64_intdigest(w, seed) for w in self.vocabulary], np.uint64)[self.codes]
+        return mix(rolling.spans(rolling.prefix(values), at, at + length))
 
     def positions(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, word within the row) of every run of `length` words."""
@@ -150,19 +155,18 @@ def cut_words(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch):
-                words = Words.__new__(Words)
-                words.data, offsets = text_bytes(chunk.column("text"))
-                words.starts, words.ends, words.rows = word_spans(words.data, offsets)
-                edges, base = np.zeros(len(words.starts) + 1, np.int64), words.rows
+                data, offsets = text_bytes(chunk.column("text"))
+                starts, ends, base = word_spans(data, offsets)
+                edges = np.zeros(len(starts) + 1, np.int64)
                 for i, (f, t) in enumerate(zip(chunk.column("cut_from"), chunk.column("cut_to"), strict=True)):
                     if f.is_valid:
                         np.add.at(edges, base[i] + f.values.to_numpy(), 1)
                         np.add.at(edges, base[i] + t.values.to_numpy(), -1)
                 gone = np.cumsum(edges)[:-1] > 0
                 kept = []
-                view = memoryview(np.ascontiguousarray(words.data))
+                view = memoryview(np.ascontiguousarray(data))
                 for i in range(len(chunk)):
-                    s, e = words.starts[base[i] : base[i + 1]], words.ends[base[i] : base[i + 1]]
+                    s, e = starts[base[i] : base[i + 1]], ends[base[i] : base[i + 1]]
                     stay = ~gone[base[i] : base[i + 1]]
                     kept.append(b" ".join([view[a:b] for a, b in zip(s[stay].tolist(), e[stay].tolist(), strict=True)]).decode())
                 total = np.r_[0, np.cumsum(gone)]

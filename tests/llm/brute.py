@@ -41,8 +41,8 @@ def kept_by_rules(text):
     m, ws, text = measures(text), words(text), text or ""
     n, chars = m["n_words"], m["word_chars"]
     return not (
-        m["base_failed"] or 100 * m["n_symbols"] > 10 * chars or 100 * m["n_dup_lines"] > 60 * len(text.split("\n")) or chars < 2 * n or chars > 20 * n
-        or 100 * sum(len(w) > 1 and w.upper() == w != w.lower() for w in ws) > 40 * n or 100 * sum(w.lower() == w.upper() for w in ws) > 50 * n
+        m["base_failed"] or 100 * m["n_symbols"] > 10 * chars or 100 * m["n_dup_lines"] > 60 * len(text.split("\n")) or len("".join(ws).encode()) < 2 * n or chars > 20 * n
+        or 100 * sum(len(w) > 1 and w.upper() == w != w.lower() for w in ws) > 40 * n or 100 * sum(not regex.search(r"\p{L}", w) for w in ws) > 50 * n
         or 100 * sum(a == b for a, b in zip(ws, ws[1:], strict=False)) > 30 * n or 100 * sum(w[0] == "<" and w[-1] == ">" for w in ws) > 20 * n
     )
 

@@ -133,3 +133,31 @@ def test_blocks_are_simhashes_of_classes(spark):
     got = {(x.id, x.bucket) for x in line_dedup.blocks(frame).collect()}
     keys = spark.createDataFrame(list(want), "id long, k int, bits long").select("id", F.xxhash64("bits", "k").alias("b")).collect()
     assert {(x.id, x.b) for x in keys} == got
+
+
+def test_words_made_to_collide_share_no_window(spark):
+    """A word of 2,048 letters after Thue and Morse and its complement agree under every polynomial modulo a power of two."""
+    from evidencelake.llm.substring_dedup import substring_dedup
+
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = " ".join(f"w{i}" for i in range(49))
+    rows = spark.createDataFrame([(1, f"{words} {a}"), (2, f"{words} {b}"), (3, f"{words} {a}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(rows).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_prose_of_any_script_is_kept(spark):
+    """Words without case are words; tables of numbers are not."""
+    from evidencelake.llm.quality_rules import quality_filter, quality_rules
+
+    prose = {
+        1: "今天 天气 很 好 我们 一起 去 公园 散步 看到 许多 孩子 在 草地 上 玩耍 老人 坐 在 长椅 上 聊天 我 觉得 这样 的 生活 非常 平静",
+        2: "ذهب الولد إلى المدرسة في الصباح الباكر وكان يحمل حقيبة كبيرة مليئة بالكتب والدفاتر ثم عاد إلى البيت بعد الظهر وتناول الطعام مع عائلته وقرأ قصة جميلة",
+        3: "आज सुबह मैं अपने दोस्त के साथ बाज़ार गया और हमने वहाँ से ताज़ी सब्ज़ियाँ तथा फल खरीदे फिर घर लौटकर खाना बनाया और सबने मिलकर भोजन किया",
+        4: "הילד הלך בבוקר לבית הספר עם התיק שלו ופגש בדרך את חבריו הם דיברו על המשחק של אתמול ואחר כך נכנסו לכיתה והמורה סיפרה להם סיפור",
+        5: "วันนี้ ฉัน ไป ตลาด กับ แม่ เรา ซื้อ ผัก และ ผลไม้ มากมาย แล้ว กลับ บ้าน มา ทำ อาหาร ให้ ทุก คน ใน ครอบครัว กิน ด้วย กัน อย่าง มี ความสุข",
+        6: " ".join(f"{i},{i * 7} ---" for i in range(40)),
+    }
+    docs = spark.createDataFrame(list(prose.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality_rules(docs).where("kept").collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.doc_id for r in quality_filter(docs).collect()) == [1, 2, 3, 4, 5]
