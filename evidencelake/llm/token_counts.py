@@ -3,10 +3,15 @@
 A rollup is a folder of three tables. `ledger` holds signed rows per document: a batch of changes adds
 the new counts of the documents it inserts or revises and takes away the counts that the ledger held
 for them, so the sum over a document's rows is its state. `deltas` holds each batch's ledger summed by
-source, language and tokenizer version; totals are sums of deltas and never reread documents. `commits`
-names the batches that count. Every attempt at a batch is written to a folder of its own; it counts once a file
-named after the batch has been created in `commits`, which the file system lets only one writer do. An attempt that
-failed half-way, or lost to another, is never read; a batch that is committed already is left alone.
+source, language and tokenizer version; totals are sums of deltas and never reread documents. `commits` is
+a numbered log of the batches that count. Every attempt at a batch is written to a folder of its own, made from the state
+after the log's last number; it counts once its entry has become the next number. An entry is written under another
+name first and then renamed, so none is ever half there, and of two writers one gets the number: the other works its
+batch out again from the new state. An attempt that failed half-way, or lost, is never read; a batch that is in the log is
+left alone. Renaming to a name that exists fails at once on HDFS; local and object-store file systems look
+before they rename, so there writers of one rollup need a lock of their own.
+
+The ledger is parted by a hash of doc_id; a batch reads the parts that it touches and no others.
 
 Edge cases: null texts and removals have no tokens (a null text counts as an empty document); null
 source or language form a group of their own; within a batch a removal wins over other rows of its
@@ -18,14 +23,13 @@ its name.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, chunks, with_side
@@ -33,6 +37,13 @@ from .common import BROADCAST_BYTES, Scratch, chunks, with_side
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
+#: Parts of the ledger, by doc_id.
+PARTS = 64
+
+
+def part() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+
 
 _live: dict[tuple[str, str], object] = {}
 
@@ -80,37 +91,51 @@ class TokenRollup:
         for name in ("ledger", "deltas", "commits"):
             self._fs(name)[0].mkdirs(self._fs(name)[1])
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
     def _fs(self, name: str):
         """(file system, path) of a part of the folder."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str, commits: DataFrame | None = None) -> DataFrame:
         rows = self.spark.read.schema(f"{schema}, batch string, attempt string").parquet(f"{self.folder}/{name}")
-        commits = self.commits()
+        commits = self.commits() if commits is None else commits
         return rows.join(commits.hint("broadcast" if commits.count() * 256 <= BROADCAST_BYTES else "merge"), ["batch", "attempt"], "left_semi")
 
     def commits(self) -> DataFrame:
-        """(batch, attempt) of committed batches: one row a batch."""
-        return self.spark.read.schema("batch string, attempt string").json(f"{self.folder}/commits")
-
-    def _claim(self, batch: str, attempt: str) -> bool:
-        """Names the attempt that counts for a batch; False if another has been named."""
-        fs, path = self._fs(f"commits/{hashlib.sha256(batch.encode()).hexdigest()}.json")
-        try:
-            out = fs.create(path, False)
+        """(number, batch, attempt) of committed batches: one row a batch."""
+        return self.spark.read.schema("number long, batch string, attempt string").json(f"{self.folder}/commits")
+
+    def _claim(self, number: int, batch: str, attempt: str) -> bool:
+        """Makes the attempt the log's entry of this number; False if there is one."""
+        fs, path = self._fs(f"commits/{number:012d}.json")
+        draft = self._path(f"commits/_{attempt}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps({"number": number, "batch": batch, "attempt": attempt}).encode()))
+        out.close()
+        if fs.exists(path):
+            fs.delete(draft, False)
+            return False
+        try:  # as Spark writes its own logs: a rename that does not replace what is there
+            how = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+            rename = self.spark.sparkContext._gateway.new_array(how, 1)
+            rename[0] = how.NONE
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, rename)
         except Exception:
             if fs.exists(path):
                 return False
             raise
-        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
-        out.close()
         return True
 
-    def state(self, touched: DataFrame | None = None) -> DataFrame:
-        """LEDGER rows of the documents as they stand; touched(doc_id): of these alone, found before anything is summed."""
-        rows = self._read("ledger", LEDGER)
+    def state(self, touched: DataFrame | None = None, commits: DataFrame | None = None) -> DataFrame:
+        """LEDGER rows of the documents as they stand; touched(doc_id): of these alone, read from the parts that hold them
+        and found before anything is summed."""
+        rows = self._read("ledger", f"{LEDGER}, part int", commits)
         if touched is not None:
+            parts = [r["part"] for r in touched.select(part().alias("part")).distinct().collect()]  # PARTS at most
+            rows = rows.where(F.col("part").isin(parts)) if len(parts) < PARTS else rows
             rows = rows.join(touched.hint("merge"), rows.doc_id.eqNullSafe(touched.doc_id), "left_semi")
         return rows.groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).where("n_docs <> 0")
 
@@ -121,21 +146,39 @@ class TokenRollup:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies changes(op, doc_id, source, lang, text); op: insert, revise or delete. False: was committed before."""
-        if self.commits().where(F.col("batch") == batch).count():
-            return False
+        counted = None
+        while True:
+            commits = self.spark.createDataFrame(self.commits().collect(), "number long, batch string, attempt string")  # the log as it is now, a row a batch
+            if commits.where(F.col("batch") == batch).count():
+                return False
+            number = (commits.agg(F.max("number")).first()[0] or 0) + 1
+            counted = counted or self._counted(changes)
+            attempt = self._attempt(batch, counted, commits)
+            if self._claim(number, batch, attempt):
+                return True
+
+    def _counted(self, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(new LEDGER rows, touched doc_ids) of a batch, written: they are the same for every attempt."""
         docs = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), *(F.col(k).cast("string").alias(k) for k in ("source", "lang")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         new = count_tokens(docs.where("op <> 'delete'"), self.tokenizers, self.pattern)
         new = new.groupBy("doc_id", "tokenizer").agg(F.max(F.struct("source", "lang", *SUMS)).alias("v")).select("doc_id", "v.source", "v.lang", "tokenizer", *(f"v.{c}" for c in SUMS))
         gone = docs.where("op = 'delete'").select("doc_id").distinct()
         touched = docs.select("doc_id").distinct()
         new = new.join(gone.hint("merge"), new.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-        old = self.state(touched).select("doc_id", *KEYS, *((-F.col(c)).alias(c) for c in SUMS))
+        scratch = Scratch(self.spark, "batch")
+        return scratch.table(new, "new"), scratch.table(touched, "touched")
+
+    def _attempt(self, batch: str, counted: tuple[DataFrame, DataFrame], commits: DataFrame) -> str:
+        """Writes the rows of a batch on top of these commits; its name."""
+        new, touched = counted
+        old = self.state(touched, commits).select("doc_id", *KEYS, *((-F.col(c)).alias(c) for c in SUMS))
         attempt = uuid.uuid4().hex
         place = f"batch={quote(batch, safe='')}/attempt={attempt}"
-        new.unionByName(old).write.parquet(f"{self.folder}/ledger/{place}")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{place}")
+        ledger = new.unionByName(old).withColumn("part", part())
+        ledger.repartition("part").write.partitionBy("part").parquet(f"{self.folder}/ledger/{place}")
+        rows = self.spark.read.schema(f"{LEDGER}, part int").parquet(f"{self.folder}/ledger/{place}")
         rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).write.parquet(f"{self.folder}/deltas/{place}")
-        return self._claim(batch, attempt)
+        return attempt
 
 
 def corpus_history(documents: DataFrame, labels: DataFrame) -> list[tuple[str, DataFrame]]:

@@ -140,11 +140,45 @@ def test_token_batches_commit_once(spark, docs):
     # a batch that was written but never named in commits does not count, and is overwritten when sent again
     spark.createDataFrame([("s0", None, "byte_bpe_50k", 9, 9, 9)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long").write.parquet(f"{rollup.folder}/deltas/batch=half/attempt=lost")
     assert sorted(map(key, rollup.totals().collect())) == before
-    assert not rollup._claim(name, "another writer of the same batch")
+    assert not rollup._claim(1, name, "another writer of the same number")
     rollup.commit("half", load.where("doc_id = 0").withColumn("op", F.lit("delete")))
     assert sum(r.n_docs for r in rollup.totals().collect()) == sum(x[3][1] for x in before) - len(VERSIONS)
 
 
+def test_token_batches_of_two_writers(spark):
+    """A crash inside the commit loses no batch; a batch that another overtakes is worked out again."""
+    folder = Scratch(spark, "tokens").root
+    rollup = TokenRollup(spark, folder, VERSIONS, public_tokenizers.PATTERN)
+    frame = lambda op, text: spark.createDataFrame([(op, 1, "s", "en", text)], "op string, doc_id long, source string, lang string, text string")
+    total = lambda: {(r.n_docs, r.n_tokens) for r in rollup.totals().where("tokenizer = 'byte_bpe_50k'").collect()}
+    n = {t: len(encoder("byte_bpe_50k").encode_ordinary(t)) for t in ("hello world", "hello big world", "hello very big world")}
+
+    class Crashing(TokenRollup):
+        def _claim(self, number, batch, attempt):
+            fs, path = self._fs(f"commits/_{attempt}")
+            fs.create(path, True).close()  # an entry that was begun
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        Crashing(spark, folder, VERSIONS, public_tokenizers.PATTERN).commit("one", frame("insert", "hello world"))
+    assert not total() and rollup.commit("one", frame("insert", "hello world")) and total() == {(1, n["hello world"])}
+
+    class Overtaken(TokenRollup):
+        calls = 0
+
+        def _claim(self, number, batch, attempt):
+            self.calls += 1
+            if self.calls == 1:
+                assert rollup.commit("two", frame("revise", "hello big world"))
+            return super()._claim(number, batch, attempt)
+
+    late = Overtaken(spark, folder, VERSIONS, public_tokenizers.PATTERN)
+    assert late.commit("three", frame("revise", "hello very big world")) and late.calls == 2
+    assert total() == {(1, n["hello very big world"])}
+    assert [r.number for r in rollup.commits().orderBy("number").collect()] == [1, 2, 3]
+    assert not rollup.commit("two", frame("revise", "hello world"))
+
+
 def test_substring_dedup(docs, empty):
     want = brute.cut_windows(DOCS, 50)
     same(substring_dedup.substring_dedup(docs), [(i, *want[i, t]) for i, t in DOCS])
