@@ -66,14 +66,18 @@ def recompute(scores: DataFrame, by: list[str], unit: str, alpha: float = 0.05)
     return holm(rows.select(unit, *by, "p_value"), by, "p_value", unit, alpha)
 
 
-def compare_rates(matches: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
-    """by, idx, counts, rates, fisher_p, adjusted_p, significant of matches that carry a label (candidate or baseline)."""
+def cell_counts(matches: DataFrame, by: list[str]) -> DataFrame:
+    """by, idx, a, b, c, d: candidates that match and do not, baselines that match and do not."""
     cand, base = F.col("label") == "candidate", F.col("label") == "baseline"
-    rows = matches.groupBy(*by, "idx").agg(
+    return matches.groupBy(*by, "idx").agg(
         F.count_if(cand & F.col("matched")).alias("a"), F.count_if(cand & ~F.col("matched")).alias("b"),
         F.count_if(base & F.col("matched")).alias("c"), F.count_if(base & ~F.col("matched")).alias("d"),
     )
-    n1, n2 = F.col("a") + F.col("b"), F.col("c") + F.col("d")
+
+
+def tested_cells(counts: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """cell_counts() with rates, fisher_p, adjusted_p and significant."""
+    rows, n1, n2 = counts, F.col("a") + F.col("b"), F.col("c") + F.col("d")
     rows = rows.select(
         *by, "idx", "a", "b", "c", "d",
         F.try_divide(F.col("a").cast("double"), n1.cast("double")).alias("candidate_rate"),
@@ -83,6 +87,11 @@ def compare_rates(matches: DataFrame, by: list[str], alpha: float = 0.05) -> Dat
     return holm(rows, by, "fisher_p", "idx", alpha)
 
 
+def compare_rates(matches: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """by, idx, counts, rates, fisher_p, adjusted_p, significant of matches that carry a label (candidate or baseline)."""
+    return tested_cells(cell_counts(matches, by), by, alpha)
+
+
 def compare_all_matched(counts: DataFrame, by: list[str]) -> DataFrame:
     """by, counts, all-matched rates, fisher_p, delta_pp and notes of match_counts() rows that carry a label."""
     hit = (F.col("total") > 0) & (F.col("matched_count") == F.col("total"))
