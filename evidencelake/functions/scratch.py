@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
+def shared_folder(spark: SparkSession, kind: str = "table") -> str:
     """A new folder below spark.checkpoint.dir; only local mode, where one machine is all there is, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.split("[")[0] != "local":

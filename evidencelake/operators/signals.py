@@ -23,7 +23,9 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import matching, phrases
 from ..functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
+from ..functions.order import bounds_of, part_of
 from ..functions.phrases import PhraseIndex
+from ..functions.scratch import written
 from ..functions.textsem import EDGE, WS, norm_ws, quoted, trim_ws
 from .textops import strip_tags
 
@@ -222,12 +224,9 @@ def _lines(text: Column) -> Column:
 
 
 def headings(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, text, line_index, char_offset) of every heading."""
-    rows = texts.select(key, F.posexplode(F.split(text_col, "\n")).alias("line_index", "raw"))
-    before = Window.partitionBy(key).orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("char_offset", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("long"))
-    rows = rows.withColumn("heading", heading_text(F.regexp_replace("raw", "\r$", "")))
-    return rows.where("heading IS NOT NULL").select(key, F.col("heading").alias("text"), "line_index", "char_offset")
+    """(key, text, line_index, char_offset) of every heading: row-local, as a text's lines are put in place within it."""
+    rows = texts.select(key, F.inline(heading_list(F.col(text_col))))
+    return rows.select(key, "text", "line_index", F.col("char_offset").cast("long").alias("char_offset"))
 
 
 def heading_list(text: Column) -> Column:
@@ -514,26 +513,47 @@ def new_signals(have: DataFrame, more: DataFrame, keys: list[str], value: str =
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_k")
 
 
-def merge_spans(spans: DataFrame, key: str, limit: str | None = None) -> DataFrame:
-    """(key, start, end): spans clamped to [0, limit], invalid ones dropped, overlapping or touching ones merged."""
+def _carried(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """rows(key, _part) with `name`: value, an aggregate, of the parts of the key that lie before the row's own."""
+    each = rows.groupBy(key, "_part").agg(value.alias("_v"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = {"max": F.max, "sum": F.sum}["sum" if name == "_islands" else "max"]
+    each = each.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), total("_v").over(before).alias(name))  # a row a key and part
+    return rows.join(each.hint("merge"), rows[key].eqNullSafe(each["_k"]) & (rows["_part"] == each["_p"])).drop("_k", "_p")
+
+
+def merge_spans(spans: DataFrame, key: str, limit: str | None = None, parts: int | None = None) -> DataFrame:
+    """(key, start, end): spans clamped to [0, limit], invalid ones dropped, overlapping or touching ones merged.
+
+    A scan in two passes over ranges of start, so that the spans of one key are many tasks' work: each part's reach is
+    carried to the parts behind it, then spans that begin beyond all reach open an island, and the parts' numbers of
+    islands are carried likewise.
+    """
     start = F.greatest(F.col("start"), F.lit(0))
     end = F.least(F.col("end"), F.col(limit)) if limit else F.col("end")
     rows = spans.select(key, start.alias("start"), end.alias("end")).where("start < end")
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("reach", F.max("end").over(before))
-    new = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)
-    rows = rows.withColumn("island", F.sum(new).over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-
-
-def segments(texts: DataFrame, merged: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, start, text, highlighted): the pieces of each text in and between its merged spans."""
-    w = Window.partitionBy(key).orderBy("start")
+    rows = written(rows.groupBy(key, "start").agg(F.max("end").alias("end")), "spans")
+    rows = rows.withColumn("_part", part_of(F.col("start"), bounds_of(rows, "start", parts)))
+    within = Window.partitionBy(key, "_part").orderBy("start")
+    rows = _carried(rows, key, F.max("end"), "_reach")
+    reach = F.greatest("_reach", F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    rows = _carried(written(rows.select(key, "start", "end", "_part", "_new"), "spans"), key, F.sum("_new"), "_islands")
+    island = F.coalesce("_islands", F.lit(0)) + F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def segments(texts: DataFrame, merged: DataFrame, key: str, text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """(key, start, text, highlighted): the pieces of each text in and between its merged spans, which are put in order
+    within ranges of start, each range with the end of what lies before it."""
+    merged = written(merged.select(key, "start", "end"), "spans")
     n = texts.select(key, F.length(text_col).alias("n"))
-    spans = merged.join(n, key).withColumn("prev", F.coalesce(F.lag("end").over(w), F.lit(0))).withColumn("next", F.lead("start").over(w))
-    marked = spans.select(key, "start", "end", F.lit(True).alias("highlighted"))
-    gaps = spans.select(key, F.col("prev").alias("start"), F.col("start").alias("end"), F.lit(False).alias("highlighted"))
-    tail = spans.where("next IS NULL").select(key, F.col("end").alias("start"), F.col("n").alias("end"), F.lit(False).alias("highlighted"))
-    plain = n.join(merged.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(False).alias("highlighted"))
-    cuts = marked.union(gaps).union(tail).union(plain).where("start < end")
-    return cuts.join(texts.select(key, F.col(text_col).alias("_t")), key).select(key, "start", F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "highlighted")
+    rows = merged.withColumn("_part", part_of(F.col("start"), bounds_of(merged, "start", parts)))
+    within = Window.partitionBy(key, "_part").orderBy("start")
+    rows = _carried(rows, key, F.max("end"), "_reach").withColumn("prev", F.coalesce(F.lag("end").over(within), "_reach", F.lit(0)))
+    marked = rows.select(key, "start", "end", F.lit(True).alias("highlighted"))
+    gaps = rows.select(key, F.col("prev").alias("start"), F.col("start").alias("end"), F.lit(False).alias("highlighted"))
+    ends = merged.groupBy(key).agg(F.max("end").alias("start"))
+    tail = n.join(ends.hint("merge"), key, "left").select(key, F.coalesce("start", F.lit(0)).alias("start"), F.col("n").alias("end"), F.lit(False).alias("highlighted"))
+    cuts = marked.union(gaps).union(tail).where("start < end")
+    return cuts.join(texts.select(key, F.col(text_col).alias("_t")).hint("merge"), key).select(key, "start", F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "highlighted")

@@ -244,6 +244,13 @@ def coverage(instances: DataFrame, profiles: DataFrame, keys: list[str]) -> Data
     return rows.select(*keys, "profile", "cap_px", "ratio", tier.alias("tier"))
 
 
+def best_instances(covered: DataFrame, by: list[str], instance: str, order: str) -> DataFrame:
+    """by, profile, tier, best: for each profile of coverage() the instance of the greatest tier, of those that tie the
+    first by the number `order`."""
+    order = F.struct(F.col("tier"), (-F.col(order)).alias("o"))
+    return covered.groupBy(*by, "profile").agg(F.max("tier").alias("tier"), F.max_by(instance, order).alias("best"))
+
+
 def step_agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, stable: two neighbouring steps whose central difference agrees with the analytic value."""
     finite = (F.col("plus") - F.col("minus")) / (2 * F.col("step"))

@@ -9,10 +9,11 @@ from ..functions.textsem import WS
 from ..operators import perturb as T
 from ..operators import signals as M
 from ..sources import io as S
-from ..streaming.streams import shared_folder
+from ..functions.scratch import shared_folder
 from .registry import query, read
 from .signal_queries import _MATCHES, SIGNALS, _matches, labelled
 
+_TRIM = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 _SENT = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')"
 
 
@@ -131,6 +132,23 @@ def src_id_list(spark, d):
     return S.id_list(read(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""WITH l AS (SELECT doc_id, {_TRIM("unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)))")} AS id FROM documents), c AS (SELECT doc_id, id, count(*) AS n FROM l GROUP BY doc_id, id)
+    SELECT doc_id, count(*) FILTER (id <> '') AS n_ids, count(*) FILTER (id <> '' AND n > 1) AS n_duplicates, coalesce(sum(n) FILTER (id = ''), 0)::BIGINT AS n_blank FROM c GROUP BY doc_id""")
+def src_id_counts(spark, d):
+    return S.id_counts(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""SELECT CASE WHEN doc_id % 7 > 1 THEN doc_id END AS doc_id, CASE WHEN doc_id % 7 > 1 THEN sha256(text) END AS digest, count(*) AS n, CASE WHEN doc_id % 7 < 2 THEN 'not a record of this schema' END AS error FROM documents GROUP BY ALL""")
+def src_errors(spark, d):
+    """Every seventh line is cut off, every seventh has text for a number."""
+    record = F.to_json(F.struct("doc_id", "text"))
+    spoilt = F.when(F.col("doc_id") % 7 == 0, F.expr("left(line, length(line) - 3)")).when(F.col("doc_id") % 7 == 1, F.replace("line", F.lit('{"doc_id":'), F.lit('{"doc_id":"x",'[:-1] + ',"was":'))).otherwise(F.col("line"))
+    folder = shared_folder(spark)
+    read(spark, d, "documents").select("doc_id", record.alias("line")).select(spoilt.alias("value")).write.text(folder)
+    rows = S.read_records(spark, folder, "doc_id long, text string")
+    return rows.groupBy("doc_id", F.sha2("text", 256).alias("digest"), "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT item_id::VARCHAR AS id, CASE item_id % 2 WHEN 0 THEN 'policy' ELSE 'benign' END AS kind, text AS prompt, 1 AS n_required FROM benchmark")
 def src_prompt_matrix(spark, d):
     case = F.struct(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 2 == 0, "policy").otherwise("benign").alias("kind"), F.col("text").alias("prompt"), F.lit(None).cast("string").alias("expected"), F.array(F.lit("[a-z]")).alias("required_regex"))

@@ -296,6 +296,11 @@ def calibrate(spark, d):
     return _calibration(spark, d)
 
 
+@query(f"WITH {_MATCHES} SELECT lang, idx, count(*) AS n, avg(m::INT) AS rate FROM matches WHERE label = 'baseline' GROUP BY lang, idx")
+def baseline_rates(spark, d):
+    return A.signal_rates(_matches(spark, d).where("label = 'baseline'"), M.signal_frame(spark, SIGNALS), ["lang"])
+
+
 _TAIL = f"round(least(1.0, list_sum(list_transform(range(k, n + 1), lambda i: exp({_LF('n')} - {_LF('i')} - {_LF('(n - i)')} + i * ln(p) + (n - i) * ln(1 - p))))), 7)"
 
 

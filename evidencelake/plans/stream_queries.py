@@ -49,7 +49,7 @@ def stream_revisions(spark, d):
     return totals.withColumn("labels", labels)
 
 
-@query(f"WITH {_COMPARE_LANG} SELECT lang, idx, a, b, c, d, round(p, 7) AS fisher_p, round(adjusted_p, 6) AS adjusted_p FROM ({_holm('fp', 'lang', 'p')})")
+@query(f"WITH {_COMPARE_LANG} SELECT lang, idx, a, b, c, d, round(p, 7) AS fisher_p, round(adjusted_p, 6) AS adjusted_p FROM ({_holm('(SELECT * FROM fp WHERE p IS NOT NULL)', 'lang', 'p')}) UNION ALL SELECT lang, idx, a, b, c, d, NULL, NULL FROM fp WHERE p IS NULL")
 def stream_families(spark, d):
     """compare_rates() by language over documents that come as a stream."""
     marks = read(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "baseline").otherwise("candidate").alias("label"))

@@ -196,6 +196,12 @@ def coverage(spark, d):
     return V.coverage(rows, _profiles(spark), ["p_partkey"])
 
 
+@query()
+def coverage_best(spark, d):
+    rows = coverage(spark, d).withColumn("page", F.col("p_partkey") % 50)
+    return V.best_instances(rows, ["page"], "p_partkey", "p_partkey")
+
+
 @query("""SELECT o_custkey, bool_or(a AND coalesce(nxt, false)) AS stable, count(*) FILTER (a) AS n_agree FROM (SELECT *, lead(a) OVER (PARTITION BY o_custkey ORDER BY step) AS nxt FROM
     (SELECT o_custkey, step, e / greatest(abs(f), abs(an), 1e-12) <= 0.05 OR e < 1e-4 AS a FROM (SELECT *, abs(f - an) AS e FROM (SELECT o_custkey, o_orderkey::DOUBLE + 1 AS step, o_totalprice / 1000 AS an, (o_totalprice * (o_orderkey + 1) * (0.002 + (o_orderkey % 3) * 0.0001)) / (2 * (o_orderkey + 1)) AS f FROM orders)))) GROUP BY o_custkey""")
 def step_agreement(spark, d):

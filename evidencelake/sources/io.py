@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.textsem import trim_ws
 
@@ -54,6 +55,35 @@ def id_list(rows: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "id").agg(F.min("at").cast("long").alias("first_at"), F.count(F.lit(1)).alias("times"))
 
 
+def id_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n_ids, n_duplicates, n_blank: distinct ids of a list, how many of them occur again, and its blank lines."""
+    lines = F.transform(F.split(text, r"\r?\n"), trim_ws)
+    each = rows.select(key, F.explode(lines).alias("id")).groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(key).agg(F.count_if(F.col("id") != "").alias("n_ids"), F.count_if((F.col("id") != "") & (F.col("n") > 1)).alias("n_duplicates"), F.coalesce(F.sum(F.when(F.col("id") == "", F.col("n"))), F.lit(0)).alias("n_blank"))
+
+
+#: What a line that is no record of the schema says.
+NOT_A_RECORD = "not a record of this schema"
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of schema, raw and error, for every line that is not blank of JSONL files.
+
+    A line that is no JSON object, or holds a value of another type, gives a row with its text in raw, an error and
+    null columns, and the job goes on; raw and error are null for the others.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.select("value", parsed.alias("r")).withColumn("bad", F.col("r").isNull() | F.col("r._bad").isNotNull())
+    names = StructType.fromDDL(schema).fieldNames()
+    return rows.select(*(F.when(~F.col("bad"), F.col("r")[c]).alias(c) for c in names), F.when(F.col("bad"), F.col("value")).alias("raw"), F.when(F.col("bad"), F.lit(NOT_A_RECORD)).alias("error"))
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """n_records, n_errors of read_records()."""
+    return records.agg(F.count_if(F.col("error").isNull()).alias("n_records"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """(id, kind, prompt, expected, required_regex) from a JSON array."""
     return spark.read.schema("id string, kind string, prompt string, expected string, required_regex array<string>").json(path, multiLine=True)

@@ -1,5 +1,6 @@
 """Literal cases of the library's own operators."""
 
+import csv
 import itertools
 import math
 import random
@@ -14,7 +15,7 @@ from evidencelake.functions.edits import edit_distance
 from evidencelake.functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
 from evidencelake.functions.textsem import mul32, norm_ws
 from evidencelake.operators import assign, classify, grid, perturb, scoring, signals, textops, validate
-from evidencelake.sources import io
+from evidencelake.sources import evidence_csv, io
 
 
 def one(spark, column):
@@ -502,6 +503,73 @@ def test_bands(spark):
     assert sorted((r.top, r.bottom) for r in validate.claim_band(bands, claims, "page").collect()) == [(0.0, 16.0), (48.0, 56.0), (68.0, 100.0)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_spans_in_many_parts(spark, parts):
+    r = random.Random(parts)
+    spans = [(k, a := r.randint(-3, 400), a + r.randint(-2, 12)) for k in ("x", "y", None) for _ in range({"x": 120, "y": 9}.get(k, 3))] + [("x", 5, 5), ("z", 9, 3), ("y", 0, 1000)]
+    texts = [("x", "".join(r.choice("abc") for _ in range(410))), ("y", "d" * 300), ("w", "plain"), ("v", "")]
+    frame = spark.createDataFrame([(*s, 410) for s in spans], "k string, start int, end int, most int").repartition(3)
+    want = {}
+    for key in {s[0] for s in spans}:
+        covered = sorted({p for k, a, b in spans if k == key for p in range(max(a, 0), min(b, 410))})
+        ends = sorted({(max(a, 0), min(b, 410)) for k, a, b in spans if k == key and max(a, 0) < min(b, 410)})
+        islands = []
+        for a, b in ends:
+            if islands and a <= islands[-1][1]:
+                islands[-1][1] = max(islands[-1][1], b)
+            else:
+                islands.append([a, b])
+        want[key] = islands
+        assert sum(b - a for a, b in islands) == len(covered)
+    merged = signals.merge_spans(frame, "k", "most", parts)
+    assert sorted(((x.k or "", x.start, x.end) for x in merged.collect())) == sorted((k or "", a, b) for k, v in want.items() for a, b in v)
+    pieces = {}
+    for x in signals.segments(spark.createDataFrame(texts, "k string, text string"), merged, "k", parts=parts).orderBy("start").collect():
+        pieces.setdefault(x.k, []).append(x)
+    assert {k: "".join(x.text for x in v) for k, v in pieces.items()} == {k: t for k, t in texts if t}
+    assert [(x.start, x.start + len(x.text)) for x in pieces["x"] if x.highlighted] == [tuple(x) for x in want["x"]]
+
+
+def test_best_instance_is_the_first_of_the_greatest_tier(spark):
+    rows = spark.createDataFrame([(1, "p", 10, 0, 1), (1, "p", 11, 1, 2), (1, "p", 12, 2, 2), (1, "q", 10, 0, 0), (1, "q", 11, 1, 0)], "page int, profile string, inst int, ord int, tier int")
+    assert {(r.profile, r.tier, r.best) for r in validate.best_instances(rows, ["page"], "inst", "ord").collect()} == {("p", 2, 11), ("q", 0, 10)}
+
+
+def test_records_that_are_none(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": \n\n[]\n{"id": "x", "t": "b"}\n{"t": "c", "more": 1}\nnonsense\n')
+    rows = io.read_records(spark, str(tmp_path), "id long, t string").collect()
+    assert sorted((r.id, r.t) for r in rows if r.error is None and r.id) == [(1, "a")] and sum(r.error is None for r in rows) == 2
+    assert {r.raw for r in rows if r.error} == {'{"id": 2, "t": ', "[]", '{"id": "x", "t": "b"}', "nonsense"} and all(r.id is None for r in rows if r.error)
+    assert tuple(io.record_counts(io.read_records(spark, str(tmp_path), "id long, t string")).first()) == (2, 4)
+
+
+def test_id_counts(spark):
+    rows = spark.createDataFrame([(1, " a \r\n\nb\na\n \n"), (2, "")], "k int, text string")
+    assert {tuple(r) for r in io.id_counts(rows, "k", "text").collect()} == {(1, 2, 1, 3), (2, 0, 0, 1)}
+
+
+def test_csv_files_are_whole_or_none(spark, tmp_path):
+    evidence_csv.register(spark)
+    rows = spark.createDataFrame([(1, 'say "hi"', True), (2, "a,b", False), (3, "two\r\nlines", None), (4, None, True)], "id int, t string, ok boolean").repartition(2, "id")
+    out = tmp_path / "out"
+    write = lambda df, mode: df.write.format("evidence_csv").mode(mode).save(str(out))
+    write(rows, "append")
+    files = sorted(out.glob("*.csv"))
+    text = b"".join(f.read_bytes() for f in files).decode()
+    assert all(f.read_bytes().startswith(b"id,t,ok\r\n") for f in files) and not (out / "_temporary").exists()
+    with files[0].open(newline="") as f:
+        assert next(csv.reader(f)) == ["id", "t", "ok"]
+    got = [r for f in files for r in list(csv.reader(f.open(newline="")))[1:]]
+    assert sorted(got) == [["1", 'say "hi"', "true"], ["2", "a,b", "false"], ["3", "two\r\nlines", ""], ["4", "", "true"]]
+    assert text.count("\r\n") == len(files) + 4 + 1
+    failing = rows.withColumn("t", F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="lost"):
+        write(failing, "overwrite")
+    assert sorted(out.glob("**/*.csv")) == files
+    write(rows.where("id = 1"), "overwrite")
+    assert sum(len(list(csv.reader(f.open(newline="")))) - 1 for f in out.glob("*.csv")) == 1
+
+
 def test_view_scale_patch_budget(spark):
     p = {"max_long_edge_px": F.lit(2576), "short_edge_target_px": F.lit(None).cast("int"), "max_pixels": F.lit(None).cast("long"), "patch_px": F.lit(28), "max_visual_tokens": F.lit(4784)}
 
