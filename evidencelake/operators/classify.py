@@ -62,7 +62,11 @@ DISCLOSE = (
     r"(?i)\b(quote|reveal|disclose|mention|state|repeat|copy|admit|confirm)\b[^.\n]{0,60}"
     r"\b(this (hidden )?instruction|this prompt|these instructions|you were instructed)\b"
 )
-NOT_DISCLOSE = r"(?i)\b(do not|don't|never|without)\b[^.\n]{0,40}" + DISCLOSE.removeprefix("(?i)")
+NOT_DISCLOSE = (
+    r"(?i)\b(do not|don't|never|without)\b[^.\n]{0,40}"
+    r"\b(quote|reveal|disclose|mention|state|repeat|copy|admit|confirm)\b[^.\n]{0,60}"
+    r"\b(this (hidden )?instruction|this prompt|these instructions|you were instructed)\b"
+)
 JAILBREAK = (
     r"(?i)\b(ignore (all |any |the |your |previous )*(instructions|rules|guidelines)|disregard (your |all |the )*(guidelines|instructions|training|rules)|"
     r"you are now (unrestricted|free|DAN)|jailbreak|DAN mode|pretend you have no restrictions|bypass (your |the )*(safety|content) (filter|policy|guidelines))\b"

@@ -70,11 +70,12 @@ def gate(cells: DataFrame, by: list[str], rate: str = "all_rate", disclosure: st
 
 #: The texts of a gate report.
 NO_DELTA = "No provider/condition pair produced a comparable delta against the original condition in this run."
-LARGEST, VERSUS, ABOVE, BELOW, THRESHOLD = "The largest observed delta in this run was %.1f percentage points (", " vs. original), ", "at or above", "below", " the 50pp smoke-test threshold."
+AT_OR_ABOVE = "The largest observed delta in this run was %.1f percentage points (%s, %s vs. original), at or above the 50pp smoke-test threshold."
+BELOW = "The largest observed delta in this run was %.1f percentage points (%s, %s vs. original), below the 50pp smoke-test threshold."
 
 
 def gate_text(delta: Column, provider: Column, condition: Column, passed: Column) -> Column:
-    said = F.concat(F.format_string(LARGEST, delta), provider, F.lit(", "), condition, F.lit(VERSUS), F.when(passed, ABOVE).otherwise(BELOW), F.lit(THRESHOLD))
+    said = F.when(passed, F.format_string(AT_OR_ABOVE, delta, provider, condition)).otherwise(F.format_string(BELOW, delta, provider, condition))
     return F.when(delta.isNull(), NO_DELTA).otherwise(said)
 
 

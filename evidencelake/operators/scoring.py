@@ -116,7 +116,7 @@ ALL_MATCHED, SOME_MATCHED, NONE_MATCHED = "Hidden instruction signal matched", "
 NO_SIGNALS = "No expected signals are configured for this job, so no evidence could be evaluated."
 MATCHED = "%d of %d configured deterministic evidence signal(s) matched in this submission's text."
 NO_BASELINE = "No baseline submissions have been recorded for this job yet, so no false-positive rate is available — treat this result as unvalidated."
-BASED_ON, RATE_OF, OBSERVED = "Based on ", " baseline submission(s), a false-positive rate of ", '% was observed for "all signals matched"; this is evidence, never a verdict.'
+VALIDATED = 'Based on %d baseline submission(s), a false-positive rate of %s%% was observed for "all signals matched"; this is evidence, never a verdict.'
 
 
 def interpretation(matched, total, baseline_count, rate) -> dict:
@@ -124,7 +124,7 @@ def interpretation(matched, total, baseline_count, rate) -> dict:
     headline = F.when((total > 0) & (matched == total), ALL_MATCHED).when(matched > 0, SOME_MATCHED).otherwise(NONE_MATCHED)
     text = F.when(total == 0, NO_SIGNALS).otherwise(F.format_string(MATCHED, matched, total))
     share = F.coalesce(F.format_string("%.1f", rate * 100), F.lit("n/a"))
-    known = F.concat(F.lit(BASED_ON), baseline_count.cast("string"), F.lit(RATE_OF), share, F.lit(OBSERVED))
+    known = F.format_string(VALIDATED, baseline_count, share)
     uncertainty = F.when(F.coalesce(baseline_count, F.lit(0)) == 0, NO_BASELINE).otherwise(known)
     return {"headline": headline, "text": text, "uncertainty": uncertainty}
 

@@ -479,9 +479,9 @@ def notice_outcome(matched: Column, total: Column) -> Column:
 
 #: Words too common to carry a signal.
 STOP_WORDS = (
-    "a an and are as at be before but by do for from have he her his in is it its not of on or please she should that the "
-    "their them then there they this to up use using was we were with you your"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "before", "but", "by", "do", "for", "from", "have", "he", "her", "his", "in", "is", "it", "its", "not",
+    "of", "on", "or", "please", "she", "should", "that", "the", "their", "them", "then", "there", "they", "this", "to", "up", "use", "using", "was", "we", "were", "with", "you", "your",
+)
 
 
 def salient_terms(text: Column, most: int = 4) -> Column:
