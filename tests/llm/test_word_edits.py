@@ -102,37 +102,50 @@ def test_very_long_lines_are_compared_by_characters(spark):
     assert [x.s for x in frame.select("i", line_dedup.similar("na", "nb", 0.8).alias("s")).orderBy("i").collect()] == [True, False, True, False]
 
 
-def test_blocks_are_simhashes_of_classes(spark):
+def test_blocks_are_simhashes_of_runs(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
-    lines = [[word() for _ in range(n)] for n in (12, 17, 28, 33, 60, 95, 450)] + [["ab"] * 900 + [word() for _ in range(9)]]
+    lines = [[word() for _ in range(n)] for n in (1, 2, 3, 5, 18, 24, 25, 60, 450)] + [["ab"] * 40]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    want, sizes = set(), set()
-    for i, every in enumerate(lines):
-        every = list(dict.fromkeys(every))
-        ws = [w for w in every if len(w) >= 4]
-        ws = ws if len(ws) >= 10 else every
-        h, n = {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in ws}, len(ws)
-        sizes.add(n)
-        blocks = []
-        if n <= 27:
-            mod = {w: signed(v) % 6 for w, v in h.items()}
-            blocks += [(6 * x + y, [w for w in ws if mod[w] in (x, y)]) for x in range(6) for y in range(x + 1, 6)]
-        if n >= 20:
-            base = 8
-            while n > 8 * base:
-                base *= 2
-            near = [2 * base] if 10 * n > 72 * base else [base // 2] if base > 8 and 100 * n < 444 * base else []
-            # lines of 20 to 27 features have pairs instead of the other side's blocks
-            blocks += [(b * 16 + c, [w for w in ws if (h[w] >> 8) % b == c]) for b in [base, *(near if n > 27 else [])] for c in range(min(b, 8))]
-        for k, members in blocks:
-            if len(members) >= 3 and sum(map(len, members)) >= 16:
-                want.add((i, k, sum(1 << b for b in range(63) if 2 * sum(h[w] >> b & 1 for w in members) > len(members))))
-    assert min(sizes) < 20 and any(20 <= n <= 27 for n in sizes) and max(sizes) > 255
+    runs = []
+    for i, ws in enumerate(lines):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+        for k in (3, 2):
+            for j in range(len(ws) - k + 1):
+                if k == 3 or (len(ws) <= 24 and len(" ".join(ws[j : j + 2])) > 10):
+                    bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[j : j + k]) > k)
+                    padded = f" {' '.join(ws)} "
+                    runs.append((i, k, signed(bits), len(ws) - 2, padded.index(f" {' '.join(ws[j : j + k])} ") + 1))
+    frame = spark.createDataFrame(runs, "i long, k int, bits long, n int, at int").select("i", "k", "n", "at", F.xxhash64("k", "bits").alias("b"))
+    want = {(x.i, x.b, x.at) for x in frame.collect() if x.k == 2 or x.n <= 16 or ((x.b % (1 << 64)) >> 1) < (1 << 63) * 16 / x.n}
+    assert 500 > sum(x.k == 3 and x.i == 8 for x in frame.collect()) > 8 * sum(i == 8 for i, _, _ in want) > 0
     frame = spark.createDataFrame([(i, len(" ".join(w)), len(w), " ".join(w)) for i, w in enumerate(lines)], "id long, size int, words int, norm string")
-    got = {(x.id, x.bucket) for x in line_dedup.blocks(frame).collect()}
-    keys = spark.createDataFrame(list(want), "id long, k int, bits long").select("id", F.xxhash64("bits", "k").alias("b")).collect()
-    assert {(x.id, x.b) for x in keys} == got
+    assert {(x.id, x.bucket, x.at) for x in line_dedup.blocks(frame).collect()} == want
+
+
+def test_recall_of_words_and_characters(spark):
+    """Of lines of 8, 20, 40 and 120 words with words or characters changed, nine of ten similar pairs end in one group."""
+    r = random.Random(5)
+    letter = lambda: r.choice("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(letter() for _ in range(r.randint(2, 9)))
+    pairs = []
+    for n in (8, 20, 40, 120):
+        for of_words, rate in ((True, 0.08), (True, 0.16), (False, 0.03), (False, 0.1)):
+            for _ in range(25):
+                a = [word() for _ in range(n)]
+                x, b = " ".join(a), a[:] if of_words else list(" ".join(a))
+                for at in r.sample([i for i, c in enumerate(b) if c != " "], max(1, round(rate * len(b)))):
+                    b[at] = word() if of_words else letter()
+                y = " ".join(b) if of_words else "".join(b)
+                if brute.distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+                    pairs.append((of_words, x, y))
+    docs = [(i, text) for k, (_, *pair) in enumerate(pairs) for i, text in zip((k, 1000 + k), pair, strict=True)]
+    gone = {x.doc_id for x in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert all(i >= 1000 for i in gone)
+    for of_words in (True, False):
+        of_kind = {1000 + k for k, p in enumerate(pairs) if p[0] == of_words}
+        print("recall", "words" if of_words else "characters", len(of_kind & gone) / len(of_kind))
+        assert len(of_kind & gone) >= 0.9 * len(of_kind)
 
 
 def test_words_made_to_collide_share_no_window(spark):
