@@ -113,7 +113,8 @@ def test_blocks_are_simhashes_of_runs(spark):
         for k in (3, 2):
             for j in range(len(ws) - k + 1):
                 if k == 3 or (len(ws) <= 24 and len(" ".join(ws[j : j + 2])) > 10):
-                    bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[j : j + k]) > k)
+                    turned = [(x << 21 * t | x >> (64 - 21 * t)) % (1 << 64) for t, x in enumerate(h[j : j + k])]
+                    bits = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in turned) > k)
                     padded = f" {' '.join(ws)} "
                     runs.append((i, k, signed(bits), len(ws) - 2, padded.index(f" {' '.join(ws[j : j + k])} ") + 1))
     frame = spark.createDataFrame(runs, "i long, k int, bits long, n int, at int").select("i", "k", "n", "at", F.xxhash64("k", "bits").alias("b"))
