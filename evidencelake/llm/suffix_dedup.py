@@ -24,8 +24,8 @@ are joined, so that Spark can split a skewed key of the join.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` stay whole; matches never
 cross rows; rows that repeat a doc_id and text count as one document, other rows of one doc_id are
-ordered by a hash of their text; rows without a doc_id neither remove nor lose bytes; an empty table
-gives an empty result.
+ordered by a hash of their text; a row without a doc_id loses what starts earlier in itself, and neither
+loses nor removes bytes for another row's sake; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -308,6 +308,31 @@ def repeats(docs: DataFrame, length: int, scratch: Scratch, cell_phrases: int =
     return out
 
 
+def own_repeats(rows: DataFrame, length: int) -> DataFrame:
+    """rows with (cut_from, cut_to): byte spans covered by strings that also start earlier in the same row."""
+
+    def cuts(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        text = Bytes(row.column("text"))
+        begin, last, trigger = text.phrases(length)
+        _, gram, c = np.unique(text.first(trigger, trigger + WIDTH), return_inverse=True, return_counts=True)
+        begin, last = begin[c[gram] > 1], last[c[gram] > 1]  # of other grams no string comes again
+        if not len(begin):
+            return (np.zeros(0, np.int32),) * 2
+        view = memoryview(np.ascontiguousarray(text.data))
+        data = pa.array([view[a:b] for a, b in zip(begin.tolist(), (last + length).tolist(), strict=True)], pa.binary())
+        text, phrase, at, first = classes(pa.table({"data": data, "n": last - begin + 1}), length)
+        starts = (begin[phrase] + at - text.offsets[phrase])[~first]
+        return merged(starts.astype(np.int32), (starts + length).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [cuts(batch.slice(i, 1)) for i in range(len(batch))]
+            two = [pa.array([x[i] for x in out], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*KEY, "text")), *two], names=[*KEY, "text", "cut_from", "cut_to"])
+
+    return rows.select(*KEY, "text").mapInArrow(run, "doc_id long, row_hash long, text string, cut_from array<int>, cut_to array<int>")
+
+
 def cut_bytes(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,8 +360,10 @@ def suffix_dedup(docs: DataFrame, length: int = 100, cell_phrases: int = 1 << 15
         raise ValueError(f"length must be over {WIDTH} bytes")
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = documents(docs, id_col, text_col)
-    cuts = repeats(rows.where("doc_id IS NOT NULL"), length, scratch, cell_phrases)
-    return cut_bytes(rows.join(cuts.hint("merge"), KEY, "left"))
+    known = rows.where("doc_id IS NOT NULL")
+    cuts = repeats(known, length, scratch, cell_phrases)
+    marked = known.join(cuts.hint("merge"), KEY, "left").select(*KEY, "text", "cut_from", "cut_to")
+    return cut_bytes(marked.union(own_repeats(rows.where("doc_id IS NULL"), length)))
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -272,6 +272,25 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffixes_of_rows_without_an_id(spark):
+    """A row without a doc_id loses what starts earlier in itself, and nothing for another row's sake."""
+    r = random.Random(9)
+    u, v = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (192, 5000))
+    texts = [u + u, u + u, v + "x" + v[100:3000] + "y" + v[:150], "ab" * 400, u, "", None, "é" * 90, v]
+    rows = spark.createDataFrame([(None, t) for t in texts] + [(5, u + u + "z")], "doc_id long, text string")
+    want = []
+    for t in texts:
+        data, seen, gone = (t or "").encode(), set(), set()
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone |= set(range(i, i + 100))
+            seen.add(data[i : i + 100])
+        want.append((len(data), len(gone), bytes(b for i, b in enumerate(data) if i not in gone)))
+    got = suffix_dedup.suffix_dedup(rows).collect()
+    assert sorted((x.n_bytes, x.n_removed, bytes(x.kept)) for x in got if x.doc_id is None) == sorted(want)
+    assert [x.n_removed for x in got if x.doc_id == 5] == [192]
+
+
 def test_suffixes_are_sorted():
     r = np.random.default_rng(6)
     data = np.r_[r.integers(97, 99, 400), np.full(150, 97), r.integers(97, 99, 50)].astype(np.uint8)
