@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 #: The white-space characters of ECMAScript's \s, as a class that Java and RE2 both read.
 WS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 WS_BODY = WS[1:-1]
+#: The same characters as one text.
+WS_CHARS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: WS for Java alone, which asks first for what most characters are not.
+WS_RARE = rf"[[\x00-\x20\x{{7F}}-\x{{10FFFF}}]&&{WS}]"
 #: ASCII word boundary, which Java's \b is not.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, f"^{WS_RARE}+|{WS_RARE}+$", "")
 
 
 def norm_ws(c: Column, lower: bool = False) -> Column:
     """White-space runs to one space, ends trimmed."""
-    out = F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    out = F.trim(F.regexp_replace(c, f"{WS_RARE}+", " "))
     return F.lower(out) if lower else out
 
 

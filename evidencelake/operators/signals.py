@@ -97,8 +97,17 @@ def checked_pattern(spark: SparkSession, pattern: str, flags: str) -> tuple[matc
 
 def label_pattern(term: str) -> str | None:
     """Whole-word pattern of a label in which spaces match any white space; None for a blank label."""
-    parts = [quoted(p) for p in term.split()]
-    return f"(?iu){EDGE}{f'{WS}+'.join(parts)}{EDGE}" if parts else None
+    parts = term.split()
+    if not parts:
+        return None
+    first, last = parts[0][0], parts[-1][-1]
+    # what the text must have next is looked at first, so that most places cost one comparison
+    return f"(?iu)(?={quoted(first)}){_edge(first, '(?<!', '(?<=')}{f'{WS}+'.join(map(quoted, parts))}{_edge(last, '(?!', '(?=')}"
+
+
+def _edge(c: str, apart: str, beside: str) -> str:
+    """The word boundary beside a character that is known: beyond it stands no word character (apart), or one (beside)."""
+    return f"{apart if c.isalnum() or c == '_' else beside}[A-Za-z0-9_])" if c.isascii() else EDGE
 
 
 def signal_frame(spark: SparkSession, signals: list[Signal], signal_set: str = "default") -> DataFrame:
@@ -120,24 +129,29 @@ def signal_frame(spark: SparkSession, signals: list[Signal], signal_set: str = "
     return spark.createDataFrame(rows, SCHEMA)
 
 
-#: Numbers that running_sums() adds up before it begins a new part of the result.
-PART = 256
+#: Numbers of a part of running_sums(), at least.
+PART = 16
 #: Characters that stand for a match; Unicode reserves both for no character. One in a text counts as the other.
 MARK, OTHER = "\ufdd0", "\ufdd1"
 NO_INTS = "array<int>"
 
 
 def running_sums(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers. Parts are built apart, as appending to one long array copies it each time."""
+    """Sums of the first 1, 2, ... numbers. Parts are summed apart and then raised by what lies before them, as appending to one
+    long array copies it each time; they grow with the cube root, so that neither parts nor their number make long copies."""
+    return _let(numbers, lambda x: _let(F.greatest(F.lit(PART), F.cbrt(F.size(x)).cast("int")), lambda size: _sums(x, size)))
+
+
+def _sums(numbers: Column, size: Column) -> Column:
     none = F.array().cast(NO_INTS)
+    run = lambda xs: F.aggregate(xs, none, lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x))
+    last = lambda p: F.get(p, F.size(p) - 1)
 
-    def part(acc: Column, b: Column) -> Column:
-        zero = F.struct(acc["sum"].alias("sum"), none.alias("out"))
-        one = F.aggregate(F.slice(numbers, b * PART + 1, PART), zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"] + x).alias("out")))
-        return F.transform(F.array(one), lambda o: F.struct(o["sum"].alias("sum"), F.array_append(acc["out"], o["out"]).alias("out")))[0]
+    def raised(x: Column) -> Column:
+        return F.flatten(F.transform(x["parts"], lambda p, i: F.when(i == 0, p).otherwise(_let(F.get(x["ends"], i - 1), lambda e: F.transform(p, lambda v: v + e)))))
 
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("out"))
-    every = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / PART).cast("int")), start, part, lambda acc: F.flatten(acc["out"]))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int")), lambda b: run(F.slice(numbers, b * size + 1, size)))
+    every = _let(parts, lambda ps: _let(F.struct(ps.alias("parts"), run(F.transform(ps, last)).alias("ends")), raised))
     return F.when(F.size(numbers) > 0, every).otherwise(none)
 
 
@@ -160,7 +174,7 @@ def positions(text: Column, needle: Column) -> Column:
 
 def pattern_positions(text: Column, pattern: Column) -> Column:
     """0-based code-point offsets of all matches of a Java pattern, empty ones included."""
-    safe = F.translate(text, MARK, OTHER)
+    safe = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
     pieces = F.split(F.regexp_replace(safe, pattern, F.lit(MARK)), MARK, -1)
     return _starts(pieces, F.transform(F.regexp_extract_all(safe, pattern, F.lit(0)), lambda m: F.length(m)))
 
@@ -176,7 +190,8 @@ def exact_match(text: Column, value: Column, case_sensitive: Column) -> Column:
     """The literal occurs, as it is or with white space collapsed on both sides."""
     t, v = (F.when(case_sensitive, c).otherwise(F.lower(c)) for c in (text, value))
     plain = F.contains(t, v)
-    return (F.length(value) > 0) & (F.length(text) > 0) & F.when(plain, True).otherwise((norm_ws(v) != "") & F.contains(norm_ws(t), norm_ws(v)))
+    # without white space in the value, white space in the text changes nothing
+    return (F.length(value) > 0) & (F.length(text) > 0) & F.when(plain, True).otherwise(F.rlike(v, F.lit(WS)) & (norm_ws(v) != "") & F.contains(norm_ws(t), norm_ws(v)))
 
 
 def exact_evidence(text: Column, value: Column, case_sensitive: Column) -> Column:
@@ -184,7 +199,7 @@ def exact_evidence(text: Column, value: Column, case_sensitive: Column) -> Colum
     t, v = (F.when(case_sensitive, c).otherwise(F.lower(c)) for c in (text, value))
     loose = lambda: F.transform(F.array(collapsed_positions(t, v)), lambda p: F.struct(p.alias("positions"), (F.size(p) > 0).alias("whitespace_normalized")))[0]
     none = F.struct(F.array().cast(NO_INTS).alias("positions"), F.lit(False).alias("whitespace_normalized"))
-    return F.when((F.length(value) == 0) | (F.length(text) == 0), none).when(F.contains(t, v), F.struct(positions(t, v).alias("positions"), F.lit(False).alias("whitespace_normalized"))).otherwise(loose())
+    return F.when((F.length(value) == 0) | (F.length(text) == 0), none).when(F.contains(t, v), F.struct(positions(t, v).alias("positions"), F.lit(False).alias("whitespace_normalized"))).when(~F.rlike(v, F.lit(WS)), none).otherwise(loose())
 
 
 def ordered_match(text: Column, terms: Column) -> Column:
@@ -206,21 +221,22 @@ def all_found(found: Column) -> Column:
 
 
 def heading_text(line: Column) -> Column:
-    """Heading in a line (`#`, numbered, ALL CAPS, trailing colon), null if there is none."""
+    """Heading in a line (`#`, numbered, ALL CAPS, trailing colon), null if there is none. A plain test comes before each
+    pattern, as most lines are prose."""
     t = trim_ws(line)
     md, num, colon = rf"^#{{1,6}}{WS}+(.+)$", rf"^[0-9]+[.)]{WS}+(.+)$", rf"^(.{{1,120}}):{WS}*$"
-    caps = F.length(t).between(1, 80) & F.rlike(t, F.lit("[A-Za-z]")) & (t == F.upper(t))
+    caps = (F.upper(line) == line) & F.length(t).between(1, 80) & F.rlike(t, F.lit("[A-Za-z]")) & (t == F.upper(t))
     out = (
-        F.when(F.rlike(line, F.lit(md)), trim_ws(F.regexp_extract(line, md, 1)))
-        .when(F.rlike(line, F.lit(num)), trim_ws(F.regexp_extract(line, num, 1)))
+        F.when(F.startswith(line, F.lit("#")) & F.rlike(line, F.lit(md)), trim_ws(F.regexp_extract(line, md, 1)))
+        .when(F.left(line, F.lit(1)).between("0", "9") & F.rlike(line, F.lit(num)), trim_ws(F.regexp_extract(line, num, 1)))
         .when(caps, t)
-        .when(F.rlike(line, F.lit(colon)), trim_ws(F.regexp_extract(line, colon, 1)))
+        .when(F.contains(line, F.lit(":")) & F.rlike(line, F.lit(colon)), trim_ws(F.regexp_extract(line, colon, 1)))
     )
-    return F.when(out != "", out)
+    return _let(out, lambda x: F.when(x != "", x))
 
 
-def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, "\r$", ""))
+def _unended(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit("\r")), F.regexp_replace(line, "\r$", "")).otherwise(line)
 
 
 def headings(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -231,13 +247,12 @@ def headings(texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def heading_list(text: Column) -> Column:
     """Array of (text, line_index, char_offset) of the headings of a text."""
-    lines = F.split(text, "\n")
 
     def placed(x: Column) -> Column:
-        heads = F.transform(x["ls"], lambda l, i: F.struct(heading_text(F.regexp_replace(l, "\r$", "")).alias("text"), i.alias("line_index"), F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1)).alias("char_offset")))
+        heads = F.transform(x["ls"], lambda l, i: F.struct(_let(_unended(l), heading_text).alias("text"), i.alias("line_index"), F.when(i == 0, 0).otherwise(F.get(x["ends"], i - 1)).alias("char_offset")))
         return F.filter(heads, lambda h: h["text"].isNotNull())
 
-    return F.transform(F.array(F.struct(lines.alias("ls"), running_sums(F.transform(lines, lambda l: F.length(l) + 1)).alias("ends"))), placed)[0]
+    return _let(F.split(text, "\n"), lambda lines: _let(F.struct(lines.alias("ls"), running_sums(F.transform(lines, lambda l: F.length(l) + 1)).alias("ends")), placed))
 
 
 def section_positions(heads: Column, names: Column) -> Column:
@@ -271,40 +286,56 @@ def arrow_matches(patterns: list[matching.Compiled], places: bool):
 EVIDENCE = "struct<positions: array<int>, whitespace_normalized: boolean, matched_term: string, headings: array<string>>"
 
 
-def _entry(s: Row, text: Column, heads: Column, found: Column | None, evidence: bool, bounded: bool) -> Column:
-    """The result of one signal on a text, with the signal's values as literals; found: what Arrow's matchers gave it."""
+def _once(s: Row, text: Column, heads: Column, found: Column | None, evidence: bool, bounded: bool) -> Column | None:
+    """What _entry() names several times of one signal on a text, to be worked out once; None if there is no such thing."""
+    terms = F.array(*map(F.lit, s["terms"] or [])).cast("array<string>")
+    if s["error"] is not None:
+        return None
+    if s["type"] == "ordered_terms":
+        return ordered_match(text, terms)
+    if s["type"] == "section_order":
+        return section_positions(heads, terms)
+    if evidence and s["type"] == "exact_phrase":
+        return exact_evidence(text, F.lit(s["value"] or ""), F.lit(bool(s["case_sensitive"])))
+    if evidence and s["type"] == "regex" and found is None:
+        fits, pattern = (F.length(text) <= MOST_CHARS if bounded else F.lit(True)), F.lit(s["patterns"][0])
+        return F.when(fits & F.rlike(text, pattern), pattern_positions(text, pattern))
+    if evidence and s["type"] == "methodology_label" and s["patterns"]:
+        return F.coalesce(*(F.when(F.rlike(text, F.lit(p)), F.lit(i)) for i, p in enumerate(s["patterns"])))
+    return None
+
+
+def _entry(s: Row, text: Column, heads: Column, found: Column | None, evidence: bool, bounded: bool, once: Column | None) -> Column:
+    """The result of one signal on a text, with the signal's values as literals; found: what Arrow's matchers gave it;
+    once: what _once() gave."""
     none, no = F.lit(None), F.lit(False)
     where, spaced, term, said = none.cast(NO_INTS), none.cast("boolean"), none.cast("string"), none.cast("array<string>")
-    value, case, terms = F.lit(s["value"] or ""), F.lit(bool(s["case_sensitive"])), F.array(*map(F.lit, s["terms"] or [])).cast("array<string>")
+    value, case = F.lit(s["value"] or ""), F.lit(bool(s["case_sensitive"]))
     error = F.lit(s["error"]).cast("string")
     if s["error"] is not None:
         matched = no
     elif s["type"] == "exact_phrase":
-        matched, found = exact_match(text, value, case), exact_evidence(text, value, case)
-        where, spaced = found["positions"], found["whitespace_normalized"]
+        matched = exact_match(text, value, case)
+        if evidence:
+            where, spaced = once["positions"], once["whitespace_normalized"]
     elif s["type"] == "regex":
         long = F.length(text) > MOST_CHARS if bounded else no
         pattern = F.lit(s["patterns"][0])
         error = F.when(long, F.lit(f"Text exceeds {MOST_CHARS} characters."))
         if found is None and evidence:
-            where = F.when(~long & F.rlike(text, pattern), pattern_positions(text, pattern))
-            matched = where.isNotNull()
+            where, matched = once, once.isNotNull()
         elif found is None:
             matched = ~long & F.rlike(text, pattern)
         else:
             matched, where, error = ~long & found["matched"], F.when(~long, found["positions"]), F.coalesce(error, found["error"])
     elif s["type"] == "methodology_label":
-        labels = [(t, F.lit(p)) for t, p in zip(s["terms"], s["patterns"], strict=True)]
-        matched = functools.reduce(lambda a, b: a | b, [F.rlike(text, p) for _, p in labels], no)
-        for t, p in reversed(labels):
-            where = F.when(F.rlike(text, p), pattern_positions(text, p)).otherwise(where)
-            term = F.when(F.rlike(text, p), F.lit(t)).otherwise(term)
+        matched = functools.reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in s["patterns"]], no) if once is None else once.isNotNull()
+        for i, (t, p) in enumerate(zip(s["terms"], s["patterns"], strict=True)) if once is not None else ():
+            where, term = F.when(once == i, pattern_positions(text, F.lit(p))).otherwise(where), F.when(once == i, F.lit(t)).otherwise(term)
     elif s["type"] == "ordered_terms":
-        where = ordered_match(text, terms)
-        matched = all_found(where)
+        where, matched = once, all_found(once)
     elif s["type"] == "section_order":
-        where, said = section_positions(heads, terms), F.transform(heads, lambda h: h["text"])
-        matched = all_found(where)
+        where, matched, said = once, all_found(once), F.transform(heads, lambda h: h["text"])
     else:
         matched = no
     out = [F.lit(s["signal_set"]).alias("signal_set"), F.lit(s["idx"]).alias("idx"), F.lit(s["type"]).alias("type"), F.coalesce(matched, no).alias("matched"), error.alias("error")]
@@ -333,7 +364,10 @@ def match_signals(texts: DataFrame, signals: DataFrame, keys: list[str], text_co
     if arrow:
         texts = texts.withColumn("_found", arrow_matches([matching.Compiled(s["form"], s["patterns"][0]) for s in arrow], evidence)(F.when(F.length("_text") <= MOST_CHARS, F.col("_text")).otherwise("") if bounded else F.col("_text")))
     found = {(s["signal_set"], s["idx"]): F.col("_found")[i] for i, s in enumerate(arrow)}
-    entries = F.array(*(_entry(s, F.col("_text"), F.col("_heads"), found.get((s["signal_set"], s["idx"])), evidence, bounded) for s in rows))
+    seen = [(s, F.col("_text"), F.col("_heads"), found.get((s["signal_set"], s["idx"])), evidence, bounded) for s in rows]
+    once = {f"_once{i}": c for i, x in enumerate(seen) if (c := _once(*x)) is not None}
+    texts = texts.withColumns(once) if once else texts
+    entries = F.array(*(_entry(*x, F.col(f"_once{i}") if f"_once{i}" in once else None) for i, x in enumerate(seen)))
     if not rows:
         return texts.where("false").select(*keys, *(F.lit(None).cast(t).alias(c) for c, t in [("signal_set", "string"), ("idx", "int"), ("type", "string"), ("matched", "boolean"), ("error", "string")]))
     return texts.select(*keys, F.inline(entries))
