@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as X
 from ..functions.order import small
-from ..functions.scratch import spread
+from ..functions.scratch import spread, written
 from ..functions.textsem import WS, norm_ws
 from ..operators import scoring as A
 from ..operators import signals as M
@@ -79,8 +79,13 @@ def _scores(spark, d):
     return A.score_groups(_matches(spark, d), ["doc_id", "label", "lang"])
 
 
-def _calibration(spark, d):
-    return A.calibrate(_scores(spark, d).where("label = 'baseline'"), ["lang"])
+def _written_scores(spark, d):
+    """Scores that calibration and what follows it both read: texts are matched once."""
+    return written(_scores(spark, d), "scores")
+
+
+def _calibration(scores):
+    return A.calibrate(scores.where("label = 'baseline'"), ["lang"])
 
 
 @query("SELECT doc_id, len(string_split(text, 'the')) - 1 AS n, CASE WHEN contains(text, 'the') THEN instr(text, 'the') - 1 END AS first_at FROM documents")
@@ -293,7 +298,7 @@ def score_groups(spark, d):
 
 @query(f"WITH {_MATCHES} SELECT lang, baseline_count, combined_mean, all_matched, false_positive_rate FROM calib")
 def calibrate(spark, d):
-    return _calibration(spark, d)
+    return _calibration(_scores(spark, d))
 
 
 @query(f"WITH {_MATCHES} SELECT lang, idx, count(*) AS n, avg(m::INT) AS rate FROM matches WHERE label = 'baseline' GROUP BY lang, idx")
@@ -314,7 +319,8 @@ def binom_tail(spark, d):
 @query(f"""WITH {_MATCHES} SELECT doc_id, CASE WHEN matched_count < total THEN 1.0 ELSE false_positive_rate END AS p_value, CASE WHEN baseline_count IS NULL THEN 'insufficient_baseline' ELSE 'binomial_vs_baseline' END AS method
     FROM scores LEFT JOIN calib USING (lang) WHERE label = 'candidate'""")
 def evaluate(spark, d):
-    return A.evaluate(_scores(spark, d).where("label = 'candidate'"), _calibration(spark, d), ["lang"]).select("doc_id", "p_value", "method")
+    scores = _written_scores(spark, d)
+    return A.evaluate(scores.where("label = 'candidate'"), _calibration(scores), ["lang"]).select("doc_id", "p_value", "method")
 
 
 _CELLS = """cells AS (SELECT l_suppkey AS idx, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS b,
@@ -378,7 +384,8 @@ def list_summary(spark, d):
     'Based on ' || baseline_count || ' baseline submission(s), a false-positive rate of ' || printf('%.1f', false_positive_rate * 100) || '% was observed for "all signals matched"; this is evidence, never a verdict.' AS uncertainty
     FROM scores JOIN calib USING (lang)""")
 def interpret(spark, d):
-    rows = _scores(spark, d).join(small(_calibration(spark, d)), "lang")
+    scores = _written_scores(spark, d)
+    rows = scores.join(small(_calibration(scores)), "lang")
     said = A.interpretation(*(F.col(c) for c in ("matched_count", "total", "baseline_count", "false_positive_rate")))
     return rows.select("doc_id", *(v.alias(k) for k, v in said.items()))
 
