@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scratch import spread
+from ..functions.scratch import shared_folder, written
 from ..functions.textsem import WS
 from ..operators import perturb as T
 from ..operators import signals as M
 from ..sources import io as S
-from ..functions.scratch import shared_folder
 from .registry import query, read
-from .signal_queries import _MATCHES, SIGNALS, _matches, labelled
+from .signal_queries import _MATCHES, SIGNALS, _matches, documents, labelled
 
 _TRIM = lambda c: f"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
 _SENT = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')"
@@ -26,7 +25,8 @@ def sentences(spark, d):
 @query()
 def human_edit(spark, d):
     edited = T.human_edit(F.col("text"), F.col("doc_id").cast("string"), F.array(F.lit("the"), F.lit("of")))
-    return read(spark, d, "documents").select("doc_id", F.sha2(edited, 256).alias("digest"), F.length(edited).alias("n"))
+    rows = documents(spark, d).select("doc_id", edited.alias("edited"))
+    return rows.select("doc_id", F.sha2("edited", 256).alias("digest"), F.length("edited").alias("n"))
 
 
 _WORDS = "regexp_extract_all(text, '\\p{L}[\\p{L}''-]*|[^\\p{L}]+')"
@@ -51,7 +51,7 @@ def clause_swap(spark, d):
 
 @query()
 def paraphrase(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.sha2(T.paraphrase(F.col("text"), F.col("doc_id").cast("string")), 256).alias("digest"))
+    return documents(spark, d).select("doc_id", F.sha2(T.paraphrase(F.col("text"), F.col("doc_id").cast("string")), 256).alias("digest"))
 
 
 def _survival(spark, d):
@@ -85,13 +85,13 @@ def title_words(text: str, seed: str) -> str:
 @query()
 def transform_grid(spark, d):
     protected = F.array().cast("array<string>")
-    grid = T.transform_grid(read(spark, d, "documents"), {"human_edit": lambda t, s: T.human_edit(t, s, protected), "paraphrase": T.paraphrase, "plugged": T.python_transform(title_words, seeded=False), "translate": None}, 3, "doc_id")
+    grid = T.transform_grid(documents(spark, d), {"human_edit": lambda t, s: T.human_edit(t, s, protected), "paraphrase": T.paraphrase, "plugged": T.python_transform(title_words, seeded=False), "translate": None}, 3, "doc_id")
     return grid.select("doc_id", "transform", "repeat", "available", F.sha2("text", 256).alias("digest"), "error")
 
 
 @query()
 def error_rates(spark, d):
-    rows = spread(read(spark, d, "documents")).select("doc_id", "text", F.regexp_replace("text", "th|de ", "").alias("read"))
+    rows = documents(spark, d).select("doc_id", "text", F.regexp_replace("text", "th|de ", "").alias("read"))
     return T.error_rates(rows, ["doc_id"], "text", "read")
 
 
@@ -99,7 +99,7 @@ def error_rates(spark, d):
     SELECT lang, string_agg(t, '; ' ORDER BY transform) AS text FROM u GROUP BY lang""")
 def survival_text(spark, d):
     rows = _survival(spark, d).join(read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    rates = T.survival_rate(rows, ["lang", "transform"]).drop("samples")
+    rates = written(T.survival_rate(rows, ["lang", "transform"]).drop("samples"), "rates")
     none = rates.select("lang").distinct().select("lang", F.lit("translate").alias("transform"), F.lit(None).cast("double").alias("survival_rate"))
     return T.survival_text(rates.unionByName(none), "lang")
 
