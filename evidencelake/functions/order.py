@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Values that are looked at for each bound, and bytes of a table that is broadcast at most.
@@ -46,3 +46,17 @@ def tiny(table: DataFrame, most: int = 10_000) -> DataFrame:
     if table.limit(most + 1).count() > most:
         raise ValueError(f"a configuration table has more than {most} rows")
     return F.broadcast(table)
+
+
+#: Rows that one task sorts, about.
+PART_ROWS = 1 << 20
+
+
+def parts_for(n_rows: int, spark: SparkSession, part_rows: int = PART_ROWS) -> int:
+    """Parts of about part_rows rows; the session's shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // part_rows))
+
+
+def dealt(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """The rows by hash of the keys into this many parts. With the session's own number Spark deals them itself, and may split skewed keys."""
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import matching, phrases
 from ..functions.jsregex import LINEAR, NATIVE, TIMED, Unsupported, is_tame, java_pattern, linear_pattern, timed_pattern
-from ..functions.order import bounds_of, part_of
+from ..functions.order import bounds_of, dealt, part_of, parts_for, small
 from ..functions.phrases import PhraseIndex
 from ..functions.scratch import written
 from ..functions.textsem import EDGE, WS, norm_ws, quoted, trim_ws
@@ -556,16 +556,44 @@ def _carried(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     return rows.join(each.hint("merge"), rows[key].eqNullSafe(each["_k"]) & (rows["_part"] == each["_p"])).drop("_k", "_p")
 
 
+#: Spans of a key that one task puts in order; those of larger keys are many tasks' work.
+MOST_OF_KEY = 100_000
+#: Texts that one task sorts, about.
+TEXT_ROWS = 1 << 16
+
+
+def _by_size(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys with at most `most` rows, the others or None), of a written table."""
+    large = rows.groupBy(F.col(key).alias("_k")).count().where(F.col("count") > most).select("_k")
+    n = large.count()
+    if not n:
+        return rows, None
+    same, large = F.col(key).eqNullSafe(F.col("_k")), small(large)
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
 def merge_spans(spans: DataFrame, key: str, limit: str | None = None, parts: int | None = None) -> DataFrame:
     """(key, start, end): spans clamped to [0, limit], invalid ones dropped, overlapping or touching ones merged.
 
-    A scan in two passes over ranges of start, so that the spans of one key are many tasks' work: each part's reach is
-    carried to the parts behind it, then spans that begin beyond all reach open an island, and the parts' numbers of
-    islands are carried likewise.
+    Keys are dealt over parts of bounded size and scanned. Keys of over MOST_OF_KEY spans take a scan in two passes over ranges
+    of start, so that the spans of one key are many tasks' work: each part's reach is carried to the parts behind it, then spans that
+    begin beyond all reach open an island, and the parts' numbers of islands are carried likewise.
     """
     start = F.greatest(F.col("start"), F.lit(0))
     end = F.least(F.col("end"), F.col(limit)) if limit else F.col("end")
     rows = spans.select(key, start.alias("start"), end.alias("end")).where("start < end")
+    rows, large = _by_size(written(rows, "spans"), key, MOST_OF_KEY)
+    order = Window.partitionBy(key).orderBy("start", "end")
+    rows = dealt(rows, parts_for(rows.count(), rows.sparkSession), key)
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    rows = rows.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return merged if large is None else merged.union(_merge_large(large, key, parts))
+
+
+def _merge_large(rows: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """merge_spans() of checked spans, by ranges of start."""
     rows = written(rows.groupBy(key, "start").agg(F.max("end").alias("end")), "spans")
     rows = rows.withColumn("_part", part_of(F.col("start"), bounds_of(rows, "start", parts)))
     within = Window.partitionBy(key, "_part").orderBy("start")
@@ -578,16 +606,23 @@ def merge_spans(spans: DataFrame, key: str, limit: str | None = None, parts: int
 
 
 def segments(texts: DataFrame, merged: DataFrame, key: str, text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """(key, start, text, highlighted): the pieces of each text in and between its merged spans, which are put in order
-    within ranges of start, each range with the end of what lies before it."""
+    """(key, start, text, highlighted): the pieces of each text in and between its merged spans, which are put in order by key;
+    those of keys with over MOST_OF_KEY spans within ranges of start, each range with the end of what lies before it."""
     merged = written(merged.select(key, "start", "end"), "spans")
+    spark = merged.sparkSession
+    n_parts = max(parts_for(merged.count(), spark), parts_for(texts.count(), spark, TEXT_ROWS))
+    texts = dealt(texts, n_parts, key)
     n = texts.select(key, F.length(text_col).alias("n"))
-    rows = merged.withColumn("_part", part_of(F.col("start"), bounds_of(merged, "start", parts)))
-    within = Window.partitionBy(key, "_part").orderBy("start")
-    rows = _carried(rows, key, F.max("end"), "_reach").withColumn("prev", F.coalesce(F.lag("end").over(within), "_reach", F.lit(0)))
+    rows, large = _by_size(merged, key, MOST_OF_KEY)
+    rows = dealt(rows, n_parts, key).withColumn("prev", F.coalesce(F.lag("end").over(Window.partitionBy(key).orderBy("start")), F.lit(0)))
+    if large is not None:
+        large = large.withColumn("_part", part_of(F.col("start"), bounds_of(large, "start", parts)))
+        within = Window.partitionBy(key, "_part").orderBy("start")
+        large = _carried(large, key, F.max("end"), "_reach").withColumn("prev", F.coalesce(F.lag("end").over(within), "_reach", F.lit(0)))
+        rows = rows.unionByName(large.select(rows.columns))
     marked = rows.select(key, "start", "end", F.lit(True).alias("highlighted"))
     gaps = rows.select(key, F.col("prev").alias("start"), F.col("start").alias("end"), F.lit(False).alias("highlighted"))
     ends = merged.groupBy(key).agg(F.max("end").alias("start"))
     tail = n.join(ends.hint("merge"), key, "left").select(key, F.coalesce("start", F.lit(0)).alias("start"), F.col("n").alias("end"), F.lit(False).alias("highlighted"))
-    cuts = marked.union(gaps).union(tail).where("start < end")
+    cuts = dealt(marked.union(gaps).union(tail).where("start < end"), n_parts, key)
     return cuts.join(texts.select(key, F.col(text_col).alias("_t")).hint("merge"), key).select(key, "start", F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "highlighted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import tiny
+from ..functions.order import dealt, parts_for, tiny
 from .signals import merge_spans
 
 #: Tolerance of boxes in points, pixel-difference limits by mode (infinite where nothing is hidden).
@@ -138,7 +138,9 @@ ROW_PT, LEAST_PT, PAD_PT, GAP_PT = 2.0, 8.0, 3.0, 4.0
 def free_bands(boxes: DataFrame, pages: DataFrame, page: str) -> DataFrame:
     """page, top, bottom, height of the maximal empty bands; pages(page, page_height), boxes(page, y, height)."""
     n = F.ceil(F.col("page_height") / ROW_PT).cast("int")
-    b = boxes.join(pages.hint("merge"), page).withColumn("t", F.col("y") - PAD_PT).withColumn("e", F.col("y") + F.col("height") + PAD_PT).where("e > 0 AND t < page_height")
+    parts = parts_for(boxes.count(), boxes.sparkSession)
+    pages = dealt(pages, parts, page)
+    b = dealt(boxes, parts, page).join(pages.hint("merge"), page).withColumn("t", F.col("y") - PAD_PT).withColumn("e", F.col("y") + F.col("height") + PAD_PT).where("e > 0 AND t < page_height")
     first, last = F.greatest(F.lit(0), F.floor(F.col("t") / ROW_PT).cast("int")), F.least(n, F.ceil(F.col("e") / ROW_PT).cast("int"))
     taken = merge_spans(b.select(page, first.alias("start"), last.alias("end")), page)
     order = Window.partitionBy(page).orderBy("start")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats as X
-from ..functions.order import small
+from ..functions.order import dealt, parts_for, small
 from ..functions.scratch import spread, written
 from ..functions.textsem import WS, norm_ws
 from ..operators import scoring as A
@@ -267,7 +267,9 @@ def _spans(spark, d):
     n = docs.count()
     start = (F.col("l_orderkey") * 7) % 400 - 20
     rows = read(spark, d, "lineitem").select((F.col("l_partkey") % n).alias("doc_id"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
-    return M.merge_spans(rows.join(docs.select("doc_id", "n_chars"), "doc_id"), "doc_id", "n_chars")
+    parts = parts_for(rows.count(), spark)
+    lengths = dealt(docs.select("doc_id", "n_chars"), parts, "doc_id").hint("merge")
+    return M.merge_spans(dealt(rows, parts, "doc_id").join(lengths, "doc_id"), "doc_id", "n_chars")
 
 
 @query(f"WITH {_SPANS} SELECT doc_id, s AS start_at, e AS end_at FROM merged")

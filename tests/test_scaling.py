@@ -59,3 +59,24 @@ def test_headings_and_synonyms_at_their_quick_tests_edges(spark):
     heads = one(spark, signals.heading_list(F.lit("\n".join(lines))))
     assert [(h["text"], h["line_index"]) for h in heads] == [("a", 0), ("b", 3), ("c", 4), ("ABC", 6), ("A", 7), ("name", 10), ("n", 13), ("ÄB", 15)]
     assert one(spark, perturb.synonyms(F.lit("Novel, PRIOR Keen existing? Method"))) == "New, EARLIER Keen current? Technique"
+
+
+@pytest.mark.parametrize("most, rows", [(100_000, 1 << 20), (3, 1 << 20), (100_000, 7), (3, 7)])
+def test_spans_and_segments_in_bounded_parts(spark, monkeypatch, most, rows):
+    """Small keys whole and large ones by ranges, in the session's parts and in more of them; null is a key as well."""
+    r = random.Random(2)
+    keys = ["a"] * 40 + ["b", "b", "c", None, None]
+    spans = [(k, at := r.randrange(-3, 90), at + r.randrange(-1, 6), 80) for k in keys]
+    monkeypatch.setattr(signals, "MOST_OF_KEY", most)
+    monkeypatch.setattr(signals, "parts_for", lambda n, spark, part_rows=rows: max(4, -(-n // rows)))
+    want = set()
+    for k in set(keys):
+        covered = sorted({i for key, s, e, n in spans if key == k for i in range(2 * max(s, 0), 2 * min(e, n) + 1) if max(s, 0) < min(e, n)})
+        runs = [i for i in covered if i - 1 not in covered], [i for i in covered if i + 1 not in covered]
+        want |= {(k, s // 2, e // 2) for s, e in zip(*runs, strict=True)}
+    merged = signals.merge_spans(spark.createDataFrame(spans, "k string, start int, end int, n int"), "k", "n")
+    assert {tuple(x) for x in merged.select("k", "start", "end").collect()} == want
+    texts = {k: "".join(r.choices("xyz", k=85)) for k in "abcd"}
+    out = signals.segments(spark.createDataFrame(list(texts.items()), "k string, text string"), merged.where("k IS NOT NULL"), "k").orderBy("k", "start").collect()
+    assert {k: "".join(x["text"] for x in out if x["k"] == k) for k in texts} == texts
+    assert {(x["k"], x["start"], x["start"] + len(x["text"])) for x in out if x["highlighted"]} == {x for x in want if x[0]}
