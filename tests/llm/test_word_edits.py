@@ -175,3 +175,26 @@ def test_prose_of_any_script_is_kept(spark):
     docs = spark.createDataFrame(list(prose.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in quality_rules(docs).where("kept").collect()) == [1, 2, 3, 4, 5]
     assert sorted(r.doc_id for r in quality_filter(docs).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_only_shared_buckets_are_written_and_pairs_go_in_parts(spark, monkeypatch):
+    """Blocks that are alone in their bucket are never written, and no part of the pairs holds much more text than all lines."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+    # 14 lines share a run of three words in their middle and nothing else: every pair of them meets
+    hot = [" ".join([*words(7), "one", "two", "three", *words(7)]) for _ in range(14)]
+    base = words(20)
+    near, alone = [" ".join([*base, x]) for x in ("seven", "eight")], [" ".join(words(30)) for _ in range(200)]
+    rows, table = {}, line_dedup.Scratch.table
+
+    def counted(self, frame, name):
+        out = table(self, frame, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "table", counted)
+    monkeypatch.setattr(line_dedup, "PART_CHARS", 1)
+    docs = spark.createDataFrame(list(enumerate([*hot, *near, *alone])), "doc_id long, text string")
+    assert [x.doc_id for x in line_dedup.line_dedup(docs).where("n_removed > 0").collect()] == [15]
+    assert "blocks" not in rows and rows["buckets"] < 100
+    assert rows["cross-pairs"] >= 78 and "cross-1" in rows
