@@ -1,6 +1,7 @@
 """Line dedup finds lines that differ in one word, whatever their length."""
 
 import random
+from pathlib import Path
 
 import xxhash
 from pyspark.sql import functions as F
@@ -198,3 +199,21 @@ def test_only_shared_buckets_are_written_and_pairs_go_in_parts(spark, monkeypatc
     assert [x.doc_id for x in line_dedup.line_dedup(docs).where("n_removed > 0").collect()] == [15]
     assert "blocks" not in rows and rows["buckets"] < 100
     assert rows["cross-pairs"] >= 78 and "cross-1" in rows
+
+
+def test_shuffle_files_are_gone_after_a_release(spark, monkeypatch):
+    """What a long step of the line dedup has shuffled is deleted before the next step begins."""
+    dirs = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {str(x) for d in dirs for x in Path(d).rglob("shuffle_*")}
+    release, left = line_dedup.Scratch.release, []
+
+    def watched(self):
+        there = shuffled()
+        if hasattr(self, "since"):
+            self.since -= 10  # as if the step had taken ten seconds more
+        release(self)
+        left.append(there & shuffled())
+
+    monkeypatch.setattr(line_dedup.Scratch, "release", watched)
+    line_dedup.line_dedup(spark.createDataFrame([(i, f"one two three {i}\nfour five six seven {i}") for i in range(40)], "doc_id long, text string"))
+    assert len(left) > 5 and not any(left[1:])
