@@ -217,3 +217,29 @@ def test_shuffle_files_are_gone_after_a_release(spark, monkeypatch):
     monkeypatch.setattr(line_dedup.Scratch, "release", watched)
     line_dedup.line_dedup(spark.createDataFrame([(i, f"one two three {i}\nfour five six seven {i}") for i in range(40)], "doc_id long, text string"))
     assert len(left) > 5 and not any(left[1:])
+
+
+def test_pieces_that_a_line_lacks_turn_down_most_others_and_no_similar_line(spark):
+    """Lines of letters of one byte, two and four with edits of every kind at random, on both sides of the threshold."""
+    r, rows = random.Random(13), []
+    for letters in ("ab", "abcdefgh ", "aé ñüoß", "a日本語漢字 ", "𠮷𠀋a文 "):
+        for _ in range(150):
+            a = [r.choice(letters) for _ in range(r.randint(1, 90))]
+            b = a[:]
+            for _ in range(r.randint(0, max(1, len(a) // 3))):
+                at, kind = r.randrange(len(b)), r.randrange(3)
+                b[at : at + (kind < 2)] = [r.choice(letters)] * (kind > 0)
+                b = b or ["a"]
+            rows.append(("".join(a), "".join(b)))
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    line = lambda mid: " ".join([*r.sample(words, 15), *mid, *r.sample(words, 15)])
+    others = [(line(["one", "two", "three"]), line(["one", "two", "three"])) for _ in range(100)]
+    moved = [(f"{x} {y}", f"{y} {x}") for x, y in ((line([]), line([])) for _ in range(20))]
+    frame = spark.createDataFrame([*rows, *others, *moved], "na string, nb string")
+    frame = frame.select("na", "nb", line_dedup.similar("na", "nb", 0.8).alias("same"), line_dedup.apart("na", "nb", 0.8).alias("apart"))
+    got = frame.collect()
+    near = [brute.distance(x.na, x.nb) <= int(0.2 * max(len(x.na), len(x.nb)) + 1e-9) for x in got]
+    assert 200 < sum(near) < len(got) - 200 and [x.same for x in got] == near
+    assert not any(x.apart and n for x, n in zip(got, near, strict=True))
+    of_others = {(x.na, x.nb) for x in got if x.apart}
+    assert sum(p in of_others for p in others) >= 90 and any(not n and (not x.na.isascii()) and x.apart for x, n in zip(got, near, strict=True))
